@@ -16,8 +16,21 @@ JOB_TYPES = ["DISCOVER", "VALIDATE", "SERVICE_CHECK", "RECHECK", "POOL_UPDATE",
 JOB_REASONS = ["new", "recheck", "revive", "manual", "stale_service"]
 
 
+_KINDS = {
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "DOUBLE": T.DoubleType(),
+    "STRING": T.StringType(),
+    "BOOLEAN": T.BooleanType(),
+    "TIMESTAMP_NTZ": T.TimestampNTZType(),
+    "TAGS": T.MapType(T.StringType(), T.StringType()),
+}
+
+
 def _table(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    """A schema from ``name KIND, ...``; unlike DDL it needs no running session."""
+    pairs = [part.split() for part in text.split(",")]
+    return T.StructType([T.StructField(name, _KINDS[kind]) for name, kind in pairs])
 
 
 ENDPOINTS = _table(
@@ -37,7 +50,7 @@ CHECKS = _table(
 SERVICE_CHECKS = _table(
     """id BIGINT, proxy_id BIGINT, cycle_id STRING, service STRING, created_at TIMESTAMP_NTZ,
     passed BOOLEAN, status STRING, http_status INT, latency_ms BIGINT, reason STRING,
-    details MAP<STRING, STRING>"""
+    details TAGS"""
 )
 CYCLES = _table(
     """cycle_id STRING, status STRING, started_at TIMESTAMP_NTZ, finished_at TIMESTAMP_NTZ,
