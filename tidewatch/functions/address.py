@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import squeeze_ends
+from .text import let, squeeze_ends
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
@@ -27,10 +27,9 @@ def is_ipv4(text: Column) -> Column:
     return text.rlike(IPV4)
 
 
-def octets(text: Column) -> list[Column]:
-    """The four numbers of a dotted quad; NULL for anything else."""
-    parts = F.split(text, r"\.")
-    return [F.when(is_ipv4(text), F.get(parts, F.lit(i)).try_cast("int")) for i in range(4)]
+def octets(text: Column) -> Column:
+    """The four numbers of a dotted quad as an array; NULL for anything else."""
+    return F.when(is_ipv4(text), F.transform(F.split(text, r"\."), lambda part: part.try_cast("int")))
 
 
 def ipv6_words(text: Column) -> Column:
@@ -39,37 +38,35 @@ def ipv6_words(text: Column) -> Column:
     A dotted quad is understood as a whole segment (``::1.2.3.4``), not behind
     other groups of the same segment.
     """
-    body = squeeze_ends(text)
-    body = F.regexp_replace(body, r"^\[(.*)\]$", "$1")
-    body = F.substring_index(body, "%", 1)
-    gap = F.locate("::", body)
-    has_gap = gap > 0
-    second_gap = body.rlike(r"::.*::|:::")
-    head = F.when(has_gap, F.substring(body, F.lit(1), gap - 1)).otherwise(body)
-    tail = F.when(has_gap, F.substring(body, gap + 2, F.length(body))).otherwise(F.lit(""))
     none = F.array().cast("array<int>")
 
     def words(segment: Column) -> Column:
-        quad = octets(segment)
         groups = F.split(segment, ":")
+        pair = lambda q: F.array(q[0] * 256 + q[1], q[2] * 256 + q[3])
         return (
             F.when(segment == "", none)
-            .when(
-                F.contains(segment, F.lit(".")),
-                F.when(is_ipv4(segment), F.array(quad[0] * 256 + quad[1], quad[2] * 256 + quad[3])),
-            )
+            .when(segment.contains("."), F.when(is_ipv4(segment), let(octets(segment), pair)))
             .when(
                 F.forall(groups, lambda g: g.rlike("^[0-9a-fA-F]{1,4}$")),
                 F.transform(groups, lambda g: F.conv(g, 16, 10).try_cast("int")),
             )
         )
 
-    left, right = words(head), words(tail)
-    missing = F.lit(8) - F.size(left) - F.size(right)
-    filled = F.concat(left, F.array_repeat(F.lit(0), missing), right)
-    return F.when(
-        (body != "") & ~second_gap & F.when(has_gap, missing >= 0).otherwise(missing == 0), filled
-    )
+    def fill(sides: Column) -> Column:
+        left, right = sides["left"], sides["right"]
+        missing = F.lit(8) - F.size(left) - F.size(right)
+        fits = F.when(sides["gap"], missing >= 0).otherwise(missing == 0)
+        return F.when(fits, F.concat(left, F.array_repeat(F.lit(0), F.greatest(missing, F.lit(0))), right))
+
+    def read(body: Column) -> Column:
+        gap = body.contains("::")
+        head = F.substring_index(body, "::", 1)
+        tail = F.when(gap, F.substring_index(body, "::", -1)).otherwise("")
+        sides = F.struct(gap.alias("gap"), words(head).alias("left"), words(tail).alias("right"))
+        return F.when((body != "") & ~body.rlike("::.*::|:::"), let(sides, fill))
+
+    inner = F.regexp_replace(squeeze_ends(text), r"^\[(.*)\]$", "$1")
+    return let(F.substring_index(inner, "%", 1), read)
 
 
 def classify_quad(a: Column, b: Column, c: Column, d: Column) -> Column:
@@ -97,12 +94,12 @@ def classify_quad(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 def classify_ipv4(text: Column) -> Column:
     """Class of a dotted quad; NULL when the text is none."""
-    return F.when(is_ipv4(text), classify_quad(*octets(text)))
+    return F.when(is_ipv4(text), let(octets(text), lambda q: classify_quad(q[0], q[1], q[2], q[3])))
 
 
 def classify_words(words: Column) -> Column:
     """Class of an IPv6 address given as eight words; embedded IPv4 decides by itself."""
-    w = [F.get(words, F.lit(i)) for i in range(8)]
+    w = [words[i] for i in range(8)]
 
     def zero(start: int, stop: int) -> Column:
         out = w[start] == 0
@@ -158,28 +155,31 @@ def bare_host(host: Column) -> Column:
 
 def inspect_address(host: Column) -> Column:
     """struct(blocked, kind, classification, reason) for a literal host."""
-    raw = F.lower(bare_host(squeeze_ends(host)))
-    v6 = F.contains(raw, F.lit(":"))
-    odd = is_noncanonical_ip(raw)
-    kind = (
-        F.when(raw == "", "hostname").when(is_ipv4(raw), "ipv4").when(v6, "ipv6").when(odd, "ipv4")
-    ).otherwise("hostname")
-    words = ipv6_words(raw)
-    label = (
+    return let(F.lower(bare_host(squeeze_ends(host))), _inspect)
+
+
+def _inspect(raw: Column) -> Column:
+    v6, odd = raw.contains(":"), is_noncanonical_ip(raw)
+    words_class = let(ipv6_words(raw), lambda w: F.when(w.isNull(), "invalid").otherwise(classify_words(w)))
+    facts = F.struct(
+        F.when(raw == "", "hostname")
+        .when(is_ipv4(raw), "ipv4")
+        .when(v6, "ipv6")
+        .when(odd, "ipv4")
+        .otherwise("hostname")
+        .alias("kind"),
         F.when(raw == "", "invalid")
-        .when(is_ipv4(raw), classify_quad(*octets(raw)))
-        .when(v6, F.when(words.isNull(), "invalid").otherwise(classify_words(words)))
+        .when(is_ipv4(raw), classify_ipv4(raw))
+        .when(v6, words_class)
         .when(odd, "private")
         .otherwise("public")
+        .alias("label"),
     )
-    return F.struct((label != "public").alias("blocked"), kind.alias("kind"), label.alias("classification"))
+    return let(facts, lambda f: _verdict(raw, f["kind"], f["label"]))
 
 
-def address_reason(host: Column, verdict: Column) -> Column:
-    """The sentence that goes with :func:`inspect_address`."""
-    raw = F.lower(bare_host(squeeze_ends(host)))
-    kind, label = verdict["kind"], verdict["classification"]
-    return (
+def _verdict(raw: Column, kind: Column, label: Column) -> Column:
+    reason = (
         F.when(raw == "", "empty host")
         .when(kind == "hostname", "hostname requires DNS check")
         .when(label == "invalid", "malformed IPv6 literal")
@@ -190,6 +190,12 @@ def address_reason(host: Column, verdict: Column) -> Column:
         .when(label == "public", F.concat(F.lit("public "), kind))
         .otherwise(F.concat(label, F.lit(" "), kind, F.lit(" is not allowed")))
     )
+    return F.struct(
+        (label != "public").alias("blocked"),
+        kind.alias("kind"),
+        label.alias("classification"),
+        reason.alias("reason"),
+    )
 
 
 def endpoint_allowed(

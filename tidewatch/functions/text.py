@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column
@@ -20,6 +21,15 @@ def squeeze_ends(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is named.
+
+    Columns are trees: a value named twenty times is planned twenty times. A one-element
+    transform binds it to a name instead and keeps the plan small.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def utf16_units(text: Column) -> Column:
     """Length in UTF-16 code units; code points only differ outside the basic plane."""
     return F.octet_length(F.encode(text, "UTF-16BE")) / F.lit(2)

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .address import inspect_address, is_metadata_host, ipv6_words
-from .text import BLANK, squeeze_ends
+from .text import BLANK, let, squeeze_ends
 
 MAX_URL_LENGTH = 2048
 
@@ -33,7 +33,7 @@ def raw_host(url: Column) -> Column:
 
 def port_text(url: Column) -> Column:
     server = F.substring_index(_authority(url), "@", -1)
-    return F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
+    return F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
 
 
 def path_of(url: Column) -> Column:
@@ -62,32 +62,38 @@ def canonical_host(url: Column) -> Column:
 
     NULL when a number-like host is no address, which makes the URL malformed.
     """
-    host = raw_host(url)
+    return let(raw_host(url), _canonical)
+
+
+def _canonical(host: Column) -> Column:
+    def quad(value: Column) -> Column:
+        return F.concat_ws(
+            ".", *[(F.shiftright(value, shift) % 256).cast("string") for shift in (24, 16, 8, 0)]
+        )
+
+    def address(numbers: Column) -> Column:
+        # All but the last number are one byte; the last one fills what is left.
+        count, tail = F.size(numbers), F.element_at(numbers, -1)
+        room = F.when(count == 1, 2**32).when(count == 2, 2**24).when(count == 3, 2**16).otherwise(2**8)
+        lead = F.aggregate(
+            F.transform(
+                F.slice(numbers, F.lit(1), count - 1),
+                lambda n, i: F.when(i == 0, n * 2**24).when(i == 1, n * 2**16).otherwise(n * 2**8),
+            ),
+            F.lit(0).cast("bigint"),
+            lambda total, n: total + n,
+        )
+        fits = (
+            (count <= 4)
+            & ~F.exists(numbers, lambda n: n.isNull())
+            & F.forall(F.slice(numbers, F.lit(1), count - 1), lambda n: n <= 255)
+            & (tail < room)
+        )
+        return F.when(fits, let(lead + tail, quad))
+
     labels = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
-    count = F.size(labels)
-    last = F.element_at(labels, -1)
-    numberish = last.rlike(r"^(\d+|0[xX][0-9a-fA-F]*)$")
-    numbers = F.transform(labels, _ip_number)
-    tail = F.element_at(numbers, -1)
-    fits = (
-        (count <= 4)
-        & ~F.exists(numbers, lambda n: n.isNull())
-        & F.forall(F.slice(numbers, F.lit(1), count - 1), lambda n: n <= 255)
-        & (tail < F.element_at(F.array(*[F.lit(256 ** (5 - n)).cast("bigint") for n in (1, 2, 3, 4)]), F.least(count, F.lit(4))))
-    )
-    value = tail + sum(
-        (
-            F.when(count > i + 1, F.get(numbers, F.lit(i)) * F.lit(256 ** (3 - i)).cast("bigint")).otherwise(
-                F.lit(0).cast("bigint")
-            )
-            for i in range(3)
-        ),
-        F.lit(0).cast("bigint"),
-    )
-    quad = F.concat_ws(
-        ".", *[(F.shiftright(value, shift) % 256).cast("string") for shift in (24, 16, 8, 0)]
-    )
-    return F.when(~numberish | host.startswith("["), host).when(fits, quad)
+    numberish = host.rlike(r"(?:^|\.)(?:\d+|0[xX][0-9a-fA-F]*)\.?$") & ~host.startswith("[")
+    return F.when(~numberish, host).otherwise(let(F.transform(labels, _ip_number), address))
 
 
 def origin_of(url: Column) -> Column:
@@ -110,51 +116,71 @@ def url_policy(
     max_length: int = MAX_URL_LENGTH,
 ) -> Column:
     """struct(ok, reason): the first failed rule names the reason."""
-    value = squeeze_ends(F.coalesce(url, F.lit("")))
-    scheme = scheme_of(value)
-    web = scheme.isin("http", "https")
-    authority, port = _authority(value), port_text(value)
-    canonical = canonical_host(value)
-    host = F.regexp_replace(canonical, r"^\[|\]$", "")
-    bad_host = (
-        canonical.isNull()
-        | (canonical == "")
-        | canonical.rlike(r"^[^\[].*[<>\[\]^|%]|^[<>^|%\]]")
-        | (canonical.startswith("[") & ipv6_words(canonical).isNull())
-    )
-    bad_port = ~port.rlike(r"^\d{0,5}$") | (port.try_cast("int") > 65535)
-    malformed = (scheme == "") | (web & (bad_host | F.coalesce(bad_port, F.lit(False))))
-    verdict = inspect_address(host)
-    lifted = verdict["classification"] != "cloud_metadata" if allow_private else F.lit(False)
-    number = F.coalesce(port.try_cast("int"), F.when(scheme == "https", 443).otherwise(80))
-    reason = (
-        F.when(value == "", "empty url")
-        .when(F.length(value) > max_length, f"url longer than {max_length} characters")
-        .when(value.rlike(BLANK + r"|[\x00-\x1f\x7f-\x9f]"), "url contains whitespace or control characters")
-        .when(malformed, "url is not absolute or is malformed")
-        .when(
-            ~F.concat(scheme, F.lit(":")).isin(*protocols),
-            F.concat(F.lit('protocol "'), scheme, F.lit(':" is not allowed')),
+
+    def parts(value: Column) -> Column:
+        facts = F.struct(
+            value.alias("value"),
+            scheme_of(value).alias("scheme"),
+            _authority(value).alias("authority"),
+            port_text(value).alias("port"),
+            canonical_host(value).alias("canonical"),
         )
-        .when(authority.contains("@") & ~authority.rlike("^:?@[^@]*$"), "credentials in URL are not allowed")
-        .when(F.coalesce(host, F.lit("")) == "", "missing hostname")
-        .when((host == "localhost") | host.endswith(".localhost"), "the localhost name space is not allowed")
-        .when(
-            is_metadata_host(host) if block_metadata else F.lit(False),
-            "cloud metadata endpoints are not allowed",
+        return let(facts, judge)
+
+    def judge(f: Column) -> Column:
+        value, scheme, authority, port, canonical = (
+            f[name] for name in ("value", "scheme", "authority", "port", "canonical")
         )
-        .when(
-            (verdict["kind"] != "hostname") & verdict["blocked"] & ~lifted,
-            F.concat(verdict["classification"], F.lit(" address ("), host, F.lit(") is not allowed")),
+        bad_host = (
+            canonical.isNull()
+            | (canonical == "")
+            | (~canonical.startswith("[") & canonical.rlike(r"[<>\[\]^|%]"))
+            | (canonical.startswith("[") & ipv6_words(canonical).isNull())
         )
-        .when(number < 1, "invalid port")
-        .when(
-            ~number.isin(*ports) if ports else F.lit(False),
-            F.concat(F.lit("port "), number.cast("string"), F.lit(" is not in the allowed port list")),
+        bad_port = ~port.rlike(r"^\d{0,5}$") | F.coalesce(port.try_cast("int") > 65535, F.lit(False))
+        malformed = (scheme == "") | (scheme.isin("http", "https") & (bad_host | bad_port))
+        host = F.regexp_replace(canonical, r"^\[|\]$", "")
+        number = F.coalesce(port.try_cast("int"), F.when(scheme == "https", 443).otherwise(80))
+        address = let(
+            inspect_address(host),
+            lambda v: F.when(
+                (v["kind"] != "hostname")
+                & v["blocked"]
+                & ~(v["classification"] != "cloud_metadata" if allow_private else F.lit(False)),
+                F.concat(v["classification"], F.lit(" address ("), host, F.lit(") is not allowed")),
+            ),
         )
-        .when(number == 25, "SMTP port 25 is not allowed")
-    )
-    return F.struct(reason.isNull().alias("ok"), reason.alias("reason"))
+        early = (
+            F.when(value == "", "empty url")
+            .when(F.length(value) > max_length, f"url longer than {max_length} characters")
+            .when(
+                value.rlike(BLANK + r"|[\x00-\x1f\x7f-\x9f]"), "url contains whitespace or control characters"
+            )
+            .when(malformed, "url is not absolute or is malformed")
+            .when(
+                ~F.concat(scheme, F.lit(":")).isin(*protocols),
+                F.concat(F.lit('protocol "'), scheme, F.lit(':" is not allowed')),
+            )
+            .when(authority.contains("@") & ~authority.rlike("^:?@[^@]*$"), "credentials in URL are not allowed")
+            .when(F.coalesce(host, F.lit("")) == "", "missing hostname")
+            .when((host == "localhost") | host.endswith(".localhost"), "the localhost name space is not allowed")
+            .when(
+                is_metadata_host(host) if block_metadata else F.lit(False),
+                "cloud metadata endpoints are not allowed",
+            )
+        )
+        late = (
+            F.when(number < 1, "invalid port")
+            .when(
+                ~number.isin(*ports) if ports else F.lit(False),
+                F.concat(F.lit("port "), number.cast("string"), F.lit(" is not in the allowed port list")),
+            )
+            .when(number == 25, "SMTP port 25 is not allowed")
+        )
+        return F.coalesce(early, address, late)
+
+    reason = let(squeeze_ends(F.coalesce(url, F.lit(""))), parts)
+    return let(reason, lambda why: F.struct(why.isNull().alias("ok"), why.alias("reason")))
 
 
 def host_is_literal_ip(host: Column) -> Column:

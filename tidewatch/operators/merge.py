@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.address import endpoint_allowed, inspect_address
 from ..functions.keys import dedupe_hash
-from ..functions.text import at
+from ..functions.text import at, let
 from ..schemas import ENDPOINTS, conform
 from .parse import BLOCK_LINES, CANDIDATE
 
@@ -70,8 +70,9 @@ def discovery_totals(
 
 def with_policy(candidates: DataFrame, allow_private: bool = False, allow: Sequence[str] = ()) -> DataFrame:
     """Add ``allowed``; the number of refused rows is a plain aggregate over it."""
-    verdict = inspect_address(F.col("host"))
-    return candidates.withColumn("allowed", endpoint_allowed(verdict, F.col("host"), allow_private, allow))
+    host = F.col("host")
+    ok = let(inspect_address(host), lambda verdict: endpoint_allowed(verdict, host, allow_private, allow))
+    return candidates.withColumn("allowed", ok)
 
 
 def existing_keys(endpoints: DataFrame, keys: DataFrame, column: str = "dedupe_key") -> DataFrame:

@@ -114,7 +114,7 @@ def fresh_verdicts(endpoints: DataFrame, now: datetime | str, recheck_after_minu
     return endpoints.agg(F.count_if(hit).alias("fresh"))
 
 
-def error_breakdown(checks: DataFrame, cycle_id: str | None = None, top: int | None = None) -> DataFrame:
+def error_breakdown(checks: DataFrame, cycle_id: str | Column | None = None, top: int | None = None) -> DataFrame:
     """Failed checks by code, most first; ``top`` also leaves out unnamed errors."""
     failed = checks.filter(~F.col("reachable"))
     if cycle_id is not None:
