@@ -9,6 +9,7 @@ from tidewatch.operators import merge, robots
 from tidewatch.operators import parse as P
 from tidewatch.plans.cycle import CycleInputs, run_cycle
 from tidewatch.schemas import ENDPOINTS
+from tidewatch.session import cut_lineage
 from tidewatch.sources.tables import Tables
 from tidewatch.streaming import jobs as J
 from tidewatch.streaming import state as S
@@ -78,7 +79,8 @@ def test_cycle_end_to_end(spark):
     assert rows[3].notes == "failures:1" and rows[3].last_error_code == "timeout"
     assert result.cycle.first().pool_added == 3
     # the same lines again only touch what is known
-    again = run_cycle(result.endpoints, inputs, "cyc_2", NOW, CycleConfig())
+    known = cut_lineage(result.endpoints)
+    again = run_cycle(known, inputs, "cyc_2", NOW, CycleConfig())
     assert tuple(again.report.first().upsert) == (4, 0, 4)
     assert again.endpoints.count() == 4
 

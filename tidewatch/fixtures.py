@@ -10,6 +10,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .schemas import ENDPOINTS, conform
+
 NOW = "2024-01-31 00:00:00"
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
@@ -85,6 +87,11 @@ SELECT concat('src-', CAST(floor(c_custkey / 100) AS BIGINT)) AS source, c_custk
 FROM (SELECT c_custkey,
    concat(CAST(1 + c_custkey % 223 AS STRING), '.', CAST((c_custkey * 7) % 256 AS STRING), '.', CAST(c_nationkey AS STRING), '.', CAST((c_custkey * 29) % 256 AS STRING)) AS ip,
    CAST(1024 + (c_custkey * 17) % 60000 AS STRING) AS port FROM customer) b
+""",
+    "fx_feeds": """
+SELECT source, line_no, line FROM fx_lines
+UNION ALL SELECT source, 1000 + line_no AS line_no, line FROM fx_lines WHERE line_no % 5 = 0
+UNION ALL SELECT concat('copy-', source) AS source, line_no, line FROM fx_lines WHERE line_no % 3 = 0
 """,
     "fx_responses": """
 SELECT event_id AS id, user_id AS proxy_id, ts AS created_at,
@@ -127,7 +134,7 @@ SELECT page_id, url, regexp_extract(url, '^[a-z]+://([^/?#]+)', 1) AS host,
 }
 
 # Views that read other views.
-NEEDS = {"fx_cycles": ["fx_checks"]}
+NEEDS = {"fx_cycles": ["fx_checks"], "fx_feeds": ["fx_lines"]}
 
 
 def with_clause(*names: str) -> str:
@@ -150,6 +157,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``fx_endpoints`` with every column of the endpoint table."""
+    return conform(view(spark, sf_dir, "fx_endpoints"), ENDPOINTS)
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of :data:`VIEWS` over the tables of ``sf_dir``."""
     return sql(spark, sf_dir, VIEWS[name])
