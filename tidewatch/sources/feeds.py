@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.entry import anonymity_level, detect_protocol
 from ..functions.text import squeeze_ends
+from ..operators.running import evaluate_once
 
 MAX_ITEMS = 50_000  # part of the feed contract: later items are not read
 
@@ -78,15 +79,14 @@ def map_json_fields(items: DataFrame, fields: Mapping[str, Sequence[str]] | None
     names = {**DEFAULT_FIELDS, **(fields or {})}
     kind = F.schema_of_variant("item")
     is_text, is_object = kind == "STRING", kind.startswith("OBJECT")
-    df = items.select(
-        "source",
-        "pos",
+    staged = [
         F.when(is_text, F.try_variant_get("item", "$", "string")).alias("_line"),
         *[
             F.when(is_object, pick_text(F.col("item"), names[field])).alias(f"_{field}")
             for field in DEFAULT_FIELDS
         ],
-    )
+    ]
+    df = items.select(*evaluate_once(["source", "pos"], staged))
     c = F.col
     endpoint = F.when(F.coalesce("_endpoint", F.lit("")) != "", squeeze_ends(c("_endpoint")))
     server = F.substring_index(F.regexp_replace(endpoint, "(?s)^.*?://", ""), "@", -1)
