@@ -75,6 +75,40 @@ def with_policy(candidates: DataFrame, allow_private: bool = False, allow: Seque
     return candidates.withColumn("allowed", ok)
 
 
+def resolve_hosts(
+    records: DataFrame, name: str, address: str, order: str, allow_private: bool = False
+) -> DataFrame:
+    """Policy over recorded resolutions: (name, outcome, address, records).
+
+    A metadata address blocks the name outright, else the first allowed address counts, IPv4
+    before IPv6. Names without a record (a NULL address) are DNS errors.
+    """
+    facts = let(
+        inspect_address(F.col(address)),
+        lambda v: F.struct(
+            (v["classification"] == "cloud_metadata").alias("meta"),
+            endpoint_allowed(v, F.col(address), allow_private).alias("ok"),
+            F.when(v["kind"] == "ipv6", 6).otherwise(4).alias("family"),
+        ),
+    )
+    rows = records.select(name, address, order, facts.alias("f"))
+    grouped = rows.groupBy(name).agg(
+        F.bool_or("f.meta").alias("meta"),
+        F.min(F.when(F.col("f.ok"), F.struct("f.family", order, address))).alias("first"),
+        F.count(address).alias("records"),
+    )
+    barred = F.lit(False) if allow_private else F.coalesce("meta", F.lit(False))
+    return grouped.select(
+        name,
+        F.when(F.col("records") == 0, "dns_error")
+        .when(barred | F.col("first").isNull(), "blocked")
+        .otherwise("ok")
+        .alias("outcome"),
+        F.when(~barred, F.col(f"first.{address}")).alias("address"),
+        "records",
+    )
+
+
 def existing_keys(endpoints: DataFrame, keys: DataFrame, column: str = "dedupe_key") -> DataFrame:
     """Endpoints whose key is listed (a semi join; no key list is collected)."""
     return endpoints.join(keys.select(column).distinct(), column, "left_semi")

@@ -42,7 +42,7 @@ def pool_read_preferred(spark, sf_dir):
 
 @query(
     _page(
-        f"status = 'active' AND {FRESH} AND score >= 30 AND protocol = 'https' AND country = 'UN' AND latency_ms <= 2500",
+        f"status = 'active' AND {FRESH} AND score >= 30 AND protocol = 'https' AND country = 'NA' AND latency_ms <= 2500",
         RANK,
         50,
     ),
@@ -50,7 +50,7 @@ def pool_read_preferred(spark, sf_dir):
 )
 def pool_read_filtered(spark, sf_dir):
     return _read(
-        spark, sf_dir, service="off", min_score=30, protocol="https", country="un", max_latency_ms=2500
+        spark, sf_dir, service="off", min_score=30, protocol="https", country="na", max_latency_ms=2500
     )
 
 
