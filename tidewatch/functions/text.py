@@ -85,12 +85,9 @@ def epoch_ms(ts: Column) -> Column:
 
 
 def lookup(mapping: dict, key: Column) -> Column:
-    """A small constant dictionary as a CASE ladder; unknown keys give NULL."""
-    pairs = list(mapping.items())
-    out = F.when(key == pairs[0][0], F.lit(pairs[0][1]))
-    for name, value in pairs[1:]:
-        out = out.when(key == name, F.lit(value))
-    return out
+    """A small constant dictionary; unknown keys give NULL. The key is planned once."""
+    pairs = [F.lit(item) for pair in mapping.items() for item in pair]
+    return F.try_element_at(F.create_map(*pairs), key)
 
 
 def safe_message(text: Column, limit: int = 200) -> Column:

@@ -48,7 +48,8 @@ def run_cycle(
     """Discover, merge, upsert, validate, check the service, sweep and count.
 
     What the stages hand on is capped by the cycle's budgets, so it is checkpointed; the
-    endpoint table itself stays one lazy scan with small joins until the caller writes it.
+    endpoint table is written once after the merge and stays one lazy scan with small joins
+    from there until the caller writes it.
     """
     old = conform(endpoints, ENDPOINTS)
     # Discovery.
@@ -60,7 +61,8 @@ def run_cycle(
         )
     )
     accepted = candidates.filter("allowed")
-    upserted = merge.upsert_candidates(old, accepted, cycle_id, now)
+    # Read by every later stage, so it is written once instead of joined four times.
+    upserted = cut_lineage(merge.upsert_candidates(old, accepted, cycle_id, now))
     # Validation. Decisions use the rows as they were before the claim.
     queue = cut_lineage(pool.validation_queue(upserted, now, cfg.queue))
     outcomes = inputs.outcomes.join(queue.select(F.col("id").alias("proxy_id")), "proxy_id", "left_semi")
