@@ -13,8 +13,12 @@ FNV32_START, FNV32_PRIME = 2166136261, 16777619
 LOW32 = 0xFFFFFFFF
 
 
-def _codes(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
+def _letters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda letter: letter != "")
+
+
+def _code(letter: Column) -> Column:
+    return F.ascii(letter).cast("bigint")
 
 
 def _hex(value: Column) -> Column:
@@ -31,8 +35,8 @@ def dedupe_key(protocol: Column, host: Column, port: Column, username: Column) -
 def fnv64(text: Column) -> Column:
     """FNV-1a 64 as 16 hex digits."""
 
-    def step(state: Column, code: Column) -> Column:
-        mixed = state["lo"].bitwiseXOR(code)
+    def step(state: Column, letter: Column) -> Column:
+        mixed = state["lo"].bitwiseXOR(_code(letter))
         product = mixed * FNV64_PRIME_LOW
         return F.struct(
             (state["hi"] * FNV64_PRIME_LOW + F.shiftright(product, 32) + F.shiftleft(mixed, 8))
@@ -44,7 +48,7 @@ def fnv64(text: Column) -> Column:
     start = F.struct(
         F.lit(FNV64_HIGH).cast("bigint").alias("hi"), F.lit(FNV64_LOW).cast("bigint").alias("lo")
     )
-    return F.aggregate(_codes(text), start, step, lambda s: F.concat(_hex(s["hi"]), _hex(s["lo"])))
+    return F.aggregate(_letters(text), start, step, lambda s: F.concat(_hex(s["hi"]), _hex(s["lo"])))
 
 
 def dedupe_hash(protocol: Column, host: Column, port: Column, username: Column) -> Column:
@@ -55,9 +59,9 @@ def dedupe_hash(protocol: Column, host: Column, port: Column, username: Column)
 def fnv32(text: Column) -> Column:
     """FNV-1a 32 as a bigint."""
     return F.aggregate(
-        _codes(text),
+        _letters(text),
         F.lit(FNV32_START).cast("bigint"),
-        lambda h, c: (h.bitwiseXOR(c) * FNV32_PRIME).bitwiseAND(F.lit(LOW32)),
+        lambda h, c: (h.bitwiseXOR(_code(c)) * FNV32_PRIME).bitwiseAND(F.lit(LOW32)),
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .address import inspect_address, is_metadata_host, ipv6_words
+from .address import inspect_address, ipv6_words, is_ipv4, is_metadata_host
 from .text import BLANK, let, squeeze_ends
 
 MAX_URL_LENGTH = 2048
@@ -25,15 +25,25 @@ def _authority(url: Column) -> Column:
     return F.regexp_extract(url, _WEB, 1)
 
 
+def _server(url: Column) -> Column:
+    return F.substring_index(_authority(url), "@", -1)
+
+
+def _host_of(server: Column) -> Column:
+    return F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:]*)(?::.*)?$", 1))
+
+
+def _port_of(server: Column) -> Column:
+    return F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+
+
 def raw_host(url: Column) -> Column:
     """Host as written, lower case, without account and port."""
-    server = F.substring_index(_authority(url), "@", -1)
-    return F.lower(F.regexp_extract(server, r"^(\[[^\]]*\]|[^:]*)(?::.*)?$", 1))
+    return _host_of(_server(url))
 
 
 def port_text(url: Column) -> Column:
-    server = F.substring_index(_authority(url), "@", -1)
-    return F.regexp_extract(server, r"^(?:\[[^\]]*\]|[^:\[]*):(.*)$", 1)
+    return _port_of(_server(url))
 
 
 def path_of(url: Column) -> Column:
@@ -93,7 +103,8 @@ def _canonical(host: Column) -> Column:
 
     labels = F.split(F.regexp_replace(host, r"\.$", ""), r"\.")
     numberish = host.rlike(r"(?:^|\.)(?:\d+|0[xX][0-9a-fA-F]*)\.?$") & ~host.startswith("[")
-    return F.when(~numberish, host).otherwise(let(F.transform(labels, _ip_number), address))
+    # A clean dotted quad, the usual case, is its own canonical form.
+    return F.when(~numberish | is_ipv4(host), host).otherwise(let(F.transform(labels, _ip_number), address))
 
 
 def origin_of(url: Column) -> Column:
@@ -118,14 +129,17 @@ def url_policy(
     """struct(ok, reason): the first failed rule names the reason."""
 
     def parts(value: Column) -> Column:
-        facts = F.struct(
+        return let(_authority(value), lambda authority: let(facts(value, authority), judge))
+
+    def facts(value: Column, authority: Column) -> Column:
+        server = F.substring_index(authority, "@", -1)
+        return F.struct(
             value.alias("value"),
             scheme_of(value).alias("scheme"),
-            _authority(value).alias("authority"),
-            port_text(value).alias("port"),
-            canonical_host(value).alias("canonical"),
+            authority.alias("authority"),
+            _port_of(server).alias("port"),
+            let(_host_of(server), _canonical).alias("canonical"),
         )
-        return let(facts, judge)
 
     def judge(f: Column) -> Column:
         value, scheme, authority, port, canonical = (
@@ -137,10 +151,12 @@ def url_policy(
             | (~canonical.startswith("[") & canonical.rlike(r"[<>\[\]^|%]"))
             | (canonical.startswith("[") & ipv6_words(canonical).isNull())
         )
-        bad_port = ~port.rlike(r"^\d{0,5}$") | F.coalesce(port.try_cast("int") > 65535, F.lit(False))
+        # A failing cast builds an error text per row, so only digits get there.
+        given = F.when(port.rlike(r"^\d{1,5}$"), port.try_cast("int"))
+        bad_port = ~port.rlike(r"^\d{0,5}$") | F.coalesce(given > 65535, F.lit(False))
         malformed = (scheme == "") | (scheme.isin("http", "https") & (bad_host | bad_port))
         host = F.regexp_replace(canonical, r"^\[|\]$", "")
-        number = F.coalesce(port.try_cast("int"), F.when(scheme == "https", 443).otherwise(80))
+        number = F.coalesce(given, F.when(scheme == "https", 443).otherwise(80))
         address = let(
             inspect_address(host),
             lambda v: F.when(
