@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .keys import short_hash
+from .text import let
 
 REDACTED = "[redacted]"
 MAX_ITEMS = 64
@@ -31,16 +32,27 @@ SECRET_NAME = (
 )
 
 
+def _replace(text: Column, number: int, *needs: str) -> Column:
+    """One pattern, tried only on texts that hold the marks it cannot match without."""
+    pattern, replacement = PATTERNS[number]
+
+    def body(t: Column) -> Column:
+        test = t.contains(needs[0])
+        for mark in needs[1:]:
+            test = test & t.contains(mark)
+        return F.when(test, F.regexp_replace(t, pattern, replacement)).otherwise(t)
+
+    return let(text, body) if needs else F.regexp_replace(text, pattern, replacement)
+
+
 def redact_url(text: Column) -> Column:
     """Accounts in URLs, secret query values and bearer tokens."""
-    for pattern, replacement in PATTERNS[:3]:
-        text = F.regexp_replace(text, pattern, replacement)
-    return text
+    return _replace(_replace(_replace(text, 0, "://", "@"), 1, "="), 2)
 
 
 def redact_text(text: Column) -> Column:
     """:func:`redact_url` plus ``key: value`` and ``key=value`` pairs."""
-    return F.regexp_replace(redact_url(text), *PATTERNS[3])
+    return _replace(redact_url(text), 3)
 
 
 def redact_secret(value: Column) -> Column:

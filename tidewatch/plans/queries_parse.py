@@ -11,6 +11,7 @@ from ..functions import keys as K
 from ..functions.text import iso_text
 from ..operators import merge, parse
 from ..schemas import PROTOCOLS
+from ..session import cut_lineage
 from ..sources import feeds, jobs, lists
 from .registry import iso, query
 
@@ -241,7 +242,8 @@ KNOWN = """
 
 def _known_and_candidates(spark, sf_dir):
     lines = fx.view(spark, sf_dir, "fx_feeds")
-    merged = merge.merge_sources(parse.first_entries(parse.parse_lines(lines)), source_catalogue(lines))
+    # As in the cycle, the candidates are fixed before the table is read against them.
+    merged = cut_lineage(merge.merge_sources(parse.first_entries(parse.parse_lines(lines)), source_catalogue(lines)))
     known = merged.filter("port % 3 = 0").select(
         (F.lit(1000) + F.col("port") * 3 + F.length("host")).alias("id"),
         "dedupe_key",

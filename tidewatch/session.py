@@ -7,6 +7,7 @@ time zone. The shuffle width is a start value only: AQE coalesces or splits it.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,9 +37,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+    """Write a frame once and go on from the written rows.
 
-    Only a session that names none (tests, a laptop) gets a folder of its own.
+    It goes to the folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
+    costs a read and no recomputation. Only a session that names none (tests, a laptop)
+    gets a folder of its own. Unlike an RDD checkpoint, the rows are computed once and keep
+    column pruning and sizes for the joins behind.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -46,4 +50,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             df.sparkSession.conf.get("spark.checkpoint.dir", None)
             or tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
         )
-    return df.checkpoint()
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
