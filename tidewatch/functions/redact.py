@@ -33,13 +33,16 @@ SECRET_NAME = (
 
 
 def _replace(text: Column, number: int, *needs: str) -> Column:
-    """One pattern, tried only on texts that hold the marks it cannot match without."""
+    """One pattern, tried only on texts that hold the marks (or a character class) it cannot match without."""
     pattern, replacement = PATTERNS[number]
 
+    def holds(t: Column, mark: str) -> Column:
+        return t.rlike(mark) if mark.startswith("[") else t.contains(mark)
+
     def body(t: Column) -> Column:
-        test = t.contains(needs[0])
+        test = holds(t, needs[0])
         for mark in needs[1:]:
-            test = test & t.contains(mark)
+            test = test & holds(t, mark)
         return F.when(test, F.regexp_replace(t, pattern, replacement)).otherwise(t)
 
     return let(text, body) if needs else F.regexp_replace(text, pattern, replacement)
@@ -47,12 +50,12 @@ def _replace(text: Column, number: int, *needs: str) -> Column:
 
 def redact_url(text: Column) -> Column:
     """Accounts in URLs, secret query values and bearer tokens."""
-    return _replace(_replace(_replace(text, 0, "://", "@"), 1, "="), 2)
+    return _replace(_replace(_replace(text, 0, "://", "@"), 1, "=", "[?&]"), 2)
 
 
 def redact_text(text: Column) -> Column:
     """:func:`redact_url` plus ``key: value`` and ``key=value`` pairs."""
-    return _replace(redact_url(text), 3)
+    return _replace(redact_url(text), 3, "[:=]")
 
 
 def redact_secret(value: Column) -> Column:
