@@ -6,6 +6,7 @@ time zone. The shuffle width is a start value only: AQE coalesces or splits it.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -36,20 +37,35 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, **extra: st
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write a frame once and go on from the written rows.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder every machine of the session shares, for tables written between jobs.
 
-    It goes to the folder the cluster names in ``spark.checkpoint.dir``, so a lost executor
-    costs a read and no recomputation. Only a session that names none (tests, a laptop)
-    gets a folder of its own. Unlike an RDD checkpoint, the rows are computed once and keep
-    column pruning and sizes for the joins behind.
+    It is the one the cluster names in ``spark.checkpoint.dir``. A session in one process (tests,
+    a laptop) may name none and then gets a folder of its own; a cluster without one is an error,
+    as each executor would write to its own disk.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(
-            df.sparkSession.conf.get("spark.checkpoint.dir", None)
-            or tempfile.mkdtemp(prefix="tidewatch-checkpoint-")
-        )
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tidewatch-checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def written(df: DataFrame, sort_by: tuple[str, ...] = ()) -> DataFrame:
+    """The frame as a table of the shared folder, written once and read again.
+
+    A lost executor then costs a read and no recomputation. Unlike an RDD checkpoint the rows are
+    computed once and keep column pruning and sizes for the joins behind.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    rows = df.sortWithinPartitions(*sort_by) if sort_by else df
+    rows.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write a frame once and go on from the written rows."""
+    return written(df)
