@@ -6,7 +6,7 @@ last. A block is about ``BLOCK`` bytes; a longer text is a block of its own. Nul
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,17 +72,30 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
 
 
 class Block:
-    """Texts of one block and the words in them."""
-
-    def __init__(self, texts: list[bytes], inside: np.ndarray = SPACED, lower: bool = False):
+    """Texts of one block and the words in them.
+
+    ``cuts`` may name places of the block's bytes in front of which a word is cut in two.
+    """
+
+    def __init__(
+        self,
+        texts: list[bytes],
+        inside: np.ndarray = SPACED,
+        lower: bool = False,
+        cuts: Callable[[np.ndarray], np.ndarray] | None = None,
+    ):
         data = np.frombuffer(b"\n" + b"\n".join(texts) + b"\n", np.uint8)
+        places = np.cumsum(np.array([1] + [len(t) + 1 for t in texts], np.int64))
         if lower:
             data = LOWER[data]
+        if cuts is not None:
+            at = cuts(data)
+            data = np.insert(data, at, 0x20)
+            places = places + np.searchsorted(at, places)
         member = inside[data]
         edges = np.flatnonzero(member[1:] != member[:-1]) + 1
         self.data, self.member = data, member
         self.starts, self.ends = edges[0::2], edges[1::2]
-        places = np.cumsum(np.array([1] + [len(t) + 1 for t in texts], np.int64))
         #: First word of each text, and the number of words at the end.
         self.first = np.searchsorted(self.starts, places)
         self.counts = np.diff(self.first)
