@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import ALNUM, Block, as_bytes, blocks, ranges, span_hashes
+from .texts import ALNUM, Block, as_bytes, blocks, keyed, ranges, span_hashes
 
 WINDOW = 10
 #: Bytes of text in a shard, and bytes of benchmark text that go to the tasks at once.
@@ -177,17 +177,29 @@ def _matches(shard: Words, test: Words, left: np.ndarray, window: np.ndarray, de
     return suffix, word_at[where], length
 
 
+class Finder:
+    """Looks a block of the benchmark up in shards of texts."""
+
+    def __init__(self, block: Benchmark):
+        self.block = block
+        self.test, self.item, self.left, self.window, self.depth = block.prepared()
+
+    def places(self, shard: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Per place of a window: the suffix of the benchmark, the word of the shard, the words of the longest match."""
+        if len(shard.hashes) and len(self.test.hashes):
+            return _matches(shard, self.test, self.left, self.window, self.depth)
+        return tuple(np.zeros(0, np.int64) for _ in range(3))
+
+
 def _scan(block: Benchmark):
     """The task over documents for one block of the benchmark."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        test, item, left, window, depth = block.prepared()
+        finder = Finder(block)
+        test, item, window = finder.test, finder.item, finder.window
         for rows, texts in blocks(batches, SHARD):
             shard = Words(texts)
-            if len(shard.hashes) and len(test.hashes):
-                suffix, word, length = _matches(shard, test, left, window, depth)
-            else:
-                suffix = word = length = np.zeros(0, np.int64)
+            suffix, word, length = finder.places(shard)
             hit = np.zeros(len(shard.hashes) + 1, np.int64)
             np.add.at(hit, word, 1)
             np.add.at(hit, word + window[suffix], -1)
@@ -269,11 +281,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_B
     an item_id are one item; a null item_id marks words but is not named. Repeated documents give
     repeated rows. Other columns are not read.
     """
-    rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.xxhash64("text").alias("row"),
-        F.col("text").cast("string").alias("text"),
-    )
+    rows = keyed(docs)
     parts = benchmark_blocks(benchmark, limit) or [Benchmark(np.zeros(0, np.int64), np.zeros(0, bool), [])]
     scans = [rows.mapInArrow(_scan(block), FOUND) for block in parts]
     if len(scans) == 1:
@@ -312,6 +320,26 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_B
     )
 
 
+def clean_documents(docs: DataFrame, benchmark: DataFrame, limit: int = BENCHMARK_BLOCK) -> DataFrame:
+    """The documents, with all their columns, that hold no window of the benchmark. Nothing is shuffled."""
+
+    def without(block: Benchmark):
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            finder = Finder(block)
+            for rows, texts in blocks(batches, SHARD):
+                shard = Words(texts)
+                _, word, _ = finder.places(shard)
+                clean = np.ones(len(texts), bool)
+                clean[np.searchsorted(shard.first, word, side="right") - 1] = False
+                yield rows.filter(pa.array(clean))
+
+        return run
+
+    for block in benchmark_blocks(benchmark, limit):
+        docs = docs.mapInArrow(without(block), docs.schema)
+    return docs
+
+
 def report(found: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256 and contaminated, from ``find_matches``."""
     n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda n, s: n + s["hi"] - s["lo"])

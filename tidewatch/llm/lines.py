@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from .texts import as_bytes
+from .texts import NO_ID, as_bytes, keyed
 
 MIN_CHARS = 10
 FANOUT = 2
 BATCHES = 4
-#: Takes the place of a null doc_id: smaller than any other.
-NO_ID = -(1 << 63)
 
 
 def line_key(line: bytes) -> bytes:
@@ -73,13 +71,7 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 def _keyed(docs: DataFrame, *others: str) -> DataFrame:
-    text = F.col("text").cast("string")
-    return docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"),
-        F.xxhash64(text).alias("row"),
-        text.alias("text"),
-        *[F.col(c).alias(f"other_{i}") for i, c in enumerate(others)],
-    )
+    return keyed(docs, *others).withColumn("doc_id", F.coalesce("doc_id", F.lit(NO_ID)))
 
 
 @dataclass

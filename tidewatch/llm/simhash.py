@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..session import written
 from . import components
-from .texts import Block, blocks
+from .texts import NO_ID, Block, blocks, keyed
 
 BITS = 4
 SHARED = 8 - BITS
@@ -68,7 +68,7 @@ def _simhash(texts: list[bytes], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """doc_id and the 64-bit SimHash ``fp`` of every row, as a signed long.
+    """doc_id, row (a hash of the text) and the 64-bit SimHash ``fp`` of every row, as a signed long.
 
     Words lie between ASCII white space, A-Z lower-cased; features are runs of ``words`` words with
     their repeats, or all words of a shorter text. A null or wordless text has fingerprint zero.
@@ -77,10 +77,11 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, texts in blocks(batches):
             prints = _simhash(texts, words).view(np.int64)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("doc_id"), rows.column("row"), pa.array(prints)], names=["doc_id", "row", "fp"]
+            )
 
-    frame = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return frame.mapInArrow(run, "doc_id long, fp long")
+    return keyed(docs).mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _near(x: np.ndarray) -> np.ndarray:
@@ -215,21 +216,38 @@ def link_fingerprints(prints: DataFrame, list_limit: int = LIST_LIMIT) -> DataFr
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, list_limit: int = LIST_LIMIT) -> DataFrame:
-    """doc_id, fp and component_id (smallest doc_id reachable by links) of every row.
+    """doc_id, row, fp, component_id (smallest doc_id reachable by links) and first of every row.
 
-    Repeated rows give repeated results. A null doc_id keeps its row; it names a component only if
-    no other member has an id. Other columns of ``docs`` are not read.
+    ``first`` marks the one document of a component that stands for it: that of the smallest doc_id, of
+    rows that share it the smallest ``row``. Repeated rows give repeated results. A null doc_id keeps
+    its row and comes last; it names a component only if no member has an id. Other columns of
+    ``docs`` are not read.
     """
     prints = written(fingerprints(docs, words))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
+    nodes = prints.groupBy("fp").agg(F.min(place).alias("least"))
     tree = components.roots(link_fingerprints(nodes.select("fp"), list_limit))
     labelled = nodes.join(tree.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
     labelled = written(labelled)
-    named = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = labelled.join(named, "root").select("fp", "component_id")
-    return prints.join(names, "fp").select("doc_id", "fp", "component_id")
+    named = labelled.groupBy("root").agg(F.min("least").alias("least"))
+    names = labelled.select("fp", "root").join(named, "root").select("fp", "least")
+    return prints.join(names, "fp").select(
+        "doc_id",
+        "row",
+        "fp",
+        F.col("least.doc_id").alias("component_id"),
+        (F.col("doc_id").eqNullSafe(F.col("least.doc_id")) & (F.col("row") == F.col("least.row"))).alias("first"),
+    )
+
+
+def keep_first(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The documents that stand for their component in ``found``, rows alike in all columns once."""
+    gone = found.filter("not first").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("own_id"), "row").distinct()
+    text = F.col("text").cast("string")
+    keyed_ = docs.withColumns({"own_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)), "row": F.xxhash64(text)})
+    return keyed_.join(gone, ["own_id", "row"], "left_anti").drop("own_id", "row").dropDuplicates()
 
 
 def digits(fp: Column) -> Column:

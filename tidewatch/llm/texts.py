@@ -11,15 +11,29 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
 SPACES = b" \t\n\x0b\x0c\r"
+#: Takes the place of a null doc_id where rows meet by it: smaller than any other.
+NO_ID = -(1 << 63)
 
 _BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[int, np.ndarray] = {}
 
 
+def keyed(docs: DataFrame, *others: str) -> DataFrame:
+    """doc_id, row (a hash of the text, which tells rows of one doc_id apart), text, and other_0, other_1, ..."""
+    text = F.col("text").cast("string")
+    return docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(text).alias("row"),
+        text.alias("text"),
+        *[F.col(c).alias(f"other_{i}") for i, c in enumerate(others)],
+    )
+
+
 def byte_set(inside: Iterable[int]) -> np.ndarray:
     """A table of 256 flags."""
     table = np.zeros(256, bool)
