@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, lines, packing, simhash, substrings, toxicity
+from . import decontaminate, fingerprints, lines, packing, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +39,20 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they and the next one are."""
+    found = fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        fingerprints.digits(F.col("own")).alias("fingerprint"),
+        fingerprints.digits(F.col("changed")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        fingerprints.likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that every document loses to a smaller doc_id."""
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
@@ -56,6 +70,7 @@ QUERIES: dict[str, Query] = {
     "op2_toxicity": op2_toxicity,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_order_minhash": op7_order_minhash,
     "op8_line_dedup": op8_line_dedup,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
