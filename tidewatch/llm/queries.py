@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, fingerprints, lines, packing, quality, simhash, substrings, toxicity
+from . import chats, decontaminate, fingerprints, language_model, lines, packing, quality, simhash, substrings, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,11 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under the recurrent model and under word shares."""
+    return language_model.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and of its edited text, and how alike they and the next one are."""
     found = fingerprints.fingerprint_documents(table(spark, sf_dir, "documents"))
@@ -87,6 +92,7 @@ QUERIES: dict[str, Query] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_quality_classifier": op4_quality_classifier,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_order_minhash": op7_order_minhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
