@@ -1,6 +1,6 @@
 """Substring dedup by super-k-mers of words.
 
-Every window of twenty words has a minimiser: the least hash of its runs of eight words. Consecutive
+Every window of twenty words has a minimiser: the least hash of its runs of four words. Consecutive
 windows with the same minimiser travel as one packed string to the bucket of that minimiser, so equal
 windows meet, and a word travels about three times instead of twenty. A task gathers what it sends to
 a bucket in compressed parcels. In a bucket the windows are sorted by hash, equal hashes are compared
@@ -26,12 +26,14 @@ from pyspark.sql import functions as F
 
 from .texts import NO_ID, Block, blocks, keyed, mix, ranges, span_hashes
 
-WINDOW, RUN = 20, 8
+WINDOW = 20
 SLOTS = 1 << 16
 #: A slot is hot beyond so many times the mean, and beyond so many bytes.
 HOT_TIMES, HOT_BYTES = 4, 64 << 10
 #: Bytes of packed strings per bucket, and those a task holds before it sends them.
 BUCKET_BYTES, HELD_BYTES = 3 << 20, 24 << 20
+#: Bytes of whole texts that meet their marked spans in one group.
+HOME_BYTES = 2 << 20
 #: Windows of one packed string.
 LONGEST = 2_000
 
@@ -51,14 +53,13 @@ def _window_hashes(words: np.ndarray) -> np.ndarray:
 
 
 def _minimisers(words: np.ndarray) -> np.ndarray:
-    """The least hash of eight words within the twenty from each word on."""
+    """The least hash of four words within the twenty from each word on."""
     if len(words) < WINDOW:
         return np.zeros(0, np.uint64)
-    runs = _pairs(_pairs(_pairs(words, 1), 2), 4)
-    least = runs
-    for reach in (1, 2, 4):
+    least = _pairs(_pairs(words, 1), 2)
+    for reach in (1, 2, 4, 8):
         least = np.minimum(least[: len(least) - reach], least[reach:])
-    return np.minimum(least[: len(least) - 5], least[5:])
+    return np.minimum(least[:-1], least[1:])
 
 
 @dataclass
@@ -340,6 +341,79 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return _send(rows, hot, buckets).groupBy("bucket").applyInArrow(run, "doc_id long, lo long, hi long")
 
 
+def _homes(docs: np.ndarray, homes: int) -> np.ndarray:
+    """The group where a document meets its spans."""
+    return (mix(docs.astype(np.int64).view(np.uint64)) % np.uint64(homes)).astype(np.int64)
+
+
+def _text_parcels(docs: DataFrame, homes: int) -> DataFrame:
+    """Whole texts by home: home, doc_ids, sizes and texts, compressed together."""
+    names = ["home", "doc_ids", "sizes", "texts"]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[np.ndarray] = []
+        texts: list[bytes] = []
+        held = 0
+
+        def parcels() -> Iterator[pa.RecordBatch]:
+            press = zstandard.ZstdCompressor(level=3).compress
+            doc = np.concatenate(ids)
+            home = _homes(doc, homes)
+            order = np.argsort(home, kind="stable")
+            edges = np.flatnonzero(np.concatenate([[True], np.diff(home[order]) != 0, [True]])).tolist()
+            rows = []
+            for a, b in zip(edges[:-1], edges[1:]):
+                own = order[a:b]
+                part = [texts[i] for i in own.tolist()]
+                sizes = np.array([len(t) for t in part], "<i8")
+                rows.append((int(home[own[0]]), press(doc[own].astype("<i8").tobytes()), press(sizes.tobytes()), press(b"".join(part))))
+            for at in range(0, len(rows), 64):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[at : at + 64])], names=names)
+
+        for rows, own in blocks(batches):
+            ids.append(rows.column("doc_id").to_numpy())
+            texts.extend(own)
+            held += sum(map(len, own)) + 100 * len(own)
+            if held > HELD_BYTES:
+                yield from parcels()
+                ids, texts, held = [], [], 0
+        if ids:
+            yield from parcels()
+
+    return docs.mapInArrow(run, "home long, doc_ids binary, sizes binary, texts binary")
+
+
+def _without(docs: np.ndarray, texts: list[bytes], spans: pa.Table) -> pa.Table:
+    """The documents of a home without the words of their spans."""
+    block = Block(texts)
+    packed, starts, ends = block.pack()
+    order = np.argsort(docs, kind="stable")
+    own = spans.column("doc_id").to_numpy()
+    first = np.searchsorted(docs[order], own, side="left")
+    number = np.searchsorted(docs[order], own, side="right") - first
+    row = order[ranges(first, number)]
+    edge = np.zeros(len(starts) + 1, np.int64)
+    for column, step in (("lo", 1), ("hi", -1)):
+        word = np.repeat(spans.column(column).to_numpy(), number)
+        np.add.at(edge, block.first[row] + np.minimum(word, block.counts[row]), step)
+    kept = np.cumsum(edge[:-1]) == 0
+    sizes = ends - starts + 1
+    raw = packed[np.repeat(kept, sizes)].tobytes()
+    behind = np.concatenate([[0], np.cumsum(sizes * kept)])[block.first]
+    removed = np.concatenate([[0], np.cumsum(~kept)])[block.first]
+    # The space behind the last word goes.
+    out = [raw[a : max(a, b - 1)] for a, b in zip(behind[:-1].tolist(), behind[1:].tolist())]
+    return pa.table(
+        [
+            pa.array(docs),
+            pa.array(out, pa.binary()).cast(pa.string()),
+            pa.array(block.counts.astype(np.int64)),
+            pa.array(np.diff(removed)),
+        ],
+        names=["doc_id", "text", "n_words", "n_removed"],
+    )
+
+
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """Remove every word that a repeated window of twenty words covers.
 
@@ -348,45 +422,28 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     than any other. Rows that share a doc_id are one document: what is marked in one goes from all.
     Other columns are not read.
     """
-    spans = repeated_spans(docs).distinct().groupBy("doc_id").agg(
-        F.collect_list("lo").alias("lo"), F.collect_list("hi").alias("hi")
-    )
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, texts in blocks(batches):
-            block = Block(texts)
-            packed, starts, ends = block.pack()
-            raw = packed.tobytes()
-            out, removed = [], []
-            lows, highs = part.column("lo").to_pylist(), part.column("hi").to_pylist()
-            for i, (a, b) in enumerate(zip(block.first[:-1].tolist(), block.first[1:].tolist())):
-                if a == b:
-                    out.append(b"")
-                    removed.append(0)
-                    continue
-                begin, end = int(starts[a]), int(ends[b - 1])
-                if lows[i] is None:
-                    out.append(raw[begin:end])
-                    removed.append(0)
-                    continue
-                edge = np.zeros(b - a + 1, np.int64)
-                np.add.at(edge, np.minimum(lows[i], b - a), 1)
-                np.add.at(edge, np.minimum(highs[i], b - a), -1)
-                kept = np.cumsum(edge[:-1]) == 0
-                own = packed[begin : end + 1]
-                text = own[np.repeat(kept, ends[a:b] - starts[a:b] + 1)].tobytes()
-                out.append(text[:-1])
-                removed.append(int((~kept).sum()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("doc_id"),
-                    pa.array(out, pa.binary()).cast(pa.string()),
-                    pa.array(block.counts.astype(np.int64)),
-                    pa.array(removed, pa.int64()),
-                ],
-                names=["doc_id", "text", "n_words", "n_removed"],
-            )
-
-    done = rows.join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, text string, n_words long, n_removed long")
+    size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
+    homes = max(1, -(-size // HOME_BYTES))
+
+    def home(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array(_homes(batch.column("doc_id").to_numpy(), homes))
+            yield pa.RecordBatch.from_arrays([own, *batch.columns], names=["home", *batch.schema.names])
+
+    def finish(parcels: pa.Table, spans: pa.Table) -> pa.Table:
+        ids = _unpack(parcels.column("doc_ids"), "<i8")
+        sizes = _unpack(parcels.column("sizes"), "<i8")
+        raw = _unpack(parcels.column("texts"))
+        ends = np.cumsum(sizes)
+        texts = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+        return _without(ids.astype(np.int64), texts, spans)
+
+    spans = repeated_spans(docs).mapInArrow(home, "home long, doc_id long, lo long, hi long")
+    done = (
+        _text_parcels(rows, homes)
+        .groupBy("home")
+        .cogroup(spans.groupBy("home"))
+        .applyInArrow(finish, "doc_id long, text string, n_words long, n_removed long")
+    )
     return done.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
