@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, lines, packing, simhash, toxicity
+from tidewatch.llm.texts import bounded_batches
 from tidewatch.session import shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,19 +22,20 @@ TYPES = ("long", "string", "string", "string", "long")
 
 def _shaped(docs: DataFrame) -> DataFrame:
     """The columns of ``documents`` alone, whatever else is there."""
+    bounded_batches(docs.sparkSession)
     return docs.select(*[F.col(c).cast(t).alias(c) for c, t in zip(COLUMNS, TYPES)])
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.5; rows without a text stay."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score_documents(docs, labels, keep=COLUMNS[1:])
+    scored = toxicity.score_documents(_shaped(docs), labels, keep=COLUMNS[1:])
     return _shaped(scored.filter("score < 0.5"))
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents without the lines that a smaller doc_id has; n_chars follows. A null text becomes empty."""
-    kept = lines.dedup_lines(docs, keep=("lang", "source"))
+    kept = lines.dedup_lines(_shaped(docs), keep=("lang", "source"))
     return _shaped(kept.withColumn("n_chars", F.char_length("text").cast("long")))
 
 
@@ -51,7 +53,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of every document in the training sequences."""
-    return packing.pack_documents(docs)
+    return packing.pack_documents(_shaped(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

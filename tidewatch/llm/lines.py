@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import written
-from .texts import NO_ID, as_bytes, keyed
+from .texts import NO_ID, blocks, keyed
 
 MIN_CHARS = 10
 FANOUT = 2
@@ -44,9 +44,9 @@ def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """doc_id, row (a hash of the text, which tells rows of one doc_id apart), pos, h1 and h2 of every keyed line."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch, texts in blocks(batches):
             owner, places, first, second = [], [], [], []
-            for i, text in enumerate(as_bytes(batch.column("text"))):
+            for i, text in enumerate(texts):
                 for at, line in enumerate(text.split(b"\n")):
                     key = line_key(line)
                     if len(key) >= min_chars and _chars(key) >= min_chars:
@@ -172,9 +172,9 @@ def dedup_lines(docs: DataFrame, keep: tuple[str, ...] = (), batches: int = BATC
     """
 
     def run(parts: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts:
+        for batch, whole in blocks(parts):
             texts, n_lines, n_gone = [], [], []
-            for text, gone in zip(as_bytes(batch.column("text")), batch.column("gone").to_pylist()):
+            for text, gone in zip(whole, batch.column("gone").to_pylist()):
                 own = text.split(b"\n")
                 n_lines.append(len(own))
                 n_gone.append(len(gone or ()))

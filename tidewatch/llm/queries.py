@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chats, decontaminate, fingerprints, language_model, lines, packing, quality, simhash, substrings, toxicity
+from .texts import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

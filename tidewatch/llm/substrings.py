@@ -311,17 +311,18 @@ def _repeats(docs: np.ndarray, starts: np.ndarray, windows: np.ndarray, text: by
     return _spans(doc[verdict], start[verdict])
 
 
-def repeated_spans(docs: DataFrame) -> DataFrame:
-    """doc_id (null as the smallest number), lo and hi: spans of words that windows with an earlier start cover.
+def repeated_spans(docs: DataFrame, homes: int = 1) -> DataFrame:
+    """home, doc_id (null as the smallest number), lo and hi: spans of words that windows with an earlier start cover.
 
     A sequence of twenty words counts as repeated where it also starts in a smaller doc_id or earlier in
-    the same one. Spans of one document may overlap. Rows that share a doc_id are one document.
+    the same one. Spans of one document may overlap. Rows that share a doc_id are one document. ``home``
+    deals the documents into so many groups.
     """
     rows = keyed(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id"), "text")
     slots = _count_slots(rows)
     hot = slots > max(HOT_BYTES, HOT_TIMES * float(slots.mean()))
     buckets = max(1, -(-int(slots.sum()) // BUCKET_BYTES))
-    names = ["doc_id", "lo", "hi"]
+    names = ["home", "doc_id", "lo", "hi"]
 
     def run(table: pa.Table) -> pa.Table:
         text = _unpack(table.column("text"))
@@ -336,9 +337,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 )
             )
         found = np.concatenate(spans)
-        return pa.table([pa.array(found[:, i]) for i in range(3)], names=names)
+        return pa.table([pa.array(_homes(found[:, 0], homes)), *[pa.array(found[:, i]) for i in range(3)]], names=names)
 
-    return _send(rows, hot, buckets).groupBy("bucket").applyInArrow(run, "doc_id long, lo long, hi long")
+    return _send(rows, hot, buckets).groupBy("bucket").applyInArrow(run, "home long, doc_id long, lo long, hi long")
 
 
 def _homes(docs: np.ndarray, homes: int) -> np.ndarray:
@@ -426,11 +427,6 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text")).alias("bytes")).first()["bytes"] or 0
     homes = max(1, -(-size // HOME_BYTES))
 
-    def home(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            own = pa.array(_homes(batch.column("doc_id").to_numpy(), homes))
-            yield pa.RecordBatch.from_arrays([own, *batch.columns], names=["home", *batch.schema.names])
-
     def finish(parcels: pa.Table, spans: pa.Table) -> pa.Table:
         ids = _unpack(parcels.column("doc_ids"), "<i8")
         sizes = _unpack(parcels.column("sizes"), "<i8")
@@ -439,7 +435,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
         texts = [raw[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist())]
         return _without(ids.astype(np.int64), texts, spans)
 
-    spans = repeated_spans(docs).mapInArrow(home, "home long, doc_id long, lo long, hi long")
+    spans = repeated_spans(docs, homes)
     done = (
         _text_parcels(rows, homes)
         .groupBy("home")

@@ -6,15 +6,17 @@ last. A block is about ``BLOCK`` bytes; a longer text is a block of its own. Nul
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK = 1 << 20
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 SPACES = b" \t\n\x0b\x0c\r"
 #: Takes the place of a null doc_id where rows meet by it: smaller than any other.
 NO_ID = -(1 << 63)
@@ -134,20 +136,43 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return pc.fill_null(column.cast(pa.large_binary()), b"").to_pylist()
 
 
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches of about 8 MB, unless it names a size of its own.
+
+    The default is a number of rows, and rows here are whole texts.
+    """
+    if BATCH_BYTES not in spark.conf.getAll:
+        spark.conf.set(BATCH_BYTES, 8 << 20)
+    return spark
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: a worker lives on between tasks and stages of other work."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def blocks(
     batches: Iterable[pa.RecordBatch], limit: int = BLOCK, column: str = "text"
 ) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """The rows of a task in blocks of whole texts, each with its rows."""
-    for batch in batches:
-        texts = as_bytes(batch.column(column))
-        start, size = 0, 0
-        for i, text in enumerate(texts):
-            if i > start and size + len(text) > limit:
-                yield batch.slice(start, i - start), texts[start:i]
-                start, size = i, 0
-            size += len(text) + 1
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+    try:
+        for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(column).cast(pa.large_binary())), 0).to_numpy()
+            start, size = 0, 0
+            for i, own in enumerate(sizes.tolist()):
+                if i > start and size + own > limit:
+                    part = batch.slice(start, i - start)
+                    yield part, as_bytes(part.column(column))
+                    start, size = i, 0
+                size += own + 1
+            if start < len(sizes):
+                part = batch.slice(start)
+                yield part, as_bytes(part.column(column))
+    finally:
+        _give_back()
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

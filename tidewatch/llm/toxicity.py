@@ -32,6 +32,8 @@ ORDER, SHARED = 6, 3
 PASSAGE = 3
 TOP = (1, 4, 12)
 FEATURES = 3 + len(TOP) + 1
+#: So many bytes of ordinary text stand beside a text and beside a passage, so that a few words prove little.
+BESIDE, BESIDE_PASSAGE = 64, 16
 #: Bounds of the labelled sample: rows and bytes of text per label.
 ROWS, SIZE = 6_000, 6 << 20
 
@@ -77,7 +79,9 @@ class Model:
 
     grams: list[tuple[np.ndarray, np.ndarray]]
     contexts: list[tuple[np.ndarray, np.ndarray]]
-    weights: np.ndarray
+    curve: logistic.Curve | None = None
+    #: The log ratio per byte of ordinary text.
+    ordinary: float = 0.0
 
     def log_ratios(self, keys: np.ndarray) -> np.ndarray:
         """log toxic - log ordinary probability of the last byte of each key."""
@@ -98,11 +102,12 @@ class Model:
     def features(self, texts: list[bytes]) -> np.ndarray:
         """Log ratios of each text over lengths of its own.
 
-        Per byte of the whole text and of its highest passage, per word of its most suspicious words (of a
+        Per byte of the whole text and of its highest passage (each beside some ordinary text), per word of its most suspicious words (of a
         shorter text, per word asked for), the share of words that clearly speak for toxicity, and the
         log of its words.
         """
         out = np.zeros((len(texts), FEATURES))
+        out[:, :2] = self.ordinary
         block = Block(texts, lower=True)
         if not len(block.starts):
             return out
@@ -115,13 +120,14 @@ class Model:
         length = np.concatenate([[0], np.cumsum(sizes)])
         a, b = block.first[:-1], block.first[1:]
         full = b > a
-        out[full, 0] = (total[b] - total[a])[full] / (length[b] - length[a])[full]
+        beside = BESIDE * self.ordinary
+        out[full, 0] = ((total[b] - total[a]) + beside)[full] / ((length[b] - length[a]) + BESIDE)[full]
         owner = block.owner()
         start = np.arange(len(word))
         end = np.minimum(start + PASSAGE, b[owner])
         # The last words of a text lie in the passage before; a shorter text is one passage.
-        passage = np.where((end - start == PASSAGE) | (start == a[owner]), (total[end] - total[start]), -np.inf)
-        passage /= length[end] - length[start]
+        passage = (total[end] - total[start] + BESIDE_PASSAGE * self.ordinary) / (length[end] - length[start] + BESIDE_PASSAGE)
+        passage[(end - start < PASSAGE) & (start != a[owner])] = -np.inf
         out[full, 1] = np.maximum.reduceat(passage, a[full])
         out[:, 2] = np.log1p(b - a)
         best = np.concatenate([[0.0], np.cumsum(word[np.lexsort((-word, owner))])])
@@ -132,7 +138,7 @@ class Model:
         return out
 
     def score(self, texts: list[bytes]) -> np.ndarray:
-        return logistic.apply(self.features(texts), self.weights)
+        return self.curve(self.features(texts))
 
 
 def count_model(texts: list[bytes], labels: np.ndarray) -> Model:
@@ -153,7 +159,7 @@ def count_model(texts: list[bytes], labels: np.ndarray) -> Model:
                     found.append((own, pair))
             held, size = [], 0
     if not found:
-        return Model([], [], np.zeros(FEATURES + 1))
+        return Model([], [])
     keys, counts = _counted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
     # Six bytes seen once in all say nothing about a class.
     seen = counts.sum(axis=1) > 1
@@ -187,7 +193,7 @@ def count_model(texts: list[bytes], labels: np.ndarray) -> Model:
             grams.append((own, (ratio[:, 1] - ratio[:, 0]).astype(np.float32)))
             backs = np.log(back)
             contexts.append((context[first], (backs[:, 1] - backs[:, 0]).astype(np.float32)))
-    return Model(grams[::-1], contexts[::-1], np.zeros(4))
+    return Model(grams[::-1], contexts[::-1])
 
 
 def train(sample: Sample, folds: int = 5) -> Model:
@@ -195,21 +201,28 @@ def train(sample: Sample, folds: int = 5) -> Model:
 
     The curve weighs the rows by the share of their label among all training rows.
     """
-    if len(set(sample.labels.tolist())) < 2:
-        return Model([], [], np.array([*np.zeros(FEATURES), 10.0 if sample.totals[1] else -10.0]))
+    y = sample.labels
+    if len(set(y.tolist())) < 2:
+        return Model([], [], logistic.constant(FEATURES, sample.totals[1] > 0))
     part = np.arange(len(sample.texts)) % folds
-    x = np.zeros((len(sample.texts), FEATURES))
+    models = []
     for fold in range(folds):
         own = part == fold
-        if own.any():
-            model = count_model([t for t, f in zip(sample.texts, own) if not f], sample.labels[~own])
+        models.append(count_model([t for t, f in zip(sample.texts, own) if not f], y[~own]))
+
+    def unseen(ordinary: float) -> np.ndarray:
+        x = np.zeros((len(sample.texts), FEATURES))
+        for fold, model in enumerate(models):
+            own = part == fold
+            model.ordinary = ordinary
             x[own] = model.features([t for t, f in zip(sample.texts, own) if f])
-    y = sample.labels
+        return x
+
+    ordinary = float(np.median(unseen(0.0)[y == 0, 0]))
     weight = np.array(sample.totals, float)[y] / np.bincount(y, minlength=2)[y]
-    scale = np.maximum(x.std(axis=0), 1e-6)
-    w = logistic.fit(x / scale, y, weight)
+    curve = logistic.fit(unseen(ordinary), y, weight)
     model = count_model(sample.texts, y)
-    model.weights = np.concatenate([w[:-1] / scale, w[-1:]])
+    model.curve, model.ordinary = curve, ordinary
     return model
 
 
