@@ -1,9 +1,8 @@
 from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from tidewatch.config import CycleConfig, ServiceConfig
+from tidewatch.config import CycleConfig
 from tidewatch.operators import admission as A
 from tidewatch.operators import merge, robots
 from tidewatch.operators import parse as P
@@ -135,86 +134,6 @@ def test_path_patterns(spark):
     assert df.filter(robots.path_matches(F.col("p"), F.col("pat")) != F.col("want")).count() == 0
 
 
-def probe_rows(n=400, services=("x", "y")):
-    rows = []
-    for i in range(n):
-        t = i * 700 + (i % 7) * 90 + (600_000 if i > n // 2 else 0)
-        verdict = ["passed", "passed", "failed", "passed", "blocked", "passed"][(i * 7 // 3) % 6] if i % 11 else "failed"
-        wait = 30_000 if i % 50 == 3 else None
-        rows.append((i, services[i % 5 != 0], f"c{i // 120}", t, verdict, wait, i % 13 != 0))
-    return rows
-
-
-PROBE = "id bigint, service string, cycle_id string, at_ms bigint, verdict string, retry_after_ms bigint, robots_allowed boolean"
-
-
-def sequential(rows, cfg):
-    out = {}
-    for service in {r[1] for r in rows}:
-        own = sorted([r for r in rows if r[1] == service], key=lambda r: (r[3], r[0]))
-        gate = A.Gate(cfg, A.START_STATE)
-        names = ["id", "service", "cycle_id", "at_ms", "verdict", "retry_after_ms", "robots_allowed"]
-        for row, reason in zip(own, gate.replay(pd.DataFrame(own, columns=names))):
-            out[row[0]] = reason
-    return out
-
-
-def test_admission_slices_equal_one_pass(spark):
-    cfg = ServiceConfig(budget_per_cycle=9, rate_per_minute=60, failure_threshold=4, blocked_cooldown_ms=3000)
-    rows = probe_rows()
-    want = sequential(rows, cfg)
-    assert len({w for w in want.values()}) >= 5
-    df = spark.createDataFrame(rows, PROBE)
-    got = A.admission_replay(df, cfg, slice_rows=60, block_ms=50_000).collect()
-    assert {r.id: r.skip_reason for r in got} == want
-
-
-def test_gate_limits():
-    gate = A.Gate(ServiceConfig(rate_per_minute=30), A.START_STATE)
-    reasons = [gate.admit(0, "c") for _ in range(11)]
-    assert reasons == [None] * 10 + ["rate_budget_exhausted"]
-    assert gate.admit(2000, "c") is None and gate.admit(2000, "c") == "rate_budget_exhausted"
-    gate.record(2000, "blocked", None)
-    assert gate.admit(61_999, "c") == "rate_cooldown" and gate.admit(62_000, "c") is None
-    gate.record(62_000, "blocked", 10**9)
-    assert gate.cooldown_until == 62_000 + 300_000
-
-
-def test_admission_stream_equals_one_pass(spark, tmp_path):
-    cfg = ServiceConfig(budget_per_cycle=9, rate_per_minute=60, failure_threshold=4, blocked_cooldown_ms=3000)
-    rows = sorted(probe_rows(120), key=lambda r: r[3])
-    for k in range(2):
-        part = rows[k * 60 : (k + 1) * 60]
-        spark.createDataFrame(part, PROBE).coalesce(1).write.parquet(f"{tmp_path}/in/p{k}")
-    stream = (
-        spark.readStream.schema(PROBE).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
-    )
-    query = (
-        S.admission_stream(stream, cfg).writeStream.format("memory").queryName("admitted").outputMode("append")
-        .trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/cp").start()
-    )
-    query.awaitTermination(90)
-    got = {r.id: r.skip_reason for r in spark.table("admitted").collect()}
-    assert got == sequential(rows, cfg)
-
-
-def checks(spark, n=300):
-    t0 = datetime(2024, 1, 1)
-    rows = [
-        (i, 7 if i % 3 else i % 10, t0 + timedelta(minutes=i * 11), (i * 5) % 7 > 2 and i < n - 40)
-        for i in range(n)
-    ]
-    return rows, "id bigint, proxy_id bigint, created_at timestamp_ntz, reachable boolean"
-
-
-def fold(rows):
-    out = {}
-    for i, proxy, ts, ok in sorted(rows, key=lambda r: (r[2], r[0])):
-        n, p, f, _, last = out.get(proxy, (0, 0, 0, None, None))
-        out[proxy] = (n + 1, p + ok, 0 if ok else f + 1, ts, ts if ok else last)
-    return out
-
-
 def test_endpoint_state_batch_and_stream(spark, tmp_path):
     rows, ddl = checks(spark)
     want = fold(rows)

@@ -333,7 +333,7 @@ def sweep_counts(spark, sf_dir):
 
 @query(
     """SELECT cycle_id, CASE WHEN status = 'failed' THEN 'failed' WHEN cycle_id = 'cyc_2' THEN 'completed' ELSE 'failed' END AS status,
-  CASE WHEN status = 'failed' THEN NULL WHEN cycle_id = 'cyc_2' THEN NULL WHEN cycle_id = 'cyc_3' THEN repeat('x', 500)
+  CASE WHEN status = 'failed' THEN NULL WHEN cycle_id = 'cyc_2' THEN NULL WHEN cycle_id = 'cyc_3' THEN repeat('x', 600)
     ELSE 'abandoned: worker restarted mid-cycle' END AS error,
   CASE WHEN cycle_id = 'cyc_2' AND status <> 'failed' THEN 77 ELSE 0 END AS pool_size FROM fx_cycles""",
     ("fx_cycles",),
@@ -402,17 +402,6 @@ def endpoint_state(spark, sf_dir):
     return state.withColumns({n: iso_text(F.col(n)) for n in ("last_checked_at", "last_passed_at")})
 
 
-@query()
-def admission_replay(spark, sf_dir):
-    """Probe admission over the service log; an ordered state machine, so no SQL twin."""
-    probes = fx.view(spark, sf_dir, "fx_service").select(
-        "id", "service", "cycle_id", epoch_ms(F.col("created_at")).alias("at_ms"), F.col("status").alias("verdict"),
-        F.when(F.col("id") % 9 == 0, (F.col("id") % 120) * 1000).alias("retry_after_ms"),
-        (F.col("id") % 13 != 0).alias("robots_allowed"),
-    )
-    return admission.admission_replay(probes, ServiceConfig(budget_per_cycle=40))
-
-
 ATTEMPTS = "error_code IS NULL OR error_code NOT IN ('timeout', 'connect_reset', 'protocol_error', 'dns_error', 'tls_error')"
 
 
@@ -442,12 +431,12 @@ def retry_plan(spark, sf_dir):
     """, j AS (SELECT *, event_id % 8 AS k FROM events),
   good AS (SELECT event_id, 1 + event_id % 3 AS attempt FROM j WHERE k IN (0, 4, 5) OR (k <> 6 AND event_id % 7 <> 0))
 SELECT event_id AS id, CASE WHEN attempt < 3 THEN attempt + 1 ELSE attempt END AS attempt, CASE WHEN attempt < 3 THEN 'retry' ELSE 'drop' END AS fate
-FROM good WHERE event_id % 4 = 1"""
+FROM good"""
 )
 def job_retries(spark, sf_dir):
-    """A batch of jobs of which every fourth fails: sent again or given up."""
+    """A batch of jobs that all fail: sent again or given up."""
     good, _ = job_source.split_jobs(job_source.parse_jobs(fx.view(spark, sf_dir, "fx_jobs")))
-    failed = good.withColumn("attempt", (1 + F.col("id") % 3).cast("int")).filter("id % 4 = 1")
+    failed = good.withColumn("attempt", (1 + F.col("id") % 3).cast("int"))
     again, dropped = retry_failed(failed, 3)
     tag = lambda df, name: df.select("id", "attempt", F.lit(name).alias("fate"))
     return tag(again, "retry").unionByName(tag(dropped, "drop"))

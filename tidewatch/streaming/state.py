@@ -1,17 +1,11 @@
-"""Stateful streams: endpoint counters, probe admission and request counts."""
+"""Stateful streams: endpoint counters and request counts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..config import ServiceConfig
-from ..functions.text import epoch_ms
-from ..operators.admission import START_STATE, STATE_DDL, Gate, endpoint_state, replay_stream
+from ..operators.admission import endpoint_state
 
 
 def request_counts(
@@ -38,27 +32,6 @@ def request_counts(
     )
 
 
-def admission_stream(probes: DataFrame, cfg: ServiceConfig = ServiceConfig()) -> DataFrame:
-    """Admission of a stream of wanted probes, one small state per service.
-
-    The rows of a service within a micro-batch are decided in time order; the reader's
-    ``maxFilesPerTrigger`` bounds a micro-batch and with it what one task holds.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        gate = Gate(cfg, state.get if state.exists else START_STATE)
-        yield from replay_stream(frames, gate)
-        state.update(gate.state)
-
-    return probes.groupBy("service").applyInPandasWithState(
-        step,
-        "id BIGINT, service STRING, cycle_id STRING, at_ms BIGINT, verdict STRING, skip_reason STRING",
-        STATE_DDL,
-        "append",
-        GroupStateTimeout.NoTimeout,
-    )
-
-
 COUNTERS = ["check_count", "pass_count", "consecutive_failures", "last_checked_at", "last_passed_at"]
 
 
@@ -84,7 +57,3 @@ def merge_endpoint_state(state: DataFrame, batch: DataFrame) -> DataFrame:
         F.max("last_passed_at").alias("last_passed_at"),
     )
 
-
-def with_event_ms(df: DataFrame, ts: str) -> DataFrame:
-    """Add ``at_ms`` for the ordered operators."""
-    return df.withColumn("at_ms", epoch_ms(F.col(ts)))
