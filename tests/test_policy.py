@@ -1,11 +1,10 @@
-import re
-
 from pyspark.sql import functions as F
 
 from tidewatch.functions import address as A
 from tidewatch.functions import probe
 from tidewatch.functions import url as U
-from tidewatch.functions.redact import SECRET_NAME, redact_text, redact_value
+from tidewatch.functions.keys import short_hash
+from tidewatch.functions.redact import is_secret_name, redact_text, redact_value, secret_name
 from tidewatch.functions.text import safe_message
 from tidewatch.plans.documents import pool_requests
 
@@ -103,7 +102,7 @@ def test_request_identity(spark):
     ).collect()
     assert [(r.k, r.a, r.o) for r in got] == [
         ("pp:/pool?a=1&a=0&b=2", "1.2.3.4", "https://h"),
-        ("pp:/", "9.9.9.9", "https://h"),
+        ("pp:/", "x" * 65, "https://h"),
     ]
 
 
@@ -180,6 +179,15 @@ def test_redaction(spark):
         'password="hunter22" ok': 'password="[redacted]" ok',
         "pwd = topsecret;": "pwd = [redacted];",
         "nothing here": "nothing here",
+        "see ftp://a:b@h/p@q and http://x@y/ ok": "see ftp://[redacted]@h/p@q and http://x@y/ ok",
+        "two: a://u:p@h,b://v:w@i": "two: a://[redacted]@h,b://[redacted]@i",
+        "/q?x=1&My_Sig=zz&y=2#token=abc": "/q?x=1&My_Sig=[redacted]&y=2#token=[redacted]",
+        "what? is = a & b": "what? is = a & b",
+        "basic dXNlcjpwdw== digest short": "basic [redacted] digest short",
+        "{'secret': 'a b', \"token\": \"abc\"}": "{'secret': 'a b', \"token\": \"[redacted]\"}",
+        "pwd=ab cookie:abc;auth='open": "pwd=ab cookie:[redacted];auth='open",
+        "mytoken=abcdef tokens=abcdef": "mytoken=abcdef tokens=abcdef",
+        "PassWord\n=\n abcd,x": "PassWord\n=\n [redacted],x",
     }
     df = spark.createDataFrame([(t,) for t in cases], "t string")
     assert [r[0] for r in df.select(redact_text(F.col("t"))).collect()] == list(cases.values())
@@ -190,8 +198,22 @@ def test_redaction(spark):
     out = record.select(*[redact_value(F.col(f.name), f.dataType, f.name).alias(f.name) for f in record.schema]).first()
     assert out.api_key.startswith("[redacted] (len=3 fnv=") and out.url == "http://[redacted]@h/"
     assert out.tags["token"].startswith("[redacted] (len=3") and out.tags["note"] == "pwd=[redacted]"
-    assert len(out["items"]) == 64 and out.session == "[redacted]"
-    assert re.search(SECRET_NAME, "x-api-key") and not re.search(SECRET_NAME, "monkey")
+    assert len(out["items"]) == 70 and out.session == "[redacted]"
+    names = ["x-api-key", "monkey", "Set-Cookie", "client_secret", "authority", "user_pass", "API_KEY_ID", "key"]
+    told = spark.createDataFrame([(n,) for n in names], "n string").select(secret_name(F.col("n"))).collect()
+    assert [r[0] for r in told] == [is_secret_name(n) for n in names] == [True, False, True, True, False, True, True, False]
+
+
+def test_fingerprints_count_utf16_units(spark):
+    df = spark.createDataFrame([("abc",), ("a\U0001f600b\u00e9\u20ac",), ("",)], "t string")
+
+    def want(text):
+        raw, state = text.encode("utf-16-be"), 2166136261
+        for i in range(0, len(raw), 2):
+            state = (state ^ int.from_bytes(raw[i : i + 2], "big")) * 16777619 % 2**32
+        return f"len={len(raw) // 2} fnv={state:08x}"
+
+    assert [r[0] for r in df.select(short_hash(F.col("t"))).collect()] == [want(r.t) for r in df.collect()]
 
 
 def test_pool_requests(spark):

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import utf16_units
+
 # FNV-1a start values and primes. The 64-bit state is kept as two
 # 32-bit halves, so no step can overflow a bigint with ANSI arithmetic on.
 FNV64_HIGH, FNV64_LOW = 3421674724, 2216829733
@@ -56,12 +58,27 @@ def dedupe_hash(protocol: Column, host: Column, port: Column, username: Column)
     return fnv64(dedupe_key(protocol, host, port, username))
 
 
+def utf16_codes(text: Column) -> Column:
+    """The UTF-16 code units of a text; characters beyond the basic plane have two."""
+
+    def units(letter: Column) -> Column:
+        pairs = F.hex(F.encode(letter, "UTF-16BE"))
+        first = F.conv(F.substring(pairs, 1, 4), 16, 10).cast("bigint")
+        second = F.conv(F.substring(pairs, 5, 4), 16, 10).cast("bigint")
+        return F.when(F.length(pairs) > 4, F.array(first, second)).otherwise(F.array(first))
+
+    # Almost every letter is one unit, whose number is its code point.
+    return F.when(
+        text.rlike("[^\\x{0}-\\x{FFFF}]"), F.flatten(F.transform(_letters(text), units))
+    ).otherwise(F.transform(_letters(text), _code))
+
+
 def fnv32(text: Column) -> Column:
-    """FNV-1a 32 as a bigint."""
+    """FNV-1a 32 over UTF-16 code units, as a bigint."""
     return F.aggregate(
-        _letters(text),
+        utf16_codes(text),
         F.lit(FNV32_START).cast("bigint"),
-        lambda h, c: (h.bitwiseXOR(_code(c)) * FNV32_PRIME).bitwiseAND(F.lit(LOW32)),
+        lambda h, c: (h.bitwiseXOR(c) * FNV32_PRIME).bitwiseAND(F.lit(LOW32)),
     )
 
 
@@ -76,7 +93,8 @@ def bucket_of(text: Column, buckets: int) -> Column:
 
 def short_hash(text: Column) -> Column:
     """Length and fingerprint, enough to correlate a secret without showing it."""
-    return F.concat(F.lit("len="), F.length(text).cast("string"), F.lit(" fnv="), fnv32_hex(text))
+    units = utf16_units(text).cast("bigint").cast("string")
+    return F.concat(F.lit("len="), units, F.lit(" fnv="), fnv32_hex(text))
 
 
 def redacted_url(protocol: Column, host: Column, port: Column, username: Column) -> Column:

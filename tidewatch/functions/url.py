@@ -204,12 +204,20 @@ def host_is_literal_ip(host: Column) -> Column:
 
 
 def cache_key(url: Column, namespace: str = "pp") -> Column:
-    """Path and sorted query without the cache-busting parameters."""
+    """Path and sorted query without the cache-busting parameters.
+
+    Names and values are read and written again, so one text has one spelling.
+    """
+
+    def read(part: Column) -> Column:
+        # Text that is no valid escape stands for itself.
+        return F.coalesce(F.try_url_decode(part), F.replace(part, F.lit("+"), F.lit(" ")))
+
     pairs = F.transform(
         F.filter(F.split(query_of(url), "&"), lambda p: p != ""),
         lambda p: F.struct(
-            F.substring_index(p, "=", 1).alias("name"),
-            F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("value"),
+            read(F.substring_index(p, "=", 1)).alias("name"),
+            read(F.when(p.contains("="), F.regexp_replace(p, "^[^=]*=", "")).otherwise("")).alias("value"),
         ),
     )
     kept = F.filter(pairs, lambda p: ~p["name"].isin("bypass_cache", "_"))
@@ -217,19 +225,24 @@ def cache_key(url: Column, namespace: str = "pp") -> Column:
     ordered = F.array_sort(
         F.transform(kept, lambda p, i: F.struct(p["name"].alias("name"), i.alias("pos"), p["value"].alias("value")))
     )
-    query = F.array_join(F.transform(ordered, lambda p: F.concat(p["name"], F.lit("="), p["value"])), "&")
+    query = F.array_join(
+        F.transform(ordered, lambda p: F.concat(F.url_encode(p["name"]), F.lit("="), F.url_encode(p["value"]))), "&"
+    )
     return F.concat(
         F.lit(namespace + ":"), path_of(url), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))
     )
 
 
 def client_address(forwarded: Column, fallback: Column) -> Column:
-    """First forwarded address of at most 64 characters, else the fallback header's."""
+    """First forwarded address, else the fallback header's."""
 
     def first(header: Column) -> Column:
         entry = squeeze_ends(F.substring_index(header, ",", 1))
-        return F.when((F.length(entry) > 0) & (F.length(entry) <= 64), entry)
+        return F.when(F.length(entry) > 0, entry)
 
     return F.coalesce(first(forwarded), first(fallback), F.lit("unknown"))
 
 
+def odd_client(client: Column, most: int = 64) -> Column:
+    """A client address longer than an address can be."""
+    return F.length(client) > most
