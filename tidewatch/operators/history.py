@@ -12,13 +12,10 @@ from ..config import RetentionConfig
 from ..functions.text import at, instant
 from ..schemas import CYCLES, META, conform
 
+# Fixed value: the error of a cycle that never came to its end.
 ABANDONED = "abandoned: worker restarted mid-cycle"
 
 
-def clamp_limit(limit: int, most: int) -> int:
-    return min(max(1, limit), most)
-
-
 # Cycles -----------------------------------------------------------------------
 
 
@@ -35,9 +32,10 @@ def current_cycle(cycles: DataFrame) -> DataFrame:
     return cycles.filter("status = 'running'").orderBy(F.col("started_at").desc()).limit(1)
 
 
-def list_cycles(cycles: DataFrame, limit: int = 20, most: int = 500) -> DataFrame:
-    """Latest cycles by start; views cap the limit at 100, the table read at 500."""
-    return cycles.orderBy(F.col("started_at").desc(), F.col("cycle_id").desc()).limit(clamp_limit(limit, most))
+def list_cycles(cycles: DataFrame, limit: int | None = None) -> DataFrame:
+    """Latest cycles by start, all of them or as many as asked for."""
+    ordered = cycles.orderBy(F.col("started_at").desc(), F.col("cycle_id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def latest_versions(rows: DataFrame, key: str, version: Sequence[str]) -> DataFrame:
@@ -71,7 +69,7 @@ def complete_cycle(cycles: DataFrame, cycle_id: str, counters: dict[str, Column
 
 def fail_cycle(cycles: DataFrame, cycle_id: str, error: str, now: datetime | str, duration_ms: int | None = None) -> DataFrame:
     return _close(
-        cycles, F.col("cycle_id") == cycle_id, now, status="failed", error=error[:500], duration_ms=duration_ms
+        cycles, F.col("cycle_id") == cycle_id, now, status="failed", error=error, duration_ms=duration_ms
     )
 
 
@@ -119,23 +117,26 @@ def maintenance_due(last_prune: datetime | str | None, now: datetime | str) -> b
 # Results ----------------------------------------------------------------------
 
 
-def results_of_cycle(results: DataFrame, cycle_id: str, limit: int = 500, service: str | None = None) -> DataFrame:
-    """Newest results of a cycle, at most 5000."""
+def results_of_cycle(
+    results: DataFrame, cycle_id: str, limit: int | None = None, service: str | None = None
+) -> DataFrame:
+    """Results of a cycle, newest first, all of them or as many as asked for."""
     own = results.filter(F.col("cycle_id") == cycle_id)
     if service is not None:
         own = own.filter(F.col("service") == service)
-    return own.orderBy(F.col("id").desc()).limit(clamp_limit(limit, 5000))
+    ordered = own.orderBy(F.col("id").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def recent_per_endpoint(checks: DataFrame, limit: int = 10) -> DataFrame:
-    """Newest checks per endpoint, at most 100 each.
+    """The ``limit`` newest checks per endpoint.
 
     The rank filter is pushed below the shuffle as a per-task group limit, so a busy
     endpoint sends no more than ``limit`` rows per task.
     """
     order = Window.partitionBy("proxy_id").orderBy(F.col("created_at").desc(), F.col("id").desc())
     ranked = checks.withColumn("nth", F.row_number().over(order))
-    return ranked.filter(F.col("nth") <= clamp_limit(limit, 100))
+    return ranked.filter(F.col("nth") <= limit)
 
 
 def latest_result(results: DataFrame, keys: Sequence[str] = ("proxy_id", "service")) -> DataFrame:
@@ -150,9 +151,9 @@ def latest_result(results: DataFrame, keys: Sequence[str] = ("proxy_id", "servic
 
 def meta_latest(meta: DataFrame) -> DataFrame:
     """Current value per key of the appended key/value table; removed keys are gone."""
-    return latest_versions(conform(meta, META), "key", ["updated_at", "value"]).filter(
-        ~F.coalesce(F.col("deleted"), F.lit(False))
-    )
+    rows = conform(meta, META).withColumn("seq", F.coalesce("seq", F.lit(0)))
+    newest = latest_versions(rows, "key", ["updated_at", "seq", "value"])
+    return newest.filter(~F.coalesce(F.col("deleted"), F.lit(False))).drop("seq")
 
 
 def meta_json(meta: DataFrame, key: str, path: str, kind: str = "string") -> DataFrame:

@@ -59,7 +59,7 @@ CYCLES = _table(
     service_passed BIGINT, pool_size BIGINT, pool_added BIGINT, pool_quarantined BIGINT,
     pool_expired BIGINT, duration_ms BIGINT, error STRING"""
 )
-META = _table("key STRING, value STRING, updated_at TIMESTAMP_NTZ, deleted BOOLEAN")
+META = _table("key STRING, value STRING, updated_at TIMESTAMP_NTZ, deleted BOOLEAN, seq BIGINT")
 JOBS = _table(
     """job_id STRING, type STRING, cycle_id STRING, issued_at STRING, proxy_id DOUBLE,
     reason STRING, attempt INT"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,9 @@ class Tables:
     """Parquet tables under one root.
 
     Facts are partitioned by day and by the batch that wrote them; a batch that runs again
-    replaces its own folder, so a retried micro-batch adds nothing twice. A snapshot is a
-    new folder per version; readers follow the pointer row, which is written last.
+    replaces its own folder, so a retried micro-batch adds nothing twice. A snapshot is a new
+    folder per attempt to write it, so no attempt touches rows that a pointer names or that it
+    reads itself; readers follow the pointer row, which is written last and holds the folder.
     """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
@@ -48,26 +50,33 @@ class Tables:
 
     def commit(self, name: str, rows: DataFrame, version: str, now: datetime | str) -> None:
         """Write a whole new version, then point readers to it."""
-        path = f"{self.root}/{name}/v={version}"
-        conform(rows, SNAPSHOTS[name]).write.mode("overwrite").parquet(path)
-        self.put_meta(f"snapshot.{name}", version, now)
+        folder = f"{version}-{uuid.uuid4().hex[:12]}"
+        conform(rows, SNAPSHOTS[name]).write.parquet(f"{self.root}/{name}/v={folder}")
+        self.put_meta(f"snapshot.{name}", folder, now)
+
+    def committed(self, name: str) -> str | None:
+        """The version the pointer names."""
+        folder = self.get_meta(f"snapshot.{name}")
+        return None if folder is None else folder.rpartition("-")[0]
 
     def snapshot(self, name: str) -> DataFrame:
         """The version the pointer names, an empty table before the first commit."""
-        version = self.get_meta(f"snapshot.{name}")
-        if version is None:
+        folder = self.get_meta(f"snapshot.{name}")
+        if folder is None:
             return self.spark.createDataFrame([], SNAPSHOTS[name])
-        return self.spark.read.schema(SNAPSHOTS[name]).parquet(f"{self.root}/{name}/v={version}")
+        return self.spark.read.schema(SNAPSHOTS[name]).parquet(f"{self.root}/{name}/v={folder}")
 
     # Key/value rows.
 
     def put_meta(self, key: str, value: str | None, now: datetime | str) -> None:
-        """Append a value, or a removal mark when ``value`` is None."""
+        """Append a value, or a removal mark when ``value`` is None; a number orders values of one instant."""
+        last = self.meta().filter(F.col("key") == key).agg(F.max("seq")).first()[0]
         row = self.spark.range(1).select(
             F.lit(key).alias("key"),
             F.lit(value or "").alias("value"),
             at(instant(now)).alias("updated_at"),
             F.lit(value is None).alias("deleted"),
+            F.lit((last or 0) + 1).cast("bigint").alias("seq"),
         )
         conform(row, META).coalesce(1).write.mode("append").parquet(f"{self.root}/meta")
 

@@ -94,11 +94,14 @@ def refresh_stream(
     """A refresh cycle per micro-batch of raw lines.
 
     ``recorded`` gives the outcomes and probes of the moment, ``clock`` the instant of a
-    batch. ``every`` is the cadence; without it the query works off what is there. Facts and
-    snapshots are written under the batch number, the pointer last, so a rerun is harmless.
+    batch. ``every`` is the cadence; without it the query works off what is there. The endpoint
+    pointer is the last write of a batch: a batch it names is done and not run again, and any
+    other starts from the snapshot it started from before, so its facts replace the same facts.
     """
 
     def cycle(batch: DataFrame, number: int) -> None:
+        if tables.committed("endpoints") == str(number):
+            return
         spark, now = batch.sparkSession, clock(number)
         outcomes, probes = recorded(spark)
         name = f"cyc_{number:08d}"
