@@ -4,8 +4,10 @@ import os
 
 import pytest
 
-import __spark_entry__ as entry
 from compare import check, connection
+from tidewatch.plans import registry
+
+registry.load()
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"cycle_report"}
@@ -18,12 +20,12 @@ def con():
     return connection(SF)
 
 
-@pytest.mark.parametrize("name", [name for name in entry.queries() if name not in SLOW])
+@pytest.mark.parametrize("name", [name for name in registry.QUERIES if name not in SLOW])
 def test_query(spark, con, name):
-    verdict = check(spark, con, SF, entry.queries()[name], entry.oracle_sql().get(name))
+    verdict = check(spark, con, SF, registry.QUERIES[name], registry.ORACLES.get(name))
     assert verdict.startswith(("same", "rows")), verdict
 
 
 def test_contract():
-    assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"admission_replay", "cycle_report"}
+    assert set(registry.ORACLES) <= set(registry.QUERIES)
+    assert set(registry.QUERIES) - set(registry.ORACLES) == {"cycle_report"}

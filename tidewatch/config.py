@@ -25,30 +25,25 @@ class ScoreConfig:
 
 @dataclass(frozen=True)
 class QueueConfig:
-    """Per-cycle work limits of the validation queue."""
+    """Per-cycle work limits of the validation queue; None is all there is."""
 
-    new_limit: int = 1500
-    quarantine_limit: int = 400
-    recheck_limit: int = 800
+    new_limit: int | None = None
+    quarantine_limit: int | None = None
+    recheck_limit: int | None = None
     recheck_after_minutes: int = 15
-    max_per_cycle: int = 2000
+    max_per_cycle: int | None = None
 
 
 @dataclass(frozen=True)
 class ServiceConfig:
-    """Limits of the service check stage."""
+    """Limits of the service check stage; a budget of None is all there is."""
 
     service: str = "svc-a"
     enabled: bool = True
-    budget_per_cycle: int = 250
-    rate_per_minute: int = 30
+    budget_per_cycle: int | None = None
     min_score: float = 10.0
     recheck_after_minutes: int = 360
     connectivity_weight: float = 0.55
-    blocked_cooldown_ms: int = 60_000
-    max_cooldown_ms: int = 300_000
-    failure_threshold: int = 25
-    open_ms: int = 120_000
 
 
 @dataclass(frozen=True)
@@ -68,8 +63,8 @@ class CycleConfig:
     queue: QueueConfig = field(default_factory=QueueConfig)
     service: ServiceConfig = field(default_factory=ServiceConfig)
     retention: RetentionConfig = field(default_factory=RetentionConfig)
-    candidate_cap: int = 20_000
-    max_active: int = 5_000
+    candidate_cap: int | None = None
+    max_active: int | None = None
     interval_minutes: int = 15
     require_service_pass: bool = True
     allow_private: bool = False

@@ -324,12 +324,17 @@ def source_report(parsed: DataFrame, total_lines: DataFrame | None = None) -> Da
     return report
 
 
+def rejects(parsed: DataFrame) -> DataFrame:
+    """Every rejected line with its place and reason."""
+    return parsed.filter("outcome = 'rejected'").select("source", "line_no", "reason", "line")
+
+
 def reject_samples(parsed: DataFrame, per_source: int = 25) -> DataFrame:
-    """First rejected lines of each source, cut to 48 characters."""
+    """The first rejected lines of each source, to show; :func:`rejects` has them all."""
     order = Window.partitionBy("source").orderBy("line_no")
     return (
-        parsed.filter("outcome = 'rejected'")
-        .select("source", "line_no", "reason", F.substring(squeeze_ends(F.col("line")), 1, 48).alias("sample"))
+        rejects(parsed)
+        .select("source", "line_no", "reason", squeeze_ends(F.col("line")).alias("sample"))
         .withColumn("nth", F.row_number().over(order))
         .filter(F.col("nth") <= per_source)
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import QueueConfig, ServiceConfig
 from ..functions.text import at, round_half_up
+from .running import global_rank, ranked_table
 
 
 @dataclass(frozen=True)
@@ -107,8 +108,10 @@ def ordered_union(*branches: DataFrame, pos: str = "pos") -> DataFrame:
     )
 
 
-def _ranked(df: DataFrame, order: list[Column], limit: int) -> DataFrame:
-    """The first ``limit`` rows with their position. Only the kept rows meet in one window."""
+def _ranked(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
+    """All rows, or the first ``limit``, with their position. Only rows that a limit keeps meet in one window."""
+    if limit is None:
+        return global_rank(df, order)
     kept = df.orderBy(*order).limit(limit)
     return kept.withColumn("pos", F.row_number().over(Window.orderBy(*order)))
 
@@ -127,11 +130,12 @@ def validation_queue(endpoints: DataFrame, now: datetime | str, cfg: QueueConfig
         ((status == "active") & stale, oldest, cfg.recheck_limit),
     ]
     union = ordered_union(*[_ranked(endpoints.filter(test), order, limit) for test, order, limit in branches])
-    return union.orderBy("branch", "pos").limit(cfg.max_per_cycle)
+    ordered = union.orderBy("branch", "pos")
+    return ordered if cfg.max_per_cycle is None else ordered.limit(cfg.max_per_cycle)
 
 
 def service_candidates(
-    endpoints: DataFrame, now: datetime | str, limit: int, cfg: ServiceConfig = ServiceConfig()
+    endpoints: DataFrame, now: datetime | str, limit: int | None, cfg: ServiceConfig = ServiceConfig()
 ) -> DataFrame:
     """Pool members whose service verdict is missing or stale, best first; unknown latency leads."""
     due = F.col("service_checked_at").isNull() | (F.col("service_checked_at") < at(now, cfg.recheck_after_minutes))
@@ -144,7 +148,7 @@ def service_candidates(
 def cycle_service_selection(
     endpoints: DataFrame, validated: DataFrame, now: datetime | str, cfg: ServiceConfig = ServiceConfig()
 ) -> DataFrame:
-    """Service checks of one cycle, at most the budget.
+    """Service checks of one cycle, at most the budget if there is one.
 
     Just validated rows (``validated`` holds their ids) that passed but lack a service pass
     come first; stale pool members fill what is left of the budget.
@@ -160,36 +164,46 @@ def cycle_service_selection(
     ).withColumn("branch", F.lit(0))
     # The remainder is taken off before repeats are dropped, so fewer rows may come back.
     used = fresh.agg(F.count("*").alias("n")).scalar()
+    stale = service_candidates(endpoints, now, cfg.budget_per_cycle, cfg)
+    if cfg.budget_per_cycle is not None:
+        stale = stale.filter(F.col("pos") <= F.lit(cfg.budget_per_cycle) - used)
     stale = (
-        service_candidates(endpoints, now, cfg.budget_per_cycle, cfg)
-        .filter(F.col("pos") <= F.lit(cfg.budget_per_cycle) - used)
-        .join(fresh.select("id"), "id", "left_anti")
+        stale.join(fresh.select("id"), "id", "left_anti")
         .withColumn("branch", F.lit(1))
     )
     return fresh.unionByName(stale)
 
 
-def over_capacity(endpoints: DataFrame, max_active: int) -> DataFrame:
+def over_capacity(endpoints: DataFrame, max_active: int | None) -> DataFrame:
     """Ids of the active rows past the cap, worst first to go.
 
     The kept side is the bounded one: a top-k by the reverse order, then an anti join.
     """
     active = endpoints.filter("status = 'active'").select("id", "score", "latency_ms")
+    if max_active is None:
+        return active.filter(F.lit(False)).select("id")
     keep = active.orderBy(
         F.col("score").desc(), F.col("latency_ms").asc_nulls_last(), F.col("id").desc()
     ).limit(max_active)
     return active.join(keep, "id", "left_anti").select("id")
 
 
-def weighted_pick(ranked: DataFrame, u: float, top: int = 200) -> DataFrame:
-    """The row a draw ``u`` in 0..1 lands on, weight max(1, score), among the best ``top``.
+def weighted_pick(ranked: DataFrame, u: float) -> DataFrame:
+    """The row a draw ``u`` in 0..1 lands on, weight max(1, score), best first, over all rows.
 
-    ``u`` is given, so the pick is repeatable. The running sum covers at most ``top`` rows.
+    ``u`` is given, so the pick is repeatable. Weights are summed per range of the sorted rows; only
+    the range that the draw lands in is summed row by row.
     """
-    head = ranked.orderBy(*by_score()).limit(top)
-    order = Window.orderBy(*by_score())
+    order = by_score()
     weight = F.greatest(F.lit(1.0), F.col("score"))
-    summed = head.withColumn("_upto", F.sum(weight).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    total = F.max("_upto").over(Window.partitionBy())
-    hit = summed.withColumn("_total", total).filter(F.col("_upto") >= F.col("_total") * u)
-    return hit.orderBy("_upto").limit(1).drop("_upto", "_total")
+    table = ranked_table(ranked, order)
+    sums = table.groupBy("_range").agg(F.sum(weight).alias("_sum"))
+    # One row per range.
+    so_far = F.sum("_sum").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, 0))
+    upto = sums.select("_range", so_far.alias("_upto"), F.sum("_sum").over(Window.partitionBy()).alias("_total"), "_sum")
+    target = F.col("_total") * u
+    landed = upto.filter(F.col("_upto") >= target).orderBy("_upto").limit(1)
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = table.join(landed, "_range").withColumn("_here", F.col("_upto") - F.col("_sum") + F.sum(weight).over(inside))
+    hit = rows.filter(F.col("_here") >= target).orderBy("_here").limit(1)
+    return hit.drop("_range", "_upto", "_total", "_sum", "_here")

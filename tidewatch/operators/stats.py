@@ -127,17 +127,17 @@ def error_breakdown(checks: DataFrame, cycle_id: str | Column | None = None, top
     return counts
 
 
-def reason_breakdown(service_checks: DataFrame, service: str, limit: int = 10) -> DataFrame:
-    """Reasons of the misses in the latest cycle of a service, most first, at most 50."""
+def reason_breakdown(service_checks: DataFrame, service: str, limit: int | None = None) -> DataFrame:
+    """Reasons of the misses in the latest cycle of a service, most first, all or as many as asked for."""
     own = service_checks.filter(F.col("service") == service)
     latest = own.agg(F.max_by("cycle_id", F.struct("created_at", "id")).alias("cycle_id")).scalar()
-    return (
+    counts = (
         own.filter((F.col("cycle_id") == latest) & ~F.col("passed"))
         .groupBy("reason")
         .agg(F.count("*").alias("n"))
         .orderBy(F.col("n").desc(), F.col("reason").asc_nulls_first())
-        .limit(min(limit, 50))
     )
+    return counts if limit is None else counts.limit(limit)
 
 
 def validation_tally(plan: DataFrame) -> DataFrame:

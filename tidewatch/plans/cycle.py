@@ -47,8 +47,7 @@ def run_cycle(
 ) -> CycleResult:
     """Discover, merge, upsert, validate, check the service, sweep and count.
 
-    What the stages hand on is capped by the cycle's budgets, so it is checkpointed; the
-    endpoint table is written once after the merge and stays one lazy scan with small joins
+    What the stages hand on is read more than once, so it is written first; the endpoint table is written once after the merge and stays one lazy scan with small joins
     from there until the caller writes it.
     """
     old = conform(endpoints, ENDPOINTS)
@@ -73,7 +72,7 @@ def run_cycle(
     validated = transitions.apply_validation(claimed, plan, now)
     # Service checks.
     service_cfg = cfg.service
-    if service_cfg.enabled and service_cfg.budget_per_cycle > 0:
+    if service_cfg.enabled and service_cfg.budget_per_cycle != 0:
         wanted = cut_lineage(pool.cycle_service_selection(validated, queue.select("id"), now, service_cfg))
         quality = service_quality(
             F.col("verdict"), F.col("latency_ms"), (F.col("_before") == "failed").cast("int")

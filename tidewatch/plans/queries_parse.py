@@ -128,6 +128,12 @@ def normalize_report(spark, sf_dir):
     )
 
 
+@query(FEED + " SELECT source, line_no, reason FROM entries WHERE outcome = 'rejected'")
+def rejects(spark, sf_dir):
+    """Every rejected line."""
+    return parse.rejects(parsed_feed(spark, sf_dir)).drop("line")
+
+
 @query(
     FEED
     + """
@@ -207,11 +213,11 @@ def host_buckets(spark, sf_dir):
 MERGED_COLUMNS = "source, source_ord, line_no, trust, protocol, host, port, username, password, country, reported_by"
 
 
-@query(FEED + f" SELECT {MERGED_COLUMNS} FROM merged ORDER BY source_ord, line_no LIMIT 400")
+@query(FEED + f" SELECT {MERGED_COLUMNS} FROM merged")
 def merge_sources(spark, sf_dir):
-    """The first candidates over all sources, in source and line order."""
+    """The candidates of all sources."""
     lines = fx.view(spark, sf_dir, "fx_feeds")
-    merged = merge.merge_sources(parse.first_entries(parse.parse_lines(lines)), source_catalogue(lines), 400)
+    merged = merge.merge_sources(parse.first_entries(parse.parse_lines(lines)), source_catalogue(lines))
     return merged.select(*MERGED_COLUMNS.split(", "))
 
 

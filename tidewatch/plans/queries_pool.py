@@ -197,7 +197,7 @@ def error_breakdown(spark, sf_dir):
 @query(
     """SELECT reason, count(*) AS n FROM fx_service WHERE service = 'svc-a' AND NOT passed
   AND cycle_id = (SELECT cycle_id FROM fx_service WHERE service = 'svc-a' ORDER BY created_at DESC, id DESC LIMIT 1)
-GROUP BY reason ORDER BY n DESC, reason NULLS FIRST LIMIT 10""",
+GROUP BY reason""",
     ("fx_service",),
 )
 def reason_breakdown(spark, sf_dir):
@@ -270,7 +270,7 @@ def cycle_service_selection(spark, sf_dir):
 
 @query(
     f""", top AS (SELECT *, sum(greatest(score, 1)) OVER (ORDER BY {RANK} ROWS UNBOUNDED PRECEDING) AS upto,
-    sum(greatest(score, 1)) OVER () AS total FROM (SELECT * FROM fx_endpoints WHERE {POOL} ORDER BY {RANK} LIMIT 200))
+    sum(greatest(score, 1)) OVER () AS total FROM fx_endpoints WHERE {POOL})
 SELECT id, score FROM top WHERE upto >= 0.37 * total ORDER BY upto LIMIT 1""",
     ("fx_endpoints",),
 )
@@ -292,10 +292,10 @@ def cycles_latest(spark, sf_dir):
     return last.select("cycle_id", "status", iso_text(F.col("finished_at")).alias("finished_at"), "candidates_checked")
 
 
-@query("SELECT cycle_id, status, candidates_passed FROM fx_cycles ORDER BY started_at DESC LIMIT 12", ("fx_cycles",))
+@query("SELECT cycle_id, status, candidates_passed FROM fx_cycles", ("fx_cycles",))
 def cycles_list(spark, sf_dir):
     cycles = fx.view(spark, sf_dir, "fx_cycles")
-    return history.list_cycles(cycles, 12, 100).select("cycle_id", "status", "candidates_passed")
+    return history.list_cycles(cycles).select("cycle_id", "status", "candidates_passed")
 
 
 @query(
@@ -317,9 +317,9 @@ def latest_service(spark, sf_dir):
     return latest.select("proxy_id", "service", "id", "status", "passed")
 
 
-@query("SELECT id, status, reason FROM fx_service WHERE cycle_id = 'cyc_7' AND service = 'svc-b' ORDER BY id DESC LIMIT 100", ("fx_service",))
+@query("SELECT id, status, reason FROM fx_service WHERE cycle_id = 'cyc_7' AND service = 'svc-b'", ("fx_service",))
 def results_by_cycle(spark, sf_dir):
-    results = history.results_of_cycle(fx.view(spark, sf_dir, "fx_service"), "cyc_7", 100, "svc-b")
+    results = history.results_of_cycle(fx.view(spark, sf_dir, "fx_service"), "cyc_7", service="svc-b")
     return results.select("id", "status", "reason")
 
 

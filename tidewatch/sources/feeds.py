@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.entry import anonymity_level, detect_protocol
 from ..functions.text import squeeze_ends
-from ..operators.running import evaluate_once
+from ..operators.running import evaluate_once, running
 
-MAX_ITEMS = 50_000  # part of the feed contract: later items are not read
+ITEM_BLOCK = 20_000  # items of a feed that are numbered together
 
 # The field names looked at, in this order. `anonymity` is no endpoint
 # name here, or items that carry host, port and anonymity would be lost.
@@ -37,16 +37,39 @@ def source_mapping(name: str | None) -> dict[str, list[str]]:
     return {**DEFAULT_FIELDS, **_MAPPINGS.get(name or "", {})}
 
 
-def read_json_items(bodies: DataFrame, items_path: str = "", source: str = "source", body: str = "body") -> DataFrame:
-    """(source, pos, item): the array at a dotted path, up to :data:`MAX_ITEMS` items.
+def read_json_items(
+    bodies: DataFrame, items_path: str = "", source: str = "source", body: str = "body", max_items: int | None = None
+) -> DataFrame:
+    """(source, pos, item): the array at a dotted path, all of it or its first ``max_items`` items.
 
-    The path goes through objects only; anything else, and text that is no JSON, has no items.
+    The path goes through objects only; anything else, and text that is no JSON, has no items
+    (:func:`feed_faults` names those bodies, and what a limit leaves out).
     """
     steps = "".join(f"['{step}']" for step in items_path.split(".") if step)
-    # A variant holds up to 16 MiB; a larger body belongs into a line-delimited feed.
     items = F.try_variant_get(F.try_parse_json(body), f"${steps}", "array<variant>")
-    return bodies.select(
-        F.col(source).alias("source"), F.posexplode(F.slice(items, 1, MAX_ITEMS)).alias("pos", "item")
+    taken = items if max_items is None else F.slice(items, 1, max_items)
+    return bodies.select(F.col(source).alias("source"), F.posexplode(taken).alias("pos", "item"))
+
+
+def feed_faults(
+    bodies: DataFrame, items_path: str = "", source: str = "source", body: str = "body", max_items: int | None = None
+) -> DataFrame:
+    """(source, reason, left_out): bodies that give no items, and how many items a limit leaves out.
+
+    A reason is ``not json`` (or more than a variant value holds), ``no list`` or ``over limit``.
+    """
+    steps = "".join(f"['{step}']" for step in items_path.split(".") if step)
+    doc = F.try_parse_json(body)
+    size = F.size(F.try_variant_get(doc, f"${steps}", "array<variant>"))
+    read = bodies.select(*evaluate_once([F.col(source).alias("source")], [doc.isNotNull().alias("_json"), size.alias("_size")]))
+    over = F.lit(0) if max_items is None else F.greatest(F.col("_size") - max_items, F.lit(0))
+    reason = (
+        F.when(~F.col("_json"), "not json").when(F.col("_size") < 0, "no list").when(over > 0, "over limit")
+    )
+    return (
+        read.fillna({"_size": -1})
+        .select("source", reason.alias("reason"), F.when(reason == "over limit", over).alias("left_out"))
+        .filter("reason is not null")
     )
 
 
@@ -118,10 +141,15 @@ def feed_lines(mapped: DataFrame) -> DataFrame:
 
     An item may hold several lines; they keep the item order.
     """
-    step = 1_000_000
-    return mapped.select(
-        "source", "pos", F.posexplode(F.split("line", r"\r?\n")).alias("_sub", "line")
-    ).select("source", (F.col("pos").cast("bigint") * step + F.col("_sub")).alias("line_no"), "line")
+    parts = mapped.select("source", "pos", F.split("line", r"\r?\n").alias("_parts"))
+    counted = running(
+        parts, ["source"], ["pos"], F.floor(F.col("pos") / ITEM_BLOCK), {"_upto": ("sum", F.size("_parts"))}
+    )
+    return counted.select(
+        "source", F.col("_upto") - F.size("_parts"), F.posexplode("_parts").alias("_sub", "line")
+    ).toDF("source", "_first", "_sub", "line").select(
+        "source", (F.col("_first") + F.col("_sub")).cast("bigint").alias("line_no"), "line"
+    )
 
 
 def attach_metadata(entries: DataFrame, mapped: DataFrame) -> DataFrame:
