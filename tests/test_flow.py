@@ -134,6 +134,23 @@ def test_path_patterns(spark):
     assert df.filter(robots.path_matches(F.col("p"), F.col("pat")) != F.col("want")).count() == 0
 
 
+def checks(spark, n=300):
+    t0 = datetime(2024, 1, 1)
+    rows = [
+        (i, 7 if i % 3 else i % 10, t0 + timedelta(minutes=i * 11), (i * 5) % 7 > 2 and i < n - 40)
+        for i in range(n)
+    ]
+    return rows, "id bigint, proxy_id bigint, created_at timestamp_ntz, reachable boolean"
+
+
+def fold(rows):
+    out = {}
+    for i, proxy, ts, ok in sorted(rows, key=lambda r: (r[2], r[0])):
+        n, p, f, _, last = out.get(proxy, (0, 0, 0, None, None))
+        out[proxy] = (n + 1, p + ok, 0 if ok else f + 1, ts, ts if ok else last)
+    return out
+
+
 def test_endpoint_state_batch_and_stream(spark, tmp_path):
     rows, ddl = checks(spark)
     want = fold(rows)
