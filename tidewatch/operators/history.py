@@ -176,7 +176,8 @@ def prune_history(
     """The four tables without what retention drops, and ``counts`` of the dropped rows.
 
     Results are dropped by time, which on date-partitioned tables is a partition filter.
-    Dropped endpoints take their results along: the facts are semi-joined to survivors.
+    Dropped endpoints take their results along: the facts are anti-joined to the dropped ids, the
+    small side.
     """
     day = 24 * 60
     results_before = at(now, cfg.results_days * day)
@@ -190,7 +191,7 @@ def prune_history(
         F.coalesce("finished_at", "started_at") < at(now, cfg.cycles_days * day), F.lit(False)
     )
     kept = endpoints.filter(~buried)
-    survivors = kept.select(F.col("id").alias("proxy_id"))
+    gone = endpoints.filter(buried).select(F.col("id").alias("proxy_id"))
     n = lambda df, test: df.agg(F.count_if(test).alias("n")).scalar()
     counts = endpoints.sparkSession.range(1).select(
         n(checks, old_result).alias("checks"),
@@ -200,8 +201,8 @@ def prune_history(
     )
     return {
         "endpoints": kept,
-        "checks": checks.filter(~old_result).join(survivors, "proxy_id", "left_semi"),
-        "service_checks": service_checks.filter(~old_result).join(survivors, "proxy_id", "left_semi"),
+        "checks": checks.filter(~old_result).join(gone, "proxy_id", "left_anti"),
+        "service_checks": service_checks.filter(~old_result).join(gone, "proxy_id", "left_anti"),
         "cycles": cycles.filter(~old_cycle),
         "counts": counts,
     }

@@ -174,18 +174,27 @@ def cycle_service_selection(
     return fresh.unionByName(stale)
 
 
-def over_capacity(endpoints: DataFrame, max_active: int | None) -> DataFrame:
-    """Ids of the active rows past the cap, worst first to go.
+def over_capacity(endpoints: DataFrame, max_active: int | None) -> Column:
+    """Whether an active row of ``endpoints`` is past the cap, worst first to go.
 
-    The kept side is the bounded one: a top-k by the reverse order, then an anti join.
+    The row at the cap is found from sorted ranges and their sizes; all rows behind it go by a plain
+    comparison, so the table is neither joined nor sorted in one task.
     """
-    active = endpoints.filter("status = 'active'").select("id", "score", "latency_ms")
+    active = F.col("status") == "active"
     if max_active is None:
-        return active.filter(F.lit(False)).select("id")
-    keep = active.orderBy(
-        F.col("score").desc(), F.col("latency_ms").asc_nulls_last(), F.col("id").desc()
-    ).limit(max_active)
-    return active.join(keep, "id", "left_anti").select("id")
+        return F.lit(False)
+    if max_active <= 0:
+        return active
+    score = F.coalesce(F.col("score"), F.lit(float("-inf")))
+    latency = F.coalesce(F.col("latency_ms").cast("double"), F.lit(float("inf")))
+    keys = endpoints.filter(active).select(score.alias("score"), latency.alias("latency"), "id")
+    ranked = global_rank(keys, [F.col("score").desc(), F.col("latency").asc(), F.col("id").desc()])
+    last = ranked.filter(F.col("pos") == max_active).select(F.struct("score", "latency", "id")).scalar()
+    behind = (score < last["score"]) | (
+        (score == last["score"])
+        & ((latency > last["latency"]) | ((latency == last["latency"]) & (F.col("id") < last["id"])))
+    )
+    return F.coalesce(active & behind, F.lit(False))
 
 
 def weighted_pick(ranked: DataFrame, u: float) -> DataFrame:

@@ -257,11 +257,9 @@ def quarantine_failures(endpoints: DataFrame, max_failures: int = 3) -> DataFram
     return _set(endpoints, hit, notes=NOTE_FAILURES, status="quarantined")
 
 
-def enforce_capacity(endpoints: DataFrame, max_active: int) -> DataFrame:
+def enforce_capacity(endpoints: DataFrame, max_active: int | None) -> DataFrame:
     """Demote the worst pool members past the cap."""
-    out = over_capacity(endpoints, max_active).select(F.col("id").alias("_id"))
-    df = endpoints.join(out, F.col("id") == F.col("_id"), "left")
-    return _set(df, F.col("_id").isNotNull(), status="quarantined", notes=NOTE_CAPACITY).drop("_id")
+    return _set(endpoints, over_capacity(endpoints, max_active), status="quarantined", notes=NOTE_CAPACITY)
 
 
 def mark_service_untested(endpoints: DataFrame, ids: DataFrame, reason: str) -> DataFrame:
@@ -273,7 +271,7 @@ def mark_service_untested(endpoints: DataFrame, ids: DataFrame, reason: str) ->
 
 
 def finalize(
-    endpoints: DataFrame, cycle_id: str, now: datetime | str, cfg: ScoreConfig = ScoreConfig(), max_active: int = 5000
+    endpoints: DataFrame, cycle_id: str, now: datetime | str, cfg: ScoreConfig = ScoreConfig(), max_active: int | None = None
 ) -> DataFrame:
     """The sweeps in order: expire, quarantine, capacity, release. Adds ``swept``.
 
@@ -290,11 +288,7 @@ def finalize(
     df = release_pending(
         quarantine_failures(expire_stale(df, now, cfg.ttl_minutes), cfg.max_failures), cycle_id
     )
-    out = over_capacity(df, max_active).select(F.col("id").alias("_id"))
-    df = df.join(out, F.col("id") == F.col("_id"), "left")
-    return _set(
-        df, F.col("_id").isNotNull(), status="quarantined", notes=NOTE_CAPACITY, swept="demoted"
-    ).drop("_id")
+    return _set(df, over_capacity(df, max_active), status="quarantined", notes=NOTE_CAPACITY, swept="demoted")
 
 
 def sweep_counts(finalized: DataFrame) -> DataFrame:

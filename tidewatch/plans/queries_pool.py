@@ -344,8 +344,8 @@ DEAD_SINCE = "CASE WHEN id % 3 = 0 THEN TIMESTAMP '2024-01-01 00:00:00' ELSE TIM
   (SELECT count(*) FROM fx_service WHERE created_at < {TS} - INTERVAL '7' DAY) AS service_checks,
   (SELECT count(*) FROM fx_endpoints WHERE status = 'dead' AND last_passed_at IS NULL AND id % 3 = 0) AS endpoints,
   (SELECT count(*) FROM fx_cycles WHERE finished_at < {TS} - INTERVAL '30' DAY) AS cycles,
-  (SELECT count(*) FROM fx_checks WHERE created_at >= {TS} - INTERVAL '7' DAY AND proxy_id IN
-    (SELECT id FROM fx_endpoints WHERE NOT (status = 'dead' AND last_passed_at IS NULL AND id % 3 = 0))) AS kept_checks""",
+  (SELECT count(*) FROM fx_checks WHERE created_at >= {TS} - INTERVAL '7' DAY AND proxy_id NOT IN
+    (SELECT id FROM fx_endpoints WHERE status = 'dead' AND last_passed_at IS NULL AND id % 3 = 0)) AS kept_checks""",
     ("fx_endpoints", "fx_checks", "fx_service", "fx_cycles"),
 )
 def prune_history(spark, sf_dir):

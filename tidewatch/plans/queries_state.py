@@ -267,9 +267,10 @@ OWNER = "CASE WHEN id % 3 = 0 THEN 'cyc_now' WHEN id % 3 = 1 THEN 'cyc_old' END"
 )
 def release_pending(spark, sf_dir):
     table = fx.endpoints(spark, sf_dir).withColumn("last_cycle_id", F.expr(OWNER))
-    own = transitions.release_pending(table, "cyc_now", foreign=False).select("id", F.col("status").alias("own"))
-    others = transitions.release_pending(table, "cyc_now", own=False).select("id", F.col("status").alias("others"))
-    return own.join(others, "id")
+    # Both variants over one scan.
+    first = transitions.release_pending(table.withColumn("before", F.col("status")), "cyc_now", foreign=False)
+    swapped = first.withColumns({"own": F.col("status"), "status": F.col("before")})
+    return transitions.release_pending(swapped, "cyc_now", own=False).select("id", "own", F.col("status").alias("others"))
 
 
 STALE = f"status = 'active' AND coalesce(last_passed_at < {TS} - INTERVAL '90' MINUTE, true)"
