@@ -34,6 +34,16 @@ def test_confined():
             lists.confined(path, "/data")
 
 
+def test_local_files_stay_in_their_root(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.txt").write_text("x\ny\n")
+    (tmp_path / "out.txt").write_text("secret\n")
+    got = lists.read_local(spark, "a.txt", str(tmp_path / "in")).orderBy("line_no").collect()
+    assert [(r.line_no, r.line) for r in got] == [(0, "x"), (1, "y")]
+    with pytest.raises(ValueError):
+        lists.read_local(spark, "../out.txt", str(tmp_path / "in"))
+
+
 def feed(spark, payload, path="", fields=None):
     bodies = spark.createDataFrame([("s", payload)], "source string, body string")
     mapped = feeds.map_json_fields(feeds.read_json_items(bodies, path), fields)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import squeeze_ends
 from ..operators.merge import trust_of
 from ..schemas import PROTOCOLS
+from ..session import written
 
 KINDS = ["http-list", "json-endpoint", "local-file"]
 
@@ -43,6 +44,8 @@ def read_lists(spark: SparkSession, paths: str | Sequence[str], source: Column |
             F.col("value"),
         )
     )
+    # Ids and splits of one scan: another scan might cut the files elsewhere.
+    raw = written(raw)
     # Inside one split the ids rise by one, so their distance to the lowest is the place.
     sizes = raw.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
     earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
@@ -58,6 +61,11 @@ def read_lists(spark: SparkSession, paths: str | Sequence[str], source: Column |
     )
 
 
+def read_local(spark: SparkSession, path: str, root: str, source: Column | None = None) -> DataFrame:
+    """:func:`read_lists` of a path of the catalogue, which may not leave ``root``."""
+    return read_lists(spark, confined(path, root), source)
+
+
 def line_totals(lines: DataFrame) -> DataFrame:
     """(source, total_lines); text that ends in a line break has one more, empty, line.
 
