@@ -154,7 +154,7 @@ def fold(rows):
 def test_endpoint_state_batch_and_stream(spark, tmp_path):
     rows, ddl = checks(spark)
     want = fold(rows)
-    got = A.endpoint_state(spark.createDataFrame(rows, ddl), block_minutes=30).collect()
+    got = A.endpoint_state(spark.createDataFrame(rows, ddl)).collect()
     as_tuple = lambda r: tuple(r[name] for name in S.COUNTERS)
     assert {r.proxy_id: as_tuple(r) for r in got} == want
     for k in range(3):
@@ -171,7 +171,7 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
     t0 = datetime(2024, 1, 1)
     rows = [(i, "hot" if i % 3 else f"c{i % 5}", t0 + timedelta(milliseconds=i * 400)) for i in range(600)]
     df = spark.createDataFrame(rows, "id bigint, client string, ts timestamp_ntz")
-    got = A.rate_limit(df, ["client"], "ts", ["id"], most=20, window_seconds=60, slices=7).collect()
+    got = A.rate_limit(df, ["client"], "ts", ["id"], most=20, window_seconds=60).collect()
     seen = {}
     for row in sorted(got, key=lambda r: (r.ts, r.id)):
         key = (row.client, int((row.ts - t0).total_seconds()) // 60)
@@ -194,7 +194,7 @@ def test_rate_limit_batch_and_stream(spark, tmp_path):
 def test_crawl_spacing(spark):
     rows = [(i, "a" if i % 4 else "b", (i * 37) % 900 * 10, 50 if i % 4 else 0) for i in range(200)]
     df = spark.createDataFrame(rows, "id bigint, origin string, at_ms bigint, delay bigint")
-    got = {r.id: r.slot_ms for r in A.crawl_spacing(df, "origin", "at_ms", ["id"], "delay", block_ms=700).collect()}
+    got = {r.id: r.slot_ms for r in A.crawl_spacing(df, "origin", "at_ms", ["id"], "delay").collect()}
     slot = None
     for i, origin, t, d in sorted([r for r in rows if r[1] == "a"], key=lambda r: (r[2], r[0])):
         slot = t if slot is None else max(t, slot + d)

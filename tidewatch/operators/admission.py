@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probe import TRANSIENT, backoff_ms
 from ..functions.text import epoch_ms
-from .running import running
+from .running import BLOCK, cut_by_rows, running, running_by_rows
 
 
 def rate_limit(
@@ -19,19 +19,17 @@ def rate_limit(
     order: Sequence[str],
     most: int = 120,
     window_seconds: int = 60,
-    slices: int = 60,
 ) -> DataFrame:
     """Fixed-window decision per request: the n-th of its key and window passes iff n <= most.
 
     Adds ``window_no, nth, allowed, remaining, reset_seconds, retry_after_seconds``. A busy
-    client's window is cut into time slices, so no task numbers more than one slice.
+    client's window is cut by rows, so no task numbers more than one range of them.
     """
     second = F.floor(epoch_ms(F.col(ts)) / 1000)
-    numbered = running(
+    numbered = running_by_rows(
         requests.withColumn("window_no", F.floor(second / window_seconds)),
         [*keys, "window_no"],
         [ts, *order],
-        F.floor((epoch_ms(F.col(ts)) % (window_seconds * 1000)) / (window_seconds * 1000 / slices)),
         {"nth": ("sum", F.lit(1))},
     )
     allowed = F.col("nth") <= most
@@ -47,21 +45,21 @@ def rate_limit(
 
 
 def crawl_spacing(
-    requests: DataFrame, key: str, at_ms: str, order: Sequence[str], delay_ms: str, block_ms: int = 3_600_000
+    requests: DataFrame, key: str, at_ms: str, order: Sequence[str], delay_ms: str
 ) -> DataFrame:
     """Add ``slot_ms``, the time each request may go: max(own time, previous slot + delay).
 
     With i the position in the key, slot(i) = i*d + max over j<=i of (t(j) - j*d), so the
-    recurrence is a running count and a running maximum over time blocks. ``delay_ms`` is a
+    recurrence is a running count and a running maximum over blocks of rows. ``delay_ms`` is a
     column that is constant per key; without a delay a request goes at once.
     """
-    block = F.floor(F.col(at_ms) / block_ms)
     spots = [at_ms, *order]
-    numbered = running(requests, [key], spots, block, {"_nth": ("sum", F.lit(1))})
+    cut = cut_by_rows(requests, [key], spots)
+    numbered = running(cut, [key], spots, F.col(BLOCK), {"_nth": ("sum", F.lit(1))})
     shifted = F.col(at_ms) - F.col("_nth") * F.col(delay_ms)
-    spaced = running(numbered, [key], spots, block, {"_lead": ("max", shifted)})
+    spaced = running(numbered, [key], spots, F.col(BLOCK), {"_lead": ("max", shifted)})
     slot = F.when(F.col(delay_ms) > 0, F.col("_lead") + F.col("_nth") * F.col(delay_ms)).otherwise(F.col(at_ms))
-    return spaced.withColumn("slot_ms", slot).drop("_nth", "_lead")
+    return spaced.withColumn("slot_ms", slot).drop("_nth", "_lead", BLOCK)
 
 
 def collapse_attempts(
@@ -105,38 +103,44 @@ def retry_plan(
 # Endpoint state from the check log -------------------------------------------
 
 
-def endpoint_state(checks: DataFrame, block_minutes: int = 60) -> DataFrame:
+def endpoint_state(checks: DataFrame) -> DataFrame:
     """Fold the check log: checks, passes, trailing failures, last check and last pass.
 
-    One endpoint may own most of the log, so it is first folded per time block and the
-    block rows are folded again; a block's failures after its last pass are what a later
-    fold needs of it.
+    Counts and latest instants are one grouped aggregate; what lies behind the last pass is then
+    counted against one row per endpoint. All of it combines before the shuffle, so an endpoint that
+    owns most of the log costs a row per task.
     """
     c = F.col
-    spot = F.struct("created_at", "id")
-    block = F.floor(epoch_ms(c("created_at")) / (block_minutes * 60_000))
-    inside = Window.partitionBy("proxy_id", "block")
-    blocked = checks.select("proxy_id", "created_at", "id", "reachable", block.alias("block")).withColumn(
-        "pass_spot", F.max(F.when(c("reachable"), spot)).over(inside)
-    )
-    per_block = blocked.groupBy("proxy_id", "block").agg(
-        F.count("*").alias("checks"),
-        F.count_if("reachable").alias("passes"),
-        F.count_if(c("pass_spot").isNull() | (spot > c("pass_spot"))).alias("tail"),
+    totals = checks.groupBy("proxy_id").agg(
+        F.count(F.lit(1)).alias("check_count"),
+        F.count_if("reachable").alias("pass_count"),
         F.max("created_at").alias("last_checked_at"),
         F.max(F.when(c("reachable"), c("created_at"))).alias("last_passed_at"),
     )
-    last_good = F.max(F.when(c("passes") > 0, c("block"))).over(Window.partitionBy("proxy_id"))
-    return (
-        per_block.withColumn("last_good", last_good)
+    good = totals.select("proxy_id", "last_passed_at")
+    # Checks of one instant go by their id.
+    spot = (
+        checks.filter("reachable")
+        .join(good, "proxy_id")
+        .filter(c("created_at") == c("last_passed_at"))
         .groupBy("proxy_id")
-        .agg(
-            F.sum("checks").alias("check_count"),
-            F.sum("passes").alias("pass_count"),
-            F.sum(F.when(c("last_good").isNull() | (c("block") >= c("last_good")), c("tail")).otherwise(0)).alias(
-                "consecutive_failures"
-            ),
-            F.max("last_checked_at").alias("last_checked_at"),
-            F.max("last_passed_at").alias("last_passed_at"),
-        )
+        .agg(F.max("id").alias("last_passed_id"))
+    )
+    behind = (c("last_passed_at").isNull() | (c("created_at") > c("last_passed_at"))) | (
+        (c("created_at") == c("last_passed_at")) & (c("id") > c("last_passed_id"))
+    )
+    tail = (
+        checks.select("proxy_id", "created_at", "id")
+        .join(good.join(spot, "proxy_id", "left"), "proxy_id")
+        .filter(behind)
+        .groupBy("proxy_id")
+        .agg(F.count(F.lit(1)).alias("tail"))
+    )
+    return totals.join(tail, "proxy_id", "left").select(
+        "proxy_id",
+        "check_count",
+        "pass_count",
+        F.coalesce("tail", F.lit(0)).alias("consecutive_failures"),
+        "last_checked_at",
+        "last_passed_at",
     )

@@ -106,3 +106,21 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "pos") -> Da
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     numbered = table.withColumn("_inside", inside).join(starts, "_range")
     return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
+
+
+BLOCK = "_rows"
+
+
+def cut_by_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add a block number for :func:`running`, by ranges of the sorted rows.
+
+    A block holds about as many rows as any other, whatever a key does at one moment.
+    """
+    return ranked_table(df, [F.col(name) for name in (*keys, *order)]).withColumnRenamed("_range", BLOCK)
+
+
+def running_by_rows(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], values: dict[str, tuple[str, Column]]
+) -> DataFrame:
+    """:func:`running` over blocks of rows."""
+    return running(cut_by_rows(df, keys, order), keys, order, F.col(BLOCK), values).drop(BLOCK)
