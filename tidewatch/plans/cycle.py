@@ -14,6 +14,7 @@ from ..functions.text import at
 from ..operators import merge, parse, pool, stats, transitions
 from ..schemas import CHECKS, CYCLES, ENDPOINTS, SERVICE_CHECKS, conform
 from ..session import cut_lineage
+from ..sources import feeds
 
 
 @dataclass
@@ -22,13 +23,32 @@ class CycleInputs:
 
     ``lines``: source, line_no, line. ``sources``: source, source_ord, trust. ``outcomes``:
     proxy_id, reachable, latency_ms, error_code, one per endpoint. ``probes``: proxy_id,
-    verdict, latency_ms, reason, one per endpoint.
+    verdict, latency_ms, reason, one per endpoint. ``feeds``: source, body of JSON feeds, with
+    their items at ``items_path``. A source of the catalogue without lines or items has failed.
     """
 
     lines: DataFrame
     sources: DataFrame
     outcomes: DataFrame
     probes: DataFrame
+    feeds: DataFrame | None = None
+    items_path: str = ""
+
+
+def discover(lines: DataFrame, bodies: DataFrame | None = None, items_path: str = "") -> tuple[DataFrame, DataFrame]:
+    """Parsed lines and distinct entries per source, of line lists and of JSON feeds together.
+
+    The items of a feed are lines like any other; what an item says besides its line (country,
+    anonymity, account, protocol) is put back on its entry.
+    """
+    lines = lines.select("source", "line_no", "line")
+    if bodies is None:
+        parsed = parse.parse_lines(lines)
+        return parsed, parse.first_entries(parsed)
+    # Bodies are parsed as JSON once.
+    mapped = cut_lineage(feeds.map_json_fields(feeds.read_json_items(bodies, items_path)))
+    parsed = parse.parse_lines(lines.unionByName(feeds.feed_lines(mapped)))
+    return parsed, feeds.attach_metadata(parse.first_entries(parsed), mapped)
 
 
 @dataclass
@@ -52,11 +72,11 @@ def run_cycle(
     """
     old = conform(endpoints, ENDPOINTS)
     # Discovery.
-    parsed = parse.parse_lines(inputs.lines)
+    parsed, entries = discover(inputs.lines, inputs.feeds, inputs.items_path)
     per_source = cut_lineage(parse.source_report(parsed))
     candidates = cut_lineage(
         merge.with_policy(
-            merge.merge_sources(parse.first_entries(parsed), inputs.sources, cfg.candidate_cap), cfg.allow_private
+            merge.merge_sources(entries, inputs.sources, cfg.candidate_cap), cfg.allow_private
         )
     )
     accepted = candidates.filter("allowed")

@@ -13,6 +13,7 @@ from ..operators import merge, parse
 from ..schemas import PROTOCOLS
 from ..session import cut_lineage
 from ..sources import feeds, jobs, lists
+from .cycle import discover
 from .registry import iso, query
 
 # What the generated lines stand for, straight from the table they come from.
@@ -346,6 +347,23 @@ def json_items(spark, sf_dir):
     return joined.select("source", "host", "port", "protocol", "country", "anonymity", "username", "password")
 
 
+@query(
+    FEED
+    + """, e AS (SELECT id, concat('feed-', id) AS source, host, port FROM fx_endpoints)
+SELECT source, host, port, protocol, country, 'unknown' AS anonymity, username, password FROM firsts
+UNION ALL SELECT source, host, port, 'http', CASE WHEN id % 4 = 3 THEN 'FR' END, 'unknown',
+  CASE WHEN id % 4 = 3 THEN 'u1' END, CASE WHEN id % 4 = 3 THEN 'p1' END FROM e
+UNION ALL SELECT source, host, port + 1, CASE id % 4 WHEN 0 THEN 'socks5' ELSE 'socks4' END,
+  CASE id % 4 WHEN 0 THEN 'DE' END, 'elite', NULL, NULL FROM e WHERE id % 4 IN (0, 1)""",
+    ("fx_endpoints",),
+)
+def discover_sources(spark, sf_dir):
+    """Entries of line lists and JSON feeds together, as a cycle takes them."""
+    bodies = fx.sql(spark, sf_dir, FEED_BODY)
+    _, entries = discover(fx.view(spark, sf_dir, "fx_feeds"), bodies, "data.proxies")
+    return entries.select("source", "host", "port", "protocol", "country", "anonymity", "username", "password")
+
+
 SOURCE_ROWS = """SELECT s_suppkey AS ord, CASE WHEN s_suppkey % 10 = 7 THEN 'Bad Id' ELSE concat('s-', CAST(s_suppkey % 60 AS STRING)) END AS id,
   CASE s_suppkey % 4 WHEN 0 THEN 'http-list' WHEN 1 THEN 'json-endpoint' WHEN 2 THEN 'local-file' ELSE CASE WHEN s_nationkey < 3 THEN 'ftp' ELSE 'http-list' END END AS kind,
   CASE WHEN s_suppkey % 9 <> 1 THEN concat('https://lists.example/', CAST(s_suppkey AS STRING)) END AS url,
