@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .logistic import sigmoid
 from .sample import FOLDS, Sample, labelled_sample, remainder
-from .texts import Block, blocks, byte_set, mix, ranges, span_hashes
+from .texts import Block, blocks, byte_set, give_back, mix, ranges, span_hashes
 
 PASSAGE = 32
 BUCKETS, SHARES = 1024, 6
@@ -158,6 +158,7 @@ def train(sample: Sample, epochs: int = EPOCHS, seed: int = 7) -> Model:
                 m[0] += 0.1 * (g - m[0])
                 m[1] += 0.001 * (g * g - m[1])
                 p -= rate * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.999**step)) + 1e-8)
+    give_back()
     return model
 
 

@@ -146,7 +146,7 @@ def bounded_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Return freed memory to the system: a worker lives on between tasks and stages of other work."""
     pa.default_memory_pool().release_unused()
     trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
@@ -172,7 +172,7 @@ def blocks(
                 part = batch.slice(start)
                 yield part, as_bytes(part.column(column))
     finally:
-        _give_back()
+        give_back()
 
 
 def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:

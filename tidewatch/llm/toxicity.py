@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from . import logistic
 from .sample import FOLDS, Sample, labelled_sample, remainder
-from .texts import Block, blocks, ranges, span_hashes
+from .texts import BLOCK, Block, blocks, give_back, ranges, span_hashes
 
 ORDER, SHARED = 6, 3
 #: Words of a passage, and numbers of most suspicious words that are looked at together.
@@ -154,9 +154,12 @@ def count_model(texts: list[bytes], labels: np.ndarray) -> Model:
                 keys, _ = _grams(Block([t for t, x in held if x == label_], lower=True))
                 if len(keys):
                     own, counts = np.unique(keys, return_counts=True)
-                    pair = np.zeros((len(own), 2), np.int64)
+                    pair = np.zeros((len(own), 2), np.int32)
                     pair[:, label_] = counts
                     found.append((own, pair))
+            # What is counted so far stays small: chunks share most of their n-grams.
+            if len(found) > 4:
+                found = [_counted(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))]
             held, size = [], 0
     if not found:
         return Model([], [])
@@ -196,6 +199,19 @@ def count_model(texts: list[bytes], labels: np.ndarray) -> Model:
     return Model(grams[::-1], contexts[::-1])
 
 
+def _features(model: Model, texts: list[bytes]) -> np.ndarray:
+    """Features of many texts, about a block of bytes at a time."""
+    out, at = [np.zeros((0, FEATURES))], 0
+    while at < len(texts):
+        end, size = at, 0
+        while end < len(texts) and (end == at or size + len(texts[end]) <= BLOCK):
+            size += len(texts[end])
+            end += 1
+        out.append(model.features(texts[at:end]))
+        at = end
+    return np.concatenate(out)
+
+
 def train(sample: Sample, folds: int = 5) -> Model:
     """Counts from the whole sample; the curve from features of each fifth by the counts of the others.
 
@@ -205,24 +221,23 @@ def train(sample: Sample, folds: int = 5) -> Model:
     if len(set(y.tolist())) < 2:
         return Model([], [], logistic.constant(FEATURES, sample.totals[1] > 0))
     part = np.arange(len(sample.texts)) % folds
-    models = []
+    x, ordinary = np.zeros((len(sample.texts), FEATURES)), None
     for fold in range(folds):
         own = part == fold
-        models.append(count_model([t for t, f in zip(sample.texts, own) if not f], y[~own]))
-
-    def unseen(ordinary: float) -> np.ndarray:
-        x = np.zeros((len(sample.texts), FEATURES))
-        for fold, model in enumerate(models):
-            own = part == fold
-            model.ordinary = ordinary
-            x[own] = model.features([t for t, f in zip(sample.texts, own) if f])
-        return x
-
-    ordinary = float(np.median(unseen(0.0)[y == 0, 0]))
+        held = [t for t, f in zip(sample.texts, own) if f]
+        model = count_model([t for t, f in zip(sample.texts, own) if not f], y[~own])
+        plain = (y[own] == 0).nonzero()[0]
+        if ordinary is None and len(plain):
+            # From ordinary rows of the first fold that has any.
+            ordinary = float(np.median(_features(model, [held[i] for i in plain])[:, 0]))
+        model.ordinary = ordinary or 0.0
+        x[own] = _features(model, held)
+    ordinary = ordinary or 0.0
     weight = np.array(sample.totals, float)[y] / np.bincount(y, minlength=2)[y]
-    curve = logistic.fit(unseen(ordinary), y, weight)
+    curve = logistic.fit(x, y, weight)
     model = count_model(sample.texts, y)
     model.curve, model.ordinary = curve, ordinary
+    give_back()
     return model
 
 
