@@ -1,8 +1,8 @@
 """Secret redaction of free text, URLs and whole records.
 
-A text is cut in front of everything that may lead to a secret (an authority, a query parameter, a
-scheme word, a key), so that every piece starts with it and is looked at on its own. Pieces without a
-secret go back as they were. Each step is linear in the text.
+A parameter, a credential and a pair of key and value are found with their whole value in one match,
+and the search goes on behind it: a value may hold key words itself. Accounts are found by cutting the
+text in front of every authority. Each step is linear in the text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .keys import short_hash
-from .text import let
+from .text import BLANK, let
 
 REDACTED = "[redacted]"
 
@@ -36,6 +36,18 @@ NAME_PHRASES = ["api_key", "access_key", "private_key", "client_secret", "set_co
 # The least lengths of a credential and of a value.
 LEAST_CREDENTIAL, LEAST_VALUE = 6, 3
 
+# A word starts behind anything but an ASCII letter, digit or underscore.
+_START = "(?<![A-Za-z0-9_])"
+# ``?name=value`` or ``&name=value``. A name starts at ``&`` or at the first ``?`` of a run, so each run is read once.
+PARAMETER = rf"((?:&|(?:^|(?<=[=#]))[^=&#?]*+\?)(?=[^=&#]*?(?:{'|'.join(QUERY_WORDS)}))[^=&#]*+=)[^&#]*+"
+# ``Bearer credential``.
+CREDENTIAL = rf"{_START}({'|'.join(SCHEME_WORDS)}){BLANK}+[a-z0-9._~+/=-]{{{LEAST_CREDENTIAL},}}"
+# ``key: value``, ``"key": "value"`` or ``key = value``.
+PAIR = (
+    rf"""({_START}(?:{'|'.join(TEXT_KEYS)})["']?{BLANK}*[:=]{BLANK}*)(["']?)"""
+    rf"""[^{BLANK[1:-1]}"',;}}&]{{{LEAST_VALUE},}}\2"""
+)
+
 
 def _pieces(text: Column, ahead: str, needs: Column, clean: Callable[[Column], Column]) -> Column:
     """The text with every piece but the first cleaned; pieces start where ``ahead`` is ahead."""
@@ -61,60 +73,9 @@ def _authority(piece: Column) -> Column:
     return F.when(piece.startswith("://"), let(authority, clean)).otherwise(piece)
 
 
-def _parameter(piece: Column) -> Column:
-    """``?name=value`` or ``&name=value``: the value of a telling name goes."""
-
-    def clean(name: Column) -> Column:
-        value = F.regexp_extract(_behind(piece, name), r"^[^#\s]*", 0)
-        rest = F.substring(piece, F.length(name) + F.length(value) + 1, F.length(piece))
-        told = (name != "") & _any(F.lower(name), QUERY_WORDS)
-        return F.when(told, F.concat(name, F.lit(REDACTED), rest)).otherwise(piece)
-
-    return let(F.regexp_extract(piece, r"^[?&][^=#\s]*=", 0), clean)
-
-
-def _credential(piece: Column) -> Column:
-    """``Bearer credential``: the credential goes."""
-
-    def clean(lead: Column) -> Column:
-        word = F.regexp_extract(lead, r"^[A-Za-z]+", 0)
-        shown = let(
-            _behind(piece, lead),
-            lambda rest: let(
-                F.regexp_extract(rest, r"^[A-Za-z0-9._~+/=-]+", 0),
-                lambda secret: F.when(
-                    F.length(secret) >= LEAST_CREDENTIAL, F.concat(word, F.lit(f" {REDACTED}"), _behind(rest, secret))
-                ).otherwise(piece),
-            ),
-        )
-        return F.when(F.lower(word).isin(*SCHEME_WORDS), shown).otherwise(piece)
-
-    return let(F.regexp_extract(piece, r"^[A-Za-z]+\s+", 0), clean)
-
-
-def _pair(piece: Column) -> Column:
-    """``key: value``, ``"key": "value"`` or ``key = value``: the value of a telling key goes."""
-
-    def clean(lead: Column) -> Column:
-        key = F.lower(F.regexp_extract(lead, r"^\w+", 0))
-
-        def shown(rest: Column) -> Column:
-            quote = F.when(rest.startswith('"') | rest.startswith("'"), F.substring(rest, 1, 1)).otherwise("")
-            value = F.regexp_extract(_behind(rest, quote), r"""^[^\s"',;}&]+""", 0)
-            return let(
-                F.struct(quote.alias("quote"), value.alias("value")),
-                lambda v: let(
-                    F.substring(rest, F.length(v["quote"]) + F.length(v["value"]) + 1, F.length(rest)),
-                    lambda behind: F.when(
-                        (F.length(v["value"]) >= LEAST_VALUE) & F.startswith(behind, v["quote"]),
-                        F.concat(lead, v["quote"], F.lit(REDACTED), behind),
-                    ).otherwise(piece),
-                ),
-            )
-
-        return F.when(key.isin(*TEXT_KEYS), let(_behind(piece, lead), shown)).otherwise(piece)
-
-    return let(F.regexp_extract(piece, r"""^\w+["']?\s*[:=]\s*""", 0), clean)
+def _replaced(text: Column, needs: Column, pattern: str, shown: str) -> Column:
+    """The text with every match replaced; the search goes on behind a match, so values are taken whole."""
+    return F.when(needs, F.regexp_replace(text, F.lit(f"(?i){pattern}"), F.lit(shown))).otherwise(text)
 
 
 def _any(text: Column, words: list[str]) -> Column:
@@ -128,13 +89,10 @@ def redact_url(text: Column) -> Column:
     """Accounts in URLs, secret query values and bearer tokens."""
     steps: list[Callable[[Column], Column]] = [
         lambda t: _pieces(t, "://", t.contains("://") & t.contains("@"), _authority),
-        lambda t: _pieces(t, "[?&]", t.contains("=") & (t.contains("?") | t.contains("&")), _parameter),
-        lambda t: _pieces(
-            t,
-            rf"\b(?:{'|'.join(SCHEME_WORDS)})\s",
-            let(F.lower(t), lambda low: _any(low, SCHEME_WORDS)),
-            _credential,
+        lambda t: _replaced(
+            t, t.contains("=") & (t.contains("?") | t.contains("&")), PARAMETER, f"$1{REDACTED}"
         ),
+        lambda t: _replaced(t, let(F.lower(t), lambda low: _any(low, SCHEME_WORDS)), CREDENTIAL, f"$1 {REDACTED}"),
     ]
     for step in steps:
         text = let(text, step)
@@ -143,8 +101,9 @@ def redact_url(text: Column) -> Column:
 
 def redact_text(text: Column) -> Column:
     """:func:`redact_url` plus ``key: value`` and ``key=value`` pairs."""
-    keys = rf"\b(?:{'|'.join(TEXT_KEYS)})\b"
-    return let(redact_url(text), lambda t: _pieces(t, keys, t.contains(":") | t.contains("="), _pair))
+    return let(
+        redact_url(text), lambda t: _replaced(t, t.contains(":") | t.contains("="), PAIR, f"$1$2{REDACTED}$2")
+    )
 
 
 def redact_secret(value: Column) -> Column:
