@@ -9,8 +9,11 @@ from tidewatch.functions import url as U
 from tidewatch.functions.keys import short_hash
 from tidewatch.functions.redact import is_secret_name, redact_text, redact_value, secret_name
 from tidewatch.functions.text import safe_message
+from tidewatch.plans import registry
 from tidewatch.plans.documents import pool_requests
 
+registry.load()
+
 CLASSES = {
     "127.0.0.1": "loopback", "127.5.5.5": "loopback", "10.0.0.7": "private", "172.16.4.4": "private",
     "172.32.0.1": "public", "192.168.1.254": "private", "169.254.169.254": "cloud_metadata",
@@ -257,6 +260,14 @@ def test_redaction_against_a_scanner(spark):
     assert sum(g != t for t, g in zip(texts, got)) > 400
 
 
+def test_documents_lose_their_own_secrets(spark, tmp_path):
+    texts = ["see http://bob:pw12@h/x", "Password: hunter22", "a bearer abcdef123456", "/q?my_sig=abc", "plain text"]
+    rows = spark.createDataFrame([(13 * n + 12, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = registry.QUERIES["redact_documents"](spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [r.changed for r in got] == [True, True, True, True, False]
+
+
 def test_fingerprints_count_utf16_units(spark):
     df = spark.createDataFrame([("abc",), ("a\U0001f600b\u00e9\u20ac",), ("",)], "t string")
 

@@ -306,30 +306,51 @@ def retry_after(spark, sf_dir):
 
 # Text -------------------------------------------------------------------------
 
-# Documents without the marks of secrets, so that only what is added behind them is one.
-BARE = "regexp_replace(regexp_replace(text, '[:=?&@]', ' '{all}), '([Bb][Ee][Aa][Rr][Ee][Rr]|[Bb][Aa][Ss][Ii][Cc]|[Dd][Ii][Gg][Ee][Ss][Tt]|[Tt][Oo][Kk][Ee][Nn])', '-'{all})"
-ADDED = {
-    0: (" login socks5://bob:pw12@h:1 ok", " login socks5://[redacted]@h:1 ok"),
-    1: (" GET /x?a=1&api_key=abc&b=2 end", " GET /x?a=1&api_key=[redacted]&b=2 end"),
-    2: (" Authorization: Bearer abcdef123456", " Authorization: [redacted] [redacted]"),
-    3: (' password="hunter22" set', ' password="[redacted]" set'),
-    4: (" pwd = topsecret; done", " pwd = [redacted]; done"),
-    5: (" write to a@b.example ok", " write to a@b.example ok"),
-}
-
-
-def with_added(column: int, all_: str) -> str:
-    """SQL of bare documents with an addition by number, before (0) or after (1) redaction."""
-    cases = " ".join(f"WHEN {n} THEN '{texts[column]}'" for n, texts in ADDED.items())
-    return f"concat({BARE.format(all=all_)}, CASE doc_id % 7 {cases} ELSE '' END)"
+# What is added behind whole documents; their own text stays as it is.
+ADDED = [
+    " login socks5://bob:pw12@h:1 ok",
+    " GET /x?a=1&api_key=abc&b=2 end",
+    " Authorization: Bearer abcdef123456",
+    ' password="hunter22" set',
+    " pwd = topsecret; done",
+    " write to a@b.example ok",
+    ' {"password":"secret-123"} sent',
+    " password=auth-xyz9 password=password",
+    " pwd=my-token-abc123 set",
+    " GET /y?my key=two words&z=1 end",
+    " Bearer abc-token xyz",
+    " cookie: ''auth-token'' end",
+]
+SECRETS = f"concat(text, CASE doc_id % {len(ADDED) + 1} {' '.join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(ADDED))} ELSE '' END)"
+
+# The rules as RE2 says them: no look around, no back-reference, a branch per kind of quote.
+_BLANKS = r"\s\x0b\pZ\x{feff}"
+_VALUE = rf"[^{_BLANKS}\"'',;}}&]{{3,}}"
+_RULES = [
+    (r"://[^/\s]*:[^/\s]*@", "://[redacted]@"),
+    (rf"([?&][^=&#]*(?:{'|'.join(R.QUERY_WORDS)})[^=&#]*=)[^&#]*", r"\1[redacted]"),
+    (rf"\b({'|'.join(R.SCHEME_WORDS)})[{_BLANKS}]+[a-z0-9._~+/=-]{{6,}}", r"\1 [redacted]"),
+    (
+        rf"(\b(?:{'|'.join(R.TEXT_KEYS)})[\"'']?[{_BLANKS}]*[:=][{_BLANKS}]*)(?:(\"){_VALUE}\"|(''){_VALUE}''|{_VALUE})",
+        r"\1\2\3[redacted]\2\3",
+    ),
+]
+
+
+def redact_sql(column: str) -> str:
+    """SQL of a text without its secrets."""
+    for pattern, shown in _RULES:
+        column = f"regexp_replace({column}, '(?i){pattern}', '{shown}', 'g')"
+    return column
 
 
 @query(
-    f"""SELECT doc_id, md5({with_added(1, ", 'g'")}) AS print, doc_id % 7 < 5 AS changed FROM documents"""
+    f"""SELECT doc_id, md5(clean) AS print, contains(clean, '[redacted]') AS changed
+FROM (SELECT doc_id, {redact_sql(SECRETS)} AS clean FROM documents)"""
 )
 def redact_documents(spark, sf_dir):
-    """Secrets out of whole documents."""
-    docs = fx.sql(spark, sf_dir, f"SELECT doc_id, {with_added(0, '')} AS text FROM documents")
+    """Secrets out of whole documents, their own and added ones."""
+    docs = fx.sql(spark, sf_dir, f"SELECT doc_id, {SECRETS} AS text FROM documents")
     clean = docs.select("doc_id", R.redact_text(F.col("text")).alias("text"))
     return clean.select("doc_id", F.md5("text").alias("print"), F.col("text").contains("[redacted]").alias("changed"))
 
