@@ -275,13 +275,15 @@ def block_markers(spark, sf_dir):
     return fx.table(spark, sf_dir, "pages").select("page_id", P.block_marker(body).alias("marker"))
 
 
-ECHO = f"""SELECT h.id, CASE h.id % 5 WHEN 0 THEN concat('{{"origin": "', h.host, '"}}') WHEN 1 THEN concat('your address is ', h.host, ' today')
-  WHEN 2 THEN concat('{{"n": 1, "peer": "', h.host, ', 9.9.9.9"}}') WHEN 3 THEN 'nothing to see' ELSE '' END AS body FROM ({HOSTS}) h"""
+ECHO = f"""SELECT h.id, CASE h.id % 10 WHEN 0 THEN concat('{{"origin": "', h.host, '"}}') WHEN 1 THEN concat('your address is ', h.host, ' today')
+  WHEN 2 THEN concat('{{"n": 1, "peer": "', h.host, ', 9.9.9.9"}}') WHEN 3 THEN 'nothing to see' WHEN 4 THEN concat(h.host, ':8080')
+  WHEN 5 THEN concat('ip:', h.host) WHEN 6 THEN concat('{{"client_ip": "address:', h.host, ':443"}}') WHEN 7 THEN concat('x-peer=', h.host, ';port=1.2.3')
+  WHEN 8 THEN concat('[', h.host, ']/', h.host, ', 9.9.9.9') ELSE '' END AS body FROM ({HOSTS}) h"""
 
 
 @query(
-    f""", h AS (SELECT *, id % 23 NOT IN (17, 18, 20, 21, 22) AS quad FROM ({HOSTS.replace("STRING", "VARCHAR")})),
-e AS (SELECT id, CASE WHEN id % 5 < 3 AND quad THEN host WHEN id % 5 = 2 THEN '9.9.9.9' END AS address, quad FROM h)
+    f""", h AS (SELECT *, id % 23 NOT IN (20, 21, 22) AS quad FROM ({HOSTS.replace("STRING", "VARCHAR")})),
+e AS (SELECT id, CASE WHEN id % 10 NOT IN (3, 9) AND quad THEN host WHEN id % 10 IN (2, 8) THEN '9.9.9.9' END AS address, quad FROM h)
 SELECT id, address, CASE WHEN address IS NULL THEN 'unknown' WHEN NOT quad OR {CLASS_CASE} = 'public' THEN 'public' ELSE 'local' END AS egress FROM e"""
 )
 def egress_locality(spark, sf_dir):
