@@ -1,14 +1,20 @@
+import os
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
+from tidewatch import fixtures
 from tidewatch.config import QueueConfig, RetentionConfig, ScoreConfig, ServiceConfig
 from tidewatch.functions import score as S
 from tidewatch.operators import history, merge, pool, stats, transitions
+from tidewatch.plans import registry
 from tidewatch.schemas import CYCLES, ENDPOINTS, conform, split_sound
 from tidewatch.sources.tables import Tables
 
+registry.load()
+
+SF = "/root/testdata/sf0.01"
 NOW = datetime(2026, 1, 1, 12)
 BASE = {
     "host": "203.0.113.1", "port": 8080, "protocol": "http", "source": "fixture", "status": "active",
@@ -282,6 +288,24 @@ def test_service_selection(spark):
     assert got == [2, 1, 5, 3]
 
 
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_registered_work_is_whole(spark):
+    rows = fixtures.endpoints(spark, SF)
+
+    def before(name, minutes):
+        return F.col(name).isNull() | (F.col(name) < F.lit(fixtures.NOW).cast("timestamp_ntz") - F.expr(f"INTERVAL {minutes} MINUTE"))
+
+    ids = lambda test: {r.id for r in rows.filter(test).select("id").collect()}
+    active = F.col("status") == "active"
+    queue = ids(F.col("status").isin("new", "quarantined") | (active & before("last_checked_at", 15)))
+    due = ids(active & (F.col("score") >= 10) & before("service_checked_at", 360))
+    fresh = ids((F.col("validation_status") == "passed") & (F.col("score") >= 10) & (F.col("service_status") != "passed")) & queue
+    wanted = {"validation_queue": queue, "service_candidates": due, "cycle_service_selection": due | fresh}
+    for name, want in wanted.items():
+        got = [r.id for r in registry.QUERIES[name](spark, SF).select("id").collect()]
+        assert len(got) == len(set(got)) > 150 and set(got) == want, name
+
+
 def test_enumerations_are_checked(spark):
     rows = table(spark, dict(), dict(protocol="quic"), dict(port=0), dict(status="odd"))
     good, bad = split_sound(rows)

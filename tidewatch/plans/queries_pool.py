@@ -223,37 +223,66 @@ def table_counts(spark, sf_dir):
     return stats.table_counts(**{name: fx.view(spark, sf_dir, source) for name, source in names.items()})
 
 
+OLDEST = "last_checked_at ASC NULLS FIRST, id"
 QUEUE = f"""
-, picked AS (
-  SELECT * FROM (SELECT id, 0 AS branch, row_number() OVER (ORDER BY id) AS pos FROM fx_endpoints WHERE status = 'new') WHERE pos <= 60
-  UNION ALL SELECT * FROM (SELECT id, 1, row_number() OVER (ORDER BY last_checked_at ASC NULLS FIRST, id) AS pos
-    FROM fx_endpoints WHERE status = 'quarantined') WHERE pos <= 40
-  UNION ALL SELECT * FROM (SELECT id, 2, row_number() OVER (ORDER BY last_checked_at ASC NULLS FIRST, id) AS pos FROM fx_endpoints
-    WHERE status = 'active' AND (last_checked_at IS NULL OR last_checked_at < {TS} - INTERVAL '15' MINUTE)) WHERE pos <= 50),
-queue AS (SELECT * FROM picked ORDER BY branch, pos LIMIT 120)
+, queue AS (
+  SELECT id, 0 AS branch, row_number() OVER (ORDER BY id) AS pos FROM fx_endpoints WHERE status = 'new'
+  UNION ALL SELECT id, 1, row_number() OVER (ORDER BY {OLDEST}) FROM fx_endpoints WHERE status = 'quarantined'
+  UNION ALL SELECT id, 2, row_number() OVER (ORDER BY {OLDEST}) FROM fx_endpoints
+    WHERE status = 'active' AND (last_checked_at IS NULL OR last_checked_at < {TS} - INTERVAL '15' MINUTE))
 """
-QUEUE_LIMITS = QueueConfig(new_limit=60, quarantine_limit=40, recheck_limit=50, max_per_cycle=120)
 
 
 @query(QUEUE + "SELECT id, branch, pos FROM queue", ("fx_endpoints",))
 def validation_queue(spark, sf_dir):
-    return pool.validation_queue(fx.endpoints(spark, sf_dir), fx.NOW, QUEUE_LIMITS).select("id", "branch", "pos")
+    """The whole queue."""
+    return pool.validation_queue(fx.endpoints(spark, sf_dir), fx.NOW).select("id", "branch", "pos")
 
 
 DUE = f"status = 'active' AND score >= 10 AND (service_checked_at IS NULL OR service_checked_at < {TS} - INTERVAL '360' MINUTE)"
+BEST = "score DESC, latency_ms ASC NULLS FIRST, id"
 
 
 @query(
-    f"SELECT id, score, latency_ms FROM fx_endpoints WHERE {DUE} ORDER BY score DESC, latency_ms ASC NULLS FIRST, id LIMIT 100",
+    f"SELECT id, score, latency_ms, row_number() OVER (ORDER BY {BEST}) AS pos FROM fx_endpoints WHERE {DUE}",
     ("fx_endpoints",),
 )
 def service_candidates(spark, sf_dir):
-    return pool.service_candidates(fx.endpoints(spark, sf_dir), fx.NOW, 100).select("id", "score", "latency_ms")
+    """All pool members that are due, with their place."""
+    return pool.service_candidates(fx.endpoints(spark, sf_dir), fx.NOW, None).select("id", "score", "latency_ms", "pos")
 
 
 @query(
     QUEUE
     + f"""
+, fresh AS (SELECT id, 0 AS branch, row_number() OVER (ORDER BY score DESC, id) AS pos FROM fx_endpoints
+    WHERE id IN (SELECT id FROM queue) AND validation_status = 'passed' AND score >= 10 AND service_status <> 'passed'),
+due AS (SELECT id, row_number() OVER (ORDER BY {BEST}) AS pos FROM fx_endpoints WHERE {DUE})
+SELECT id, branch, pos FROM fresh UNION ALL SELECT id, 1, pos FROM due WHERE id NOT IN (SELECT id FROM fresh)""",
+    ("fx_endpoints",),
+)
+def cycle_service_selection(spark, sf_dir):
+    """All service checks that are due after a whole queue."""
+    endpoints = fx.endpoints(spark, sf_dir)
+    queue = pool.validation_queue(endpoints, fx.NOW)
+    return pool.cycle_service_selection(endpoints, queue, fx.NOW).select("id", "branch", "pos")
+
+
+BUDGETED = f"""
+, picked AS (
+  SELECT * FROM (SELECT id, 0 AS branch, row_number() OVER (ORDER BY id) AS pos FROM fx_endpoints WHERE status = 'new') WHERE pos <= 60
+  UNION ALL SELECT * FROM (SELECT id, 1, row_number() OVER (ORDER BY last_checked_at ASC NULLS FIRST, id) AS pos
+    FROM fx_endpoints WHERE status = 'quarantined') WHERE pos <= 40
+  UNION ALL SELECT * FROM (SELECT id, 2, row_number() OVER (ORDER BY last_checked_at ASC NULLS FIRST, id) AS pos FROM fx_endpoints
+    WHERE status = 'active' AND (last_checked_at IS NULL OR last_checked_at < {TS} - INTERVAL '15' MINUTE)) WHERE pos <= 50),
+queue AS (SELECT * FROM picked ORDER BY branch, pos LIMIT 120)
+"""
+LIMITS = QueueConfig(new_limit=60, quarantine_limit=40, recheck_limit=50, max_per_cycle=120)
+
+
+@query(
+    BUDGETED
+    + f"""
 , fresh AS (SELECT id, 0 AS branch FROM fx_endpoints WHERE id IN (SELECT id FROM queue) AND validation_status = 'passed'
     AND score >= 10 AND service_status <> 'passed' ORDER BY score DESC, id LIMIT 70),
 due AS (SELECT id, row_number() OVER (ORDER BY score DESC, latency_ms ASC NULLS FIRST, id) AS pos FROM fx_endpoints WHERE {DUE})
@@ -261,9 +290,10 @@ SELECT id, branch FROM fresh
 UNION ALL SELECT id, 1 FROM due WHERE pos <= 70 - (SELECT count(*) FROM fresh) AND id NOT IN (SELECT id FROM fresh)""",
     ("fx_endpoints",),
 )
-def cycle_service_selection(spark, sf_dir):
+def cycle_service_budget(spark, sf_dir):
+    """The selection under the limits of a queue and a budget."""
     endpoints = fx.endpoints(spark, sf_dir)
-    queue = pool.validation_queue(endpoints, fx.NOW, QUEUE_LIMITS)
+    queue = pool.validation_queue(endpoints, fx.NOW, LIMITS)
     chosen = pool.cycle_service_selection(endpoints, queue, fx.NOW, ServiceConfig(budget_per_cycle=70))
     return chosen.select("id", "branch")
 
