@@ -20,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are n
 
 
 def test_registered():
-    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 11)]
+    assert [name.split("_")[0] for name in QUERIES] == [f"op{n}" for n in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLES) <= set(entry.oracle_sql())
 
@@ -70,3 +70,8 @@ def test_fingerprints(spark):
         assert r["n_chars"] == len(text or "") and 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
     assert len({r["fingerprint"] for r in got.values()}) == len({t for _, t in rows})
     assert sum(r["near_edited"] > r["near_next"] for r in got.values()) > 0.9 * len(got)
+
+
+def test_byte_bpe(spark):
+    got = {r["doc_id"]: tuple(r)[1:] for r in QUERIES["op11_byte_bpe"](spark, SF).collect()}
+    assert got == {i: brute.byte_bpe(text) for i, text in documents(spark)}

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chats, decontaminate, fingerprints, language_model, lines, packing, quality, simhash, substrings, toxicity
+from . import (
+    bpe,
+    chats,
+    decontaminate,
+    divergence,
+    fingerprints,
+    language_model,
+    lines,
+    packing,
+    quality,
+    repair,
+    simhash,
+    substrings,
+    toxicity,
+)
 from .texts import bounded_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,6 +101,26 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and what they decode to."""
+    found = bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256")
+    )
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest repair of every damaged conversation."""
+    found = repair.repair_conversations(table(spark, sf_dir, "conversations"))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return found.select("conv_id", *counts, "audit", "repaired_sha256")
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of every language, and the terms that each source stresses."""
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_toxicity": op2_toxicity,
@@ -98,6 +132,9 @@ QUERIES: dict[str, Query] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_source_divergence": op13_source_divergence,
 }
 UPPER, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -149,5 +186,94 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(sum(length('<|im_start|><|im_sep|><|im_end|>') + 1 + length(regexp_replace(role, '<(\\*)\|', '<\\\1|', 'g'))
     + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
+""",
+    "op12_conversation_repair": r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations),
+faults AS (
+  SELECT *, xor(4294967295, list_reduce(list_transform(range(1, length(key) + 1), lambda i: CAST(ascii(key[i]) AS BIGINT)),
+    lambda crc, b: list_reduce(range(1, 9), lambda c, i: xor(c // 2, 3988292384 * (c % 2)), xor(crc, b)), 4294967295)) % 20 AS fault
+  FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE fault WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM faults),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS pos,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM damaged),
+judged AS (
+  SELECT *, CASE WHEN bare = '' THEN 'blank'
+    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+    WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY pos) || left(role, 1) AS pair FROM placed),
+counts AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+    count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate,
+    count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM judged GROUP BY conv_id),
+inserted(state, goal, cost, audit, said) AS (VALUES
+  ('', '', 0, '', ''), ('', 'u', 3, 'I', chr(10) || 'user:'), ('', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('s', 's', 0, '', ''), ('s', 'u', 3, 'I', chr(10) || 'user:'), ('s', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('u', 'u', 0, '', ''), ('u', 'a', 3, 'I', chr(10) || 'assistant:'), ('a', 'a', 0, '', ''), ('a', 'u', 3, 'I', chr(10) || 'user:')),
+edits(state, label, initial, goal, cost, turn) AS (VALUES
+  ('', 'D', '', '', 4, ''), ('s', 'D', '', 's', 4, ''), ('u', 'D', '', 'u', 4, ''), ('a', 'D', '', 'a', 4, ''),
+  ('', 'K', 's', 's', 0, ''), ('', 'K', 'u', 'u', 0, ''), ('s', 'K', 'u', 'u', 0, ''), ('u', 'K', 'a', 'a', 0, ''), ('a', 'K', 'u', 'u', 0, ''),
+  ('', 'R', '', 'u', 3, 'user'), ('s', 'R', '', 'u', 3, 'user'), ('u', 'R', '', 'a', 3, 'assistant'), ('a', 'R', '', 'u', 3, 'user')),
+ways AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS pos, '' AS state, CAST(0 AS BIGINT) AS cost, '' AS audit, '' AS said FROM counts
+  UNION ALL
+  SELECT conv_id, pos, goal, best.cost, best.audit, best.said FROM (
+    SELECT w.conv_id, j.pos, e.goal, min({
+      'cost': w.cost + i.cost + e.cost + CASE WHEN j.kind = 'truncated' AND e.label <> 'D' THEN 3 ELSE 0 END,
+      'audit': w.audit || i.audit || e.label,
+      'said': w.said || i.said || CASE e.label WHEN 'D' THEN '' WHEN 'K' THEN chr(10) || j.role || ':' || j.text
+        ELSE chr(10) || e.turn || ':' || j.text END}) AS best
+    FROM ways w JOIN judged j ON w.conv_id IS NOT DISTINCT FROM j.conv_id AND j.pos = w.pos + 1
+    JOIN inserted i ON i.state = w.state
+    JOIN edits e ON e.state = i.goal AND (e.label <> 'K' OR e.initial = left(j.role, 1))
+      AND (e.label = 'D' OR j.kind NOT IN ('blank', 'duplicate'))
+    GROUP BY w.conv_id, j.pos, e.goal)),
+ended AS (
+  SELECT w.conv_id, min({'cost': w.cost + i.cost, 'audit': w.audit || i.audit, 'said': w.said || i.said}) AS best
+  FROM ways w JOIN counts c ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.pos = c.n
+  JOIN inserted i ON i.state = w.state AND i.goal IN ('', 'a') GROUP BY w.conv_id)
+SELECT k.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(e.best.cost, 0) AS BIGINT) AS cost,
+  coalesce(e.best.audit, '') AS audit, sha256(coalesce(e.best.said[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) k
+LEFT JOIN counts c ON k.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN ended e ON k.conv_id IS NOT DISTINCT FROM e.conv_id
+""",
+    "op13_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+w AS (
+  SELECT rid, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+langs AS (SELECT lang, count(*) AS v, sum(total) AS size FROM kept GROUP BY lang),
+grps AS (SELECT DISTINCT lang, source FROM d),
+counts AS (SELECT lang, source, term, count(*) AS n FROM w JOIN kept USING (lang, term) GROUP BY lang, source, term),
+sizes AS (SELECT g.lang, g.source, coalesce(sum(n), 0) AS size FROM grps g LEFT JOIN counts c ON g.lang = c.lang AND g.source = c.source GROUP BY g.lang, g.source),
+shares AS (
+  SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+    1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)::HUGEINT) // (s.size + 5 * l.v)::HUGEINT AS p,
+    1 + (1000000000::HUGEINT * (k.total + 5)::HUGEINT) // (l.size + 5 * l.v)::HUGEINT AS q
+  FROM sizes s JOIN langs l ON s.lang = l.lang JOIN kept k ON s.lang = k.lang
+  LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source),
+rows AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, coalesce(x.value, 0) AS value
+  FROM grps g JOIN grps h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN apart x ON x.lang = g.lang AND x.source = g.source AND x.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, p - q FROM shares WHERE n > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, part, item, CAST(value AS BIGINT) AS value,
+    CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM rows)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 50
 """,
 }
