@@ -165,6 +165,18 @@ def meta_json(meta: DataFrame, key: str, path: str, kind: str = "string") -> Dat
 # Retention --------------------------------------------------------------------
 
 
+def buried(now: datetime | str, dead_days: int) -> Column:
+    """A dead endpoint that never passed and has not been seen for so long."""
+    unseen = F.coalesce(F.col("last_seen") < at(now, dead_days * 24 * 60), F.lit(False))
+    return (F.col("status") == "dead") & unseen & F.col("last_passed_at").isNull()
+
+
+def old_cycle(now: datetime | str, cycles_days: int) -> Column:
+    """A cycle that ended, or else began, so long ago and is not running."""
+    ended = F.coalesce("finished_at", "started_at")
+    return (F.col("status") != "running") & F.coalesce(ended < at(now, cycles_days * 24 * 60), F.lit(False))
+
+
 def prune_history(
     endpoints: DataFrame,
     checks: DataFrame,
@@ -182,27 +194,20 @@ def prune_history(
     day = 24 * 60
     results_before = at(now, cfg.results_days * day)
     old_result = F.col("created_at") < results_before
-    buried = (
-        (F.col("status") == "dead")
-        & F.coalesce(F.col("last_seen") < at(now, cfg.dead_days * day), F.lit(False))
-        & F.col("last_passed_at").isNull()
-    )
-    old_cycle = (F.col("status") != "running") & F.coalesce(
-        F.coalesce("finished_at", "started_at") < at(now, cfg.cycles_days * day), F.lit(False)
-    )
-    kept = endpoints.filter(~buried)
-    gone = endpoints.filter(buried).select(F.col("id").alias("proxy_id"))
+    gone_for_good, outdated = buried(now, cfg.dead_days), old_cycle(now, cfg.cycles_days)
+    kept = endpoints.filter(~gone_for_good)
+    gone = endpoints.filter(gone_for_good).select(F.col("id").alias("proxy_id"))
     n = lambda df, test: df.agg(F.count_if(test).alias("n")).scalar()
     counts = endpoints.sparkSession.range(1).select(
         n(checks, old_result).alias("checks"),
         n(service_checks, old_result).alias("service_checks"),
-        n(endpoints, buried).alias("endpoints"),
-        n(cycles, old_cycle).alias("cycles"),
+        n(endpoints, gone_for_good).alias("endpoints"),
+        n(cycles, outdated).alias("cycles"),
     )
     return {
         "endpoints": kept,
         "checks": checks.filter(~old_result).join(gone, "proxy_id", "left_anti"),
         "service_checks": service_checks.filter(~old_result).join(gone, "proxy_id", "left_anti"),
-        "cycles": cycles.filter(~old_cycle),
+        "cycles": cycles.filter(~outdated),
         "counts": counts,
     }

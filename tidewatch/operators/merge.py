@@ -163,12 +163,14 @@ def upsert_candidates(
     cycle_id: str,
     now: datetime | str,
     block_lines: int = BLOCK_LINES,
+    top: int | None = None,
 ) -> DataFrame:
     """The endpoint table after a merge of ``candidates`` (unique by ``dedupe_key``).
 
     Unknown keys are inserted as ``new`` with ids behind the highest one, in source and
     line order. Known rows are touched: seen time and cycle move, a missing country or
-    account is filled in and a dead row turns ``new``; source and anonymity stay.
+    account is filled in and a dead row turns ``new``; source and anonymity stay. ``top`` is the
+    highest id where ``endpoints`` are not all there are.
     """
     old = conform(endpoints, ENDPOINTS)
     fresh = candidates.select("dedupe_key", "source", "source_ord", "line_no", *CANDIDATE).alias("n")
@@ -191,9 +193,9 @@ def upsert_candidates(
         ["source_ord", "line_no"],
         F.struct("source_ord", F.floor(F.col("line_no") / block_lines).alias("part")),
     )
-    top = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar()
+    highest = old.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).scalar() if top is None else F.lit(top)
     rows = numbered.select(
-        (top + F.col("nth")).alias("id"),
+        (highest + F.col("nth")).alias("id"),
         "dedupe_key",
         "source",
         *CANDIDATE,

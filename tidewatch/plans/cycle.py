@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import CycleConfig
 from ..functions.score import service_quality
-from ..functions.text import at
+from ..functions.text import at, instant
 from ..operators import merge, parse, pool, stats, transitions
 from ..schemas import CHECKS, CYCLES, ENDPOINTS, SERVICE_CHECKS, conform
 from ..session import cut_lineage
@@ -22,8 +23,9 @@ class CycleInputs:
     """What collectors recorded for a cycle.
 
     ``lines``: source, line_no, line. ``sources``: source, source_ord, trust. ``outcomes``:
-    proxy_id, reachable, latency_ms, error_code, one per endpoint. ``probes``: proxy_id,
-    verdict, latency_ms, reason, one per endpoint. ``feeds``: source, body of JSON feeds, with
+    proxy_id, reachable, latency_ms, error_code, one per endpoint, and what else a check row holds
+    (transport, http_status, error_message, attempts, duration_ms) if it is known. ``probes``: proxy_id,
+    verdict, latency_ms, reason, one per endpoint, and http_status and details if they are known. ``feeds``: source, body of JSON feeds, with
     their items at ``items_path``. A source of the catalogue without lines or items has failed.
     """
 
@@ -63,10 +65,17 @@ class CycleResult:
 
 
 def run_cycle(
-    endpoints: DataFrame, inputs: CycleInputs, cycle_id: str, now: datetime | str, cfg: CycleConfig = CycleConfig()
+    endpoints: DataFrame,
+    inputs: CycleInputs,
+    cycle_id: str,
+    now: datetime | str,
+    cfg: CycleConfig = CycleConfig(),
+    finished: Callable[[], datetime | str] | None = None,
 ) -> CycleResult:
     """Discover, merge, upsert, validate, check the service, sweep and count.
 
+    ``finished`` tells the instant of the end, ``now`` without it.
+
     What the stages hand on is read more than once, so it is written first; the endpoint table is written once after the merge and stays one lazy scan with small joins
     from there until the caller writes it.
     """
@@ -128,11 +137,11 @@ def run_cycle(
     report = cut_lineage(cycle_report(counts, cycle_id, now))
     return CycleResult(
         endpoints=final.select(*ENDPOINTS.names),
-        checks=check_rows(plan, queue, cycle_id, now),
-        service_checks=service_rows(service_plan, cycle_id, now, service_cfg.service)
+        checks=check_rows(plan, queue, cycle_id, now, inputs.outcomes),
+        service_checks=service_rows(service_plan, cycle_id, now, service_cfg.service, inputs.probes)
         if service_plan is not None
         else conform(wanted.select(), SERVICE_CHECKS),
-        cycle=cycle_row(report, cycle_id, now),
+        cycle=cycle_row(report, cycle_id, now, finished() if finished else now),
         report=report,
     )
 
@@ -146,15 +155,18 @@ def cycle_report(counts: dict[str, DataFrame], cycle_id: str, now: datetime | st
     return spark.range(1).select(F.lit(cycle_id).alias("cycle_id"), at(now).alias("started_at"), *parts)
 
 
-def cycle_row(report: DataFrame, cycle_id: str, now: datetime | str) -> DataFrame:
+def cycle_row(report: DataFrame, cycle_id: str, now: datetime | str, finished: datetime | str | None = None) -> DataFrame:
     """The completed cycle's row from its report."""
     c = F.col
+    end = now if finished is None else finished
+    took = round((instant(end) - instant(now)).total_seconds() * 1000)
     return conform(
         report.select(
             "cycle_id",
             F.lit("completed").alias("status"),
             at(now).alias("started_at"),
-            at(now).alias("finished_at"),
+            at(end).alias("finished_at"),
+            F.lit(took).alias("duration_ms"),
             c("discovery.discovered").alias("candidates_discovered"),
             c("upsert.inserted").alias("candidates_new"),
             c("validation.checked").alias("candidates_checked"),
@@ -171,23 +183,32 @@ def cycle_row(report: DataFrame, cycle_id: str, now: datetime | str) -> DataFram
     )
 
 
-def check_rows(plan: DataFrame, queue: DataFrame, cycle_id: str, now: datetime | str) -> DataFrame:
-    """The facts a validation plan appends."""
-    facts = plan.join(queue.select("id", "protocol"), "id").select(
-        F.col("id").alias("proxy_id"),
-        F.lit(cycle_id).alias("cycle_id"),
-        at(now).alias("created_at"),
-        "reachable",
-        "latency_ms",
-        "protocol",
-        "error_code",
+def known_columns(recorded: DataFrame | None, names: tuple[str, ...]) -> DataFrame | None:
+    """The columns of a record that a plan does not carry, by endpoint; None if it has none of them."""
+    have = [] if recorded is None else [name for name in names if name in recorded.columns]
+    return recorded.select(F.col("proxy_id").alias("id"), *have) if have else None
+
+
+def check_rows(
+    plan: DataFrame, queue: DataFrame, cycle_id: str, now: datetime | str, outcomes: DataFrame | None = None
+) -> DataFrame:
+    """The facts a validation plan appends, with what else its outcomes say."""
+    facts = plan.join(queue.select("id", "protocol"), "id")
+    more = known_columns(outcomes, ("transport", "http_status", "error_message", "attempts", "duration_ms"))
+    if more is not None:
+        facts = facts.join(more, "id", "left")
+    return conform(
+        facts.withColumns({"proxy_id": F.col("id"), "cycle_id": F.lit(cycle_id), "created_at": at(now), "id": F.lit(None)}),
+        CHECKS,
     )
-    return conform(facts, CHECKS)
 
 
-def service_rows(plan: DataFrame, cycle_id: str, now: datetime | str, service: str) -> DataFrame:
-    """The facts a service plan appends."""
+def service_rows(
+    plan: DataFrame, cycle_id: str, now: datetime | str, service: str, probes: DataFrame | None = None
+) -> DataFrame:
+    """The facts a service plan appends, with what else its probes say."""
     facts = plan.select(
+        F.col("id"),
         F.col("id").alias("proxy_id"),
         F.lit(cycle_id).alias("cycle_id"),
         F.lit(service).alias("service"),
@@ -197,4 +218,7 @@ def service_rows(plan: DataFrame, cycle_id: str, now: datetime | str, service: s
         F.col("service_latency_ms").alias("latency_ms"),
         F.col("service_fail_reason").alias("reason"),
     )
-    return conform(facts, SERVICE_CHECKS)
+    more = known_columns(probes, ("http_status", "details"))
+    if more is not None:
+        facts = facts.join(more, "id", "left")
+    return conform(facts.withColumn("id", F.lit(None)), SERVICE_CHECKS)

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import CycleConfig
-from ..plans.cycle import CycleInputs, run_cycle
+from ..plans.cycle import CycleInputs
+from ..plans.refresh import refresh
 from ..sources.jobs import parse_jobs, split_jobs
 from ..sources.tables import Tables
 from .state import COUNTERS, merge_endpoint_state
@@ -94,25 +95,18 @@ def refresh_stream(
     """A refresh cycle per micro-batch of raw lines.
 
     ``recorded`` gives the outcomes and probes of the moment, ``clock`` the instant of a
-    batch. ``every`` is the cadence; without it the query works off what is there. The endpoint
-    pointer is the last write of a batch: a batch it names is done and not run again, and any
-    other starts from the snapshot it started from before, so its facts replace the same facts.
+    batch. ``every`` is the cadence; without it the query works off what is there. A batch starts, commits
+    or fails its cycle as :func:`..plans.refresh.refresh` does: one that is committed is not run again, one
+    that died runs again from the commit it started from. Folders no recent commit names are removed.
     """
 
     def cycle(batch: DataFrame, number: int) -> None:
-        if tables.committed("endpoints") == str(number):
-            return
-        spark, now = batch.sparkSession, clock(number)
-        outcomes, probes = recorded(spark)
-        name = f"cyc_{number:08d}"
-        result = run_cycle(
-            tables.snapshot("endpoints"), CycleInputs(batch, sources, outcomes, probes), name, now, cfg
-        )
-        tables.append("checks", result.checks, str(number))
-        tables.append("service_checks", result.service_checks, str(number))
-        past = tables.snapshot("cycles").filter(F.col("cycle_id") != name)
-        tables.commit("cycles", past.unionByName(result.cycle), f"{number}", now)
-        tables.commit("endpoints", result.endpoints, f"{number}", now)
+        def inputs() -> CycleInputs:
+            outcomes, probes = recorded(batch.sparkSession)
+            return CycleInputs(batch, sources, outcomes, probes)
+
+        refresh(tables, inputs, f"cyc_{number:08d}", clock(number), cfg)
+        tables.ledger.vacuum()
 
     trigger = {"processingTime": every} if every else {"availableNow": True}
     return (
