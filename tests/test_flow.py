@@ -1,4 +1,5 @@
 from datetime import datetime, timedelta
+from itertools import permutations
 
 from pyspark.sql import functions as F
 
@@ -151,20 +152,60 @@ def fold(rows):
     return out
 
 
+def counters_of(df):
+    return {r.proxy_id: tuple(r[name] for name in S.COUNTERS) for r in df.collect()}
+
+
 def test_endpoint_state_batch_and_stream(spark, tmp_path):
     rows, ddl = checks(spark)
     want = fold(rows)
-    got = A.endpoint_state(spark.createDataFrame(rows, ddl)).collect()
-    as_tuple = lambda r: tuple(r[name] for name in S.COUNTERS)
-    assert {r.proxy_id: as_tuple(r) for r in got} == want
+    assert counters_of(A.endpoint_state(spark.createDataFrame(rows, ddl))) == want
     for k in range(3):
         spark.createDataFrame(rows[k * 100 : (k + 1) * 100], ddl).coalesce(1).write.parquet(f"{tmp_path}/in/p{k}")
     stream = (
         spark.readStream.schema(ddl).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
     )
-    J.fold_checks(stream, f"{tmp_path}/out").awaitTermination(90)
-    last = spark.read.parquet(J.endpoint_state_path(f"{tmp_path}/out", 2)).collect()
-    assert {r.proxy_id: as_tuple(r) for r in last} == want
+    J.fold_checks(stream, f"{tmp_path}/out", 4).awaitTermination(90)
+    states = S.EndpointStates(spark, f"{tmp_path}/out/state")
+    assert states.buckets == 4 and counters_of(states.rows()) == want
+
+
+def late_checks():
+    """Three batches in which passes lie between failures of other batches, some at one instant."""
+    t0 = datetime(2024, 1, 1)
+    rows = [(i, i % 3, t0 + timedelta(minutes=(i * 7) % 40 // 2), i % 5 == 2 and i < 30) for i in range(40)]
+    return [rows[k::3] for k in range(3)], rows, "id bigint, proxy_id bigint, created_at timestamp_ntz, reachable boolean"
+
+
+def test_late_checks_in_any_order(spark):
+    parts, rows, ddl = late_checks()
+    frames = [cut_lineage(spark.createDataFrame(p, ddl)) for p in parts]
+    want = fold(rows)
+    assert counters_of(A.endpoint_state(spark.createDataFrame(rows, ddl))) == want
+    for order in permutations(range(3)):
+        summary, failures = spark.createDataFrame([], S.SUMMARY), spark.createDataFrame([], S.FAILURES)
+        for k in order:
+            summary, failures = S.merge_summaries(summary, failures, frames[k])
+        assert counters_of(S.counters(summary, failures)) == want, order
+
+
+def test_states_are_settled_and_old_versions_dropped(spark, tmp_path):
+    """Within the lateness the places of failures go into a count; the counters stay those of the batch."""
+    t0, ddl = datetime(2024, 1, 1), late_checks()[2]
+    rows = [(i, i % 2, t0 + timedelta(minutes=i), i in (20, 21)) for i in range(60)]
+    # Neighbours change places, so that checks come up to three minutes late.
+    shuffled = [rows[i ^ 3] for i in range(60)]
+    states = S.EndpointStates(spark, str(tmp_path), 2, late="10 MINUTES")
+    for n in range(4):
+        states.fold(spark.createDataFrame(shuffled[n * 15 : n * 15 + 15], ddl), n)
+        states.fold(spark.createDataFrame(shuffled[n * 15 : n * 15 + 15], ddl), n)
+    assert counters_of(states.rows()) == fold(rows)
+    assert 0 < states.read("failures").count() <= 11 and states.read("summary").agg(F.sum("settled")).first()[0] >= 25
+    assert len(list((tmp_path / "summary").iterdir())) <= 2
+    # A pass that is far too late counts, and clears nothing.
+    states.fold(spark.createDataFrame([(99, 0, t0 + timedelta(minutes=30, seconds=30), True)], ddl), 9)
+    n, passed, failed, *_ = counters_of(states.rows())[0]
+    assert (n, passed, failed) == (31, 2, fold(rows)[0][2])
 
 
 def test_rate_limit_batch_and_stream(spark, tmp_path):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -103,36 +104,42 @@ def retry_plan(
 # Endpoint state from the check log -------------------------------------------
 
 
-def endpoint_state(checks: DataFrame) -> DataFrame:
-    """Fold the check log: checks, passes, trailing failures, last check and last pass.
+def place_of(created_at: Column, check_id: Column) -> Column:
+    """The place of a check in time: its instant, checks of one instant by their id (0 or more).
 
-    Counts and latest instants are one grouped aggregate; what lies behind the last pass is then
-    counted against one row per endpoint. All of it combines before the shuffle, so an endpoint that
-    owns most of the log costs a row per task.
+    One number, so that the latest place is a plain maximum that hash aggregation keeps in place.
     """
-    c = F.col
-    totals = checks.groupBy("proxy_id").agg(
+    micros = F.unix_micros(created_at.cast("timestamp")).cast("decimal(18,0)")
+    return (micros * F.lit(Decimal(10**19)) + check_id.cast("decimal(19,0)")).cast("decimal(38,0)")
+
+
+def endpoint_totals(checks: DataFrame) -> DataFrame:
+    """Per endpoint: checks, passes, last check, last pass and its place; combined before the shuffle."""
+    passed = F.col("reachable")
+    return checks.groupBy("proxy_id").agg(
         F.count(F.lit(1)).alias("check_count"),
-        F.count_if("reachable").alias("pass_count"),
+        F.count_if(passed).alias("pass_count"),
         F.max("created_at").alias("last_checked_at"),
-        F.max(F.when(c("reachable"), c("created_at"))).alias("last_passed_at"),
-    )
-    good = totals.select("proxy_id", "last_passed_at")
-    # Checks of one instant go by their id.
-    spot = (
-        checks.filter("reachable")
-        .join(good, "proxy_id")
-        .filter(c("created_at") == c("last_passed_at"))
-        .groupBy("proxy_id")
-        .agg(F.max("id").alias("last_passed_id"))
+        F.max(F.when(passed, F.col("created_at"))).alias("last_passed_at"),
+        F.max(F.when(passed, place_of(F.col("created_at"), F.col("id")))).alias("last_pass"),
     )
-    behind = (c("last_passed_at").isNull() | (c("created_at") > c("last_passed_at"))) | (
-        (c("created_at") == c("last_passed_at")) & (c("id") > c("last_passed_id"))
+
+
+def endpoint_state(checks: DataFrame) -> DataFrame:
+    """Fold the check log: checks, passes, trailing failures, last check and last pass.
+
+    Counts and the place of the last pass are one grouped aggregate, which combines before the shuffle.
+    The failed checks alone then meet that one row per endpoint, with their place as their only other
+    column, to count those behind the last pass; a hot endpoint's share of them is split by AQE.
+    """
+    totals = endpoint_totals(checks)
+    missed = checks.filter(~F.col("reachable")).select(
+        F.col("proxy_id").alias("own"), place_of(F.col("created_at"), F.col("id")).alias("place")
     )
+    last = totals.select("proxy_id", "last_pass")
+    behind = F.col("last_pass").isNull() | (F.col("place") > F.col("last_pass"))
     tail = (
-        checks.select("proxy_id", "created_at", "id")
-        .join(good.join(spot, "proxy_id", "left"), "proxy_id")
-        .filter(behind)
+        missed.join(last, (F.col("own") == F.col("proxy_id")) & behind)
         .groupBy("proxy_id")
         .agg(F.count(F.lit(1)).alias("tail"))
     )

@@ -13,6 +13,7 @@ from ..functions.text import iso_text
 from ..operators import history, merge
 from ..session import shared_folder
 from ..sources.tables import Tables
+from ..streaming.state import EndpointStates
 from . import refresh
 from .cycle import CycleInputs
 from .queries_parse import FEED, KNOWN, _known_and_candidates
@@ -91,6 +92,26 @@ def retention_by_day(spark, sf_dir):
     )
 
 
+# Endpoint state from late batches ---------------------------------------------------
+
+
+@query(
+    """, c AS (SELECT *, max(CASE WHEN reachable THEN created_at END) OVER (PARTITION BY proxy_id) AS good FROM fx_checks)
+SELECT proxy_id, count(*) AS check_count, count(*) FILTER (reachable) AS pass_count, count(*) FILTER (good IS NULL OR created_at > good)
+  AS consecutive_failures, strftime(max(created_at), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_checked_at, strftime(max(good), '%Y-%m-%dT%H:%M:%S.%gZ') AS last_passed_at
+FROM c GROUP BY proxy_id""",
+    ("fx_checks",),
+)
+def endpoint_state_late(spark, sf_dir):
+    """The whole check log folded in three batches, the latest checks first, each into a committed state."""
+    checks = fx.view(spark, sf_dir, "fx_checks").select("id", "proxy_id", "created_at", "reachable")
+    states = EndpointStates(spark, f"{shared_folder(spark)}/states-{uuid.uuid4().hex}", 8)
+    third = F.expr("CAST(day(created_at) AS INT) % 3")
+    for number, part in enumerate((2, 0, 1)):
+        states.fold(checks.filter(third == part), number)
+    return states.rows().withColumns({n: iso_text(F.col(n)) for n in ("last_checked_at", "last_passed_at")})
+
+
 # Cycles -------------------------------------------------------------------------
 
 POOL_LINES = """SELECT 'known' AS source, id AS line_no,

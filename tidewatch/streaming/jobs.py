@@ -13,7 +13,7 @@ from ..plans.cycle import CycleInputs
 from ..plans.refresh import refresh
 from ..sources.jobs import parse_jobs, split_jobs
 from ..sources.tables import Tables
-from .state import COUNTERS, merge_endpoint_state
+from .state import EndpointStates
 
 
 def retry_failed(failed: DataFrame, max_attempts: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -49,34 +49,14 @@ def run_jobs(
     )
 
 
-STATE_DDL = (
-    "proxy_id BIGINT, check_count BIGINT, pass_count BIGINT, consecutive_failures BIGINT, "
-    "last_checked_at TIMESTAMP_NTZ, last_passed_at TIMESTAMP_NTZ"
-)
+def fold_checks(checks: DataFrame, root: str, buckets: int = 64, late: str | None = None) -> StreamingQuery:
+    """Keep the endpoint counters of a check stream; :class:`.state.EndpointStates` reads them.
 
-
-def endpoint_state_path(root: str, number: int) -> str:
-    return f"{root}/state/v={number}"
-
-
-def fold_checks(checks: DataFrame, root: str) -> StreamingQuery:
-    """Keep the endpoint counters of a check stream, one state version per micro-batch.
-
-    Version n is written from version n-1, so a batch that runs again rewrites the same rows.
+    Checks may come late and micro-batches in any order.
     """
-
-    def fold(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        state = (
-            spark.read.schema(STATE_DDL).parquet(endpoint_state_path(root, number - 1))
-            if number > 0
-            else spark.createDataFrame([], STATE_DDL)
-        )
-        merged = merge_endpoint_state(state, batch)
-        merged.select("proxy_id", *COUNTERS).write.mode("overwrite").parquet(endpoint_state_path(root, number))
-
+    states = EndpointStates(checks.sparkSession, f"{root}/state", buckets, late)
     return (
-        checks.writeStream.foreachBatch(fold)
+        checks.writeStream.foreachBatch(lambda batch, number: states.fold(batch, number))
         .option("checkpointLocation", f"{root}/_checkpoint")
         .trigger(availableNow=True)
         .start()
