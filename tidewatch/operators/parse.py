@@ -229,7 +229,7 @@ def label_lines(lines: DataFrame) -> DataFrame:
     return df.withColumn("kind", kind)
 
 
-def section_hints(labelled: DataFrame, start_hint: str | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+def section_hints(labelled: DataFrame, start_hint: Column | str | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Add ``hint``: the last label above each line of its source.
 
     Lines are cut into blocks, so one endless source is still many tasks.
@@ -240,7 +240,7 @@ def section_hints(labelled: DataFrame, start_hint: str | None = None, block_line
     return hinted.withColumn("hint", F.coalesce("hint", F.lit(start_hint)))
 
 
-def parse_lines(lines: DataFrame, start_hint: str | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
+def parse_lines(lines: DataFrame, start_hint: Column | str | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Every line of ``(source, line_no, line)`` with its kind and parsed entry.
 
     ``outcome`` is blank, skipped, rejected or accepted; repeats are still in.

@@ -16,6 +16,7 @@ from ..operators import merge, parse, pool, stats, transitions
 from ..schemas import CHECKS, CYCLES, ENDPOINTS, SERVICE_CHECKS, conform
 from ..session import cut_lineage
 from ..sources import feeds
+from ..sources.catalogue import Discovered
 
 
 @dataclass
@@ -25,8 +26,11 @@ class CycleInputs:
     ``lines``: source, line_no, line. ``sources``: source, source_ord, trust. ``outcomes``:
     proxy_id, reachable, latency_ms, error_code, one per endpoint, and what else a check row holds
     (transport, http_status, error_message, attempts, duration_ms) if it is known. ``probes``: proxy_id,
-    verdict, latency_ms, reason, one per endpoint, and http_status and details if they are known. ``feeds``: source, body of JSON feeds, with
-    their items at ``items_path``. A source of the catalogue without lines or items has failed.
+    verdict, latency_ms, reason, one per endpoint, and http_status and details if they are known.
+    ``feeds``: source, body of JSON feeds, with their items at ``items_path``; ``mapped``: items of feeds
+    that were read before (:func:`..sources.catalogue.read_catalogue`), ``faults``: source, reason of sources
+    that could not be read. ``hint`` is the protocol the catalogue gives a ``source``. A source of the
+    catalogue without lines or items has failed.
     """
 
     lines: DataFrame
@@ -35,21 +39,37 @@ class CycleInputs:
     probes: DataFrame
     feeds: DataFrame | None = None
     items_path: str = ""
+    mapped: DataFrame | None = None
+    faults: DataFrame | None = None
+    hint: Column | None = None
 
+    @classmethod
+    def from_catalogue(cls, found: Discovered, outcomes: DataFrame, probes: DataFrame) -> CycleInputs:
+        """What a catalogue's sources gave, with the recorded checks."""
+        return cls(found.lines, found.sources, outcomes, probes, mapped=found.mapped, faults=found.faults, hint=found.hint)
 
-def discover(lines: DataFrame, bodies: DataFrame | None = None, items_path: str = "") -> tuple[DataFrame, DataFrame]:
+
+def discover(
+    lines: DataFrame,
+    bodies: DataFrame | None = None,
+    items_path: str = "",
+    mapped: DataFrame | None = None,
+    hint: Column | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """Parsed lines and distinct entries per source, of line lists and of JSON feeds together.
 
     The items of a feed are lines like any other; what an item says besides its line (country,
-    anonymity, account, protocol) is put back on its entry.
+    anonymity, account, protocol) is put back on its entry. ``mapped`` are items that were mapped before.
     """
     lines = lines.select("source", "line_no", "line")
-    if bodies is None:
-        parsed = parse.parse_lines(lines)
+    if bodies is not None:
+        # Bodies are parsed as JSON once.
+        own = cut_lineage(feeds.map_json_fields(feeds.read_json_items(bodies, items_path)))
+        mapped = own if mapped is None else mapped.unionByName(own)
+    if mapped is None:
+        parsed = parse.parse_lines(lines, hint)
         return parsed, parse.first_entries(parsed)
-    # Bodies are parsed as JSON once.
-    mapped = cut_lineage(feeds.map_json_fields(feeds.read_json_items(bodies, items_path)))
-    parsed = parse.parse_lines(lines.unionByName(feeds.feed_lines(mapped)))
+    parsed = parse.parse_lines(lines.unionByName(feeds.feed_lines(mapped)), hint)
     return parsed, feeds.attach_metadata(parse.first_entries(parsed), mapped)
 
 
@@ -62,6 +82,24 @@ class CycleResult:
     service_checks: DataFrame
     cycle: DataFrame
     report: DataFrame
+    #: source, reason of every source of the catalogue that gave nothing.
+    faults: DataFrame | None = None
+
+
+def source_faults(inputs: CycleInputs, per_source: DataFrame) -> DataFrame:
+    """(source, reason) of the sources that failed: what is known of them, else that they had no lines."""
+    silent = inputs.sources.select("source").join(per_source.select("source"), "source", "left_anti")
+    known = []
+    if inputs.faults is not None:
+        known.append(inputs.faults.select("source", "reason"))
+    if inputs.feeds is not None:
+        known.append(feeds.feed_faults(inputs.feeds, inputs.items_path).select("source", "reason"))
+    if not known:
+        return silent.withColumn("reason", F.lit("no lines"))
+    told = known[0] if len(known) == 1 else known[0].unionByName(known[1])
+    told = told.groupBy("source").agg(F.min("reason").alias("told"))
+    # A feed may fail beside lines of its source, and a source may be none of the catalogue.
+    return silent.join(told, "source", "full").select("source", F.coalesce("told", F.lit("no lines")).alias("reason"))
 
 
 def run_cycle(
@@ -81,7 +119,7 @@ def run_cycle(
     """
     old = conform(endpoints, ENDPOINTS)
     # Discovery.
-    parsed, entries = discover(inputs.lines, inputs.feeds, inputs.items_path)
+    parsed, entries = discover(inputs.lines, inputs.feeds, inputs.items_path, inputs.mapped, inputs.hint)
     per_source = cut_lineage(parse.source_report(parsed))
     candidates = cut_lineage(
         merge.with_policy(
@@ -143,6 +181,7 @@ def run_cycle(
         else conform(wanted.select(), SERVICE_CHECKS),
         cycle=cycle_row(report, cycle_id, now, finished() if finished else now),
         report=report,
+        faults=source_faults(inputs, per_source),
     )
 
 

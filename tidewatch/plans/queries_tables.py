@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixtures as fx
@@ -12,10 +13,11 @@ from ..functions.keys import dedupe_hash
 from ..functions.text import iso_text
 from ..operators import history, merge
 from ..session import shared_folder
+from ..sources.catalogue import read_catalogue
 from ..sources.tables import Tables
 from ..streaming.state import EndpointStates
 from . import refresh
-from .cycle import CycleInputs
+from .cycle import CycleInputs, discover
 from .queries_parse import FEED, KNOWN, _known_and_candidates
 from .queries_pool import DEAD_SINCE
 from .queries_state import LATEST, score_sql
@@ -92,6 +94,73 @@ def retention_by_day(spark, sf_dir):
     )
 
 
+# Sources from a catalogue ------------------------------------------------------------
+
+ITEMS = """SELECT id, concat('"', host, ':', CAST(port AS STRING), '",', CASE id % 4
+      WHEN 0 THEN concat('{"ip":"', host, '","port":', CAST(port + 1 AS STRING), ',"scheme":"socks5","country":"de","anon":"high"}')
+      WHEN 1 THEN concat('{"endpoint":"socks4://', host, ':', CAST(port + 1 AS STRING), '","level":"elite","note":"a, [b] {c} \\\\\""}')
+      WHEN 2 THEN concat('{"ip":"', host, '","country":"de"}')
+      ELSE concat('{"ip":"', host, '","port":"', CAST(port AS STRING), '","geo":"fr","user":"u1","pass":"p1"}') END) AS item FROM fx_endpoints"""
+CATALOGUE = "id string, kind string, url string, path string, protocol string, trust double, enabled boolean, ord int, items_path string"
+
+
+def written_sources(spark, sf_dir) -> tuple[DataFrame, str]:
+    """A catalogue and the folder of its bodies: the fixture's lists, one feed of all endpoints, and broken ones."""
+    folder = f"{shared_folder(spark)}/bodies-{uuid.uuid4().hex}"
+    lines = fx.view(spark, sf_dir, "fx_feeds")
+    # A file per list, in the order of its lines.
+    placed = lines.repartition("source").sortWithinPartitions("source", "line_no")
+    placed.select(F.col("source").alias("id"), F.col("line").alias("value")).write.partitionBy("id").text(f"{folder}/lists")
+    items = fx.sql(spark, sf_dir, ITEMS)
+    comma = F.when(F.col("id") == items.agg(F.min("id").alias("id")).scalar(), "").otherwise(",")
+    body = items.select("id", F.concat(comma, "item").alias("value"))
+    ends = spark.createDataFrame([(-1, '{"meta":{"proxies":[1]},"data":{"n":[[2]],"proxies":['), (1 << 60, ']},"end":"]"}')], "id bigint, value string")
+    body.unionByName(ends).orderBy("id").coalesce(1).select("value").write.text(f"{folder}/feed-all")
+    for name, text in (("feed-cut", '{"data":{"proxies":["1.2.3.4:80",'), ("feed-none", '{"data":{"proxies":{}}}')):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{folder}/{name}")
+    feeds = [(n, "json-endpoint", "https://x", None, None, 0.5, True, i, "data.proxies") for i, n in enumerate(("feed-all", "feed-cut", "feed-none", "feed-gone"))]
+    ids = lines.select("source").distinct()
+    number = F.regexp_extract("source", "[0-9]+$", 0).cast("int")
+    listed = ids.select(
+        F.col("source").alias("id"), F.lit("local-file").alias("kind"), F.lit(None).cast("string").alias("url"),
+        F.concat(F.lit("lists/id="), "source").alias("path"), F.lit(None).cast("string").alias("protocol"), F.lit(0.5).alias("trust"),
+        F.lit(True).alias("enabled"), (10 + number + F.when(F.col("source").startswith("copy"), 100_000).otherwise(0)).alias("ord"),
+        F.lit(None).cast("string").alias("items_path"),
+    )
+    return listed.unionByName(spark.createDataFrame(feeds, CATALOGUE)), folder
+
+
+@query(
+    FEED
+    + """, e AS (SELECT id, 'feed-all' AS source, host, port FROM fx_endpoints)
+SELECT source, host, port, protocol, country, 'unknown' AS anonymity, username, password FROM firsts
+UNION ALL SELECT source, host, port, 'http', CASE WHEN id % 4 = 3 THEN 'FR' END, 'unknown',
+  CASE WHEN id % 4 = 3 THEN 'u1' END, CASE WHEN id % 4 = 3 THEN 'p1' END FROM e
+UNION ALL SELECT source, host, port + 1, CASE id % 4 WHEN 0 THEN 'socks5' ELSE 'socks4' END,
+  CASE id % 4 WHEN 0 THEN 'DE' END, 'elite', NULL, NULL FROM e WHERE id % 4 IN (0, 1)""",
+    ("fx_endpoints",),
+)
+def catalogue_entries(spark, sf_dir):
+    """Entries of all sources of a catalogue, lists and one large feed, read from files by kind."""
+    configs, folder = written_sources(spark, sf_dir)
+    found = read_catalogue(spark, configs, folder, folder)
+    _, entries = discover(found.lines, mapped=found.mapped, hint=found.hint)
+    return entries.select("source", "host", "port", "protocol", "country", "anonymity", "username", "password")
+
+
+@query(
+    """SELECT * FROM (VALUES ('feed-cut', 'not json'), ('feed-none', 'no list'), ('feed-gone', 'could not be read')) AS t(source, reason)
+UNION ALL SELECT source, CAST(count(*) AS VARCHAR) FROM fx_feeds GROUP BY source""",
+    ("fx_feeds",),
+)
+def catalogue_faults(spark, sf_dir):
+    """The sources of a catalogue that failed, and the lines of the others."""
+    configs, folder = written_sources(spark, sf_dir)
+    found = read_catalogue(spark, configs, folder, folder)
+    counted = found.lines.groupBy("source").agg(F.count(F.lit(1)).cast("string").alias("reason"))
+    return found.faults.unionByName(counted)
+
+
 # Endpoint state from late batches ---------------------------------------------------
 
 
