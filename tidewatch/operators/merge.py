@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.address import endpoint_allowed, inspect_address
+from ..functions.address import bare_host, endpoint_allowed, inspect_address
 from ..functions.keys import dedupe_hash
 from ..functions.text import at, let
 from ..schemas import ENDPOINTS, conform
@@ -68,9 +68,34 @@ def discovery_totals(
     )
 
 
-def with_policy(candidates: DataFrame, allow_private: bool = False, allow: Sequence[str] = ()) -> DataFrame:
-    """Add ``allowed``; the number of refused rows is a plain aggregate over it."""
+def listed_hosts(hosts: DataFrame, allowed: DataFrame, host: str = "host", subdomains: bool = True) -> DataFrame:
+    """Add ``listed``: whether a host, or a domain it lies under, is in a table of hosts of any length.
+
+    Every distinct host gives the suffixes that begin at its labels, and these meet the list by an equi-join,
+    so the plan does not grow with the list and the work not with list times hosts. Case does not matter.
+    ``allowed``: host. Without ``subdomains`` only whole hosts count.
+    """
+    own = hosts.select(F.col(host).alias("_host")).filter("_host is not null").distinct()
+    labels = F.split(F.lower("_host"), r"\.")
+    starts = F.sequence(F.lit(1), F.size(labels)) if subdomains else F.array(F.lit(1))
+    suffix = F.transform(starts, lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    entries = allowed.select(F.lower("host").alias("_suffix")).filter("_suffix is not null").distinct()
+    found = own.select("_host", F.explode(suffix).alias("_suffix")).join(entries, "_suffix").select("_host").distinct()
+    marked = found.withColumn("_listed", F.lit(True))
+    joined = hosts.join(marked, F.col(host) == F.col("_host"), "left")
+    return joined.withColumn("listed", F.coalesce("_listed", F.lit(False))).drop("_host", "_listed")
+
+
+def with_policy(candidates: DataFrame, allow_private: bool = False, allow: Sequence[str] | DataFrame = ()) -> DataFrame:
+    """Add ``allowed``; the number of refused rows is a plain aggregate over it.
+
+    ``allow`` are hosts that pass whatever they are: a few names, or a table (``host``) of any size.
+    """
     host = F.col("host")
+    if isinstance(allow, DataFrame):
+        marked = listed_hosts(candidates.withColumn("_bare", bare_host(host)), allow, "_bare", subdomains=False)
+        ok = let(inspect_address(host), lambda verdict: endpoint_allowed(verdict, host, allow_private))
+        return marked.withColumn("allowed", F.col("listed") | ok).drop("_bare", "listed")
     ok = let(inspect_address(host), lambda verdict: endpoint_allowed(verdict, host, allow_private, allow))
     return candidates.withColumn("allowed", ok)
 

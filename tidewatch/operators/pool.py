@@ -216,3 +216,23 @@ def weighted_pick(ranked: DataFrame, u: float) -> DataFrame:
     rows = table.join(landed, "_range").withColumn("_here", F.col("_upto") - F.col("_sum") + F.sum(weight).over(inside))
     hit = rows.filter(F.col("_here") >= target).orderBy("_here").limit(1)
     return hit.drop("_range", "_upto", "_total", "_sum", "_here")
+
+
+def draw(seed: str, *parts: Column) -> Column:
+    """A number above 0 and up to 1 from a seed and the parts that name a row: the same on every run and engine."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), *[p.cast("string") for p in parts]))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 1.0) / float(1 << 52)
+
+
+def weighted_sample(rows: DataFrame, groups: list[str], k: int, seed: str, weight: Column | None = None, id: str = "id") -> DataFrame:
+    """``k`` rows of every group without replacement, likelier the larger their weight; adds ``nth``, the order drawn.
+
+    Every row draws an exponential key, ``-ln(u) / weight``, and the least ``k`` of a group are its sample.
+    Spark keeps the least ``k`` per group in each task before it shuffles, so a group of any size sends few
+    rows. ``weight`` is max(1, score) by default; rows whose weight is not above 0 are not drawn.
+    """
+    size = F.greatest(F.lit(1.0), F.col("score")) if weight is None else weight
+    drawn = rows.withColumn("_weight", size.cast("double")).filter("_weight > 0")
+    keyed = drawn.withColumn("_key", -F.log(draw(seed, F.col(id))) / F.col("_weight"))
+    order = Window.partitionBy(*groups).orderBy("_key", id)
+    return keyed.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= k).drop("_weight", "_key")

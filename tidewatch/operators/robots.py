@@ -107,6 +107,53 @@ def decide_path(path: Column, allow: Column, disallow: Column) -> Column:
     return F.struct((reason != "disallow").alias("allowed"), reason.alias("reason"))
 
 
+# Many rules per origin ----------------------------------------------------------
+
+
+def rule_index(rules: DataFrame, key: str) -> DataFrame:
+    """(key, prefix, kind, pattern): every rule under the text in front of its first ``*`` or final ``$``.
+
+    ``pattern`` is null for a plain prefix, which its prefix says whole; ``size`` is the length that counts.
+    """
+    own = [rules.select(key, F.lit(kind).alias("kind"), F.explode(kind).alias("pattern")) for kind in ("allow", "disallow")]
+    listed = own[0].unionByName(own[1])
+    wild = F.contains(F.col("pattern"), F.lit("*")) | F.col("pattern").endswith("$")
+    literal = F.substring_index(F.regexp_replace("pattern", r"\$$", ""), "*", 1)
+    return (
+        listed.filter("pattern <> ''")
+        .select(
+            key,
+            literal.alias("prefix"),
+            "kind",
+            F.when(wild, F.col("pattern")).alias("pattern"),
+            F.length("pattern").alias("size"),
+        )
+        .distinct()
+    )
+
+
+def path_decisions(urls: DataFrame, rules: DataFrame, key: str, path: str = "path") -> DataFrame:
+    """(key, path, allowed, reason) of every distinct path of ``urls``, for origins with many rules.
+
+    A path meets the rules of its origin by an equi-join on the prefixes it has: it is cut at the lengths
+    that some rule of the origin has, so it costs a row per such length and no pattern is tried but those
+    with a ``*`` or ``$`` behind a prefix that fits. The longest match per kind is a grouped maximum.
+    """
+    index = rule_index(rules, key)
+    # One row per origin, with as many numbers as its rules have lengths.
+    lengths = index.groupBy(key).agg(F.collect_set(F.length("prefix")).alias("lengths"))
+    own = urls.select(key, F.col(path).alias("path")).distinct()
+    cut = own.join(lengths, key, "left").select(
+        key, "path", F.explode_outer(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n")
+    )
+    met = cut.withColumn("prefix", F.expr("substring(path, 1, n)")).join(index, [key, "prefix"], "left")
+    fits = F.col("kind").isNotNull() & (F.col("pattern").isNull() | path_matches(F.col("path"), F.col("pattern")))
+    longest = lambda kind: F.coalesce(F.max(F.when(fits & (F.col("kind") == kind), F.col("size"))), F.lit(-1))
+    best = met.groupBy(key, "path").agg(longest("allow").alias("yes"), longest("disallow").alias("no"))
+    reason = F.when((F.col("yes") == -1) & (F.col("no") == -1), "no_rules").when(F.col("yes") > F.col("no"), "allow").otherwise("disallow")
+    return best.select(key, F.col("path").alias(path), reason.alias("reason")).withColumn("allowed", F.col("reason") != "disallow")
+
+
 def robots_decisions(
     urls: DataFrame,
     robots: DataFrame,
@@ -114,23 +161,37 @@ def robots_decisions(
     key: str,
     path: str = "path",
     gate: bool = False,
+    indexed: bool = False,
 ) -> DataFrame:
     """Add ``allowed``, ``reason`` and ``min_interval_ms`` to every URL row.
 
+    ``indexed`` meets rules by their prefixes (:func:`path_decisions`) instead of trying all patterns of
+    an origin on each of its URLs: for origins with hundreds of rules and more.
+
     ``robots`` has (key, status, error); ``rules`` comes from :func:`robots_rules`. Both have
     one row per key, so a busy origin only skews the URL side, which AQE splits. ``gate``
     refuses unreadable files with a reason before anything else. Unknown keys count as
     failed fetches.
     """
     facts = robots.select(key, "status", "error").join(rules, key, "left")
-    joined = urls.join(facts, key, "left")
+    if indexed:
+        known = path_decisions(urls, rules, key, path).select(
+            F.col(key).alias("_key"), F.col(path).alias("_path"), F.struct("allowed", "reason").alias("_d")
+        )
+        joined = urls.join(facts.drop("allow", "disallow"), key, "left").join(
+            known, (F.col(key) == F.col("_key")) & (F.col(path) == F.col("_path")), "left"
+        )
+    else:
+        joined = urls.join(facts, key, "left")
     status, error = F.coalesce(F.col("status"), F.lit(0)), F.col("error")
     failed = error.isNotNull() | F.col("status").isNull()
     readable = ~failed & status.between(200, 399)
     missing = ~failed & (status.isin(404, 410) | (status >= 500))
-    decided = joined.withColumn(
-        "_d", F.when(readable, decide_path(F.col(path), F.col("allow"), F.col("disallow")))
-    )
+    decided = joined
+    if not indexed:
+        decided = joined.withColumn(
+            "_d", F.when(readable, decide_path(F.col(path), F.col("allow"), F.col("disallow")))
+        )
     reason = F.when(missing, "no_robots").when(readable, F.col("_d.reason")).otherwise("fetch_failed")
     allowed = F.when(missing, True).when(readable, F.col("_d.allowed")).otherwise(False)
     if gate:

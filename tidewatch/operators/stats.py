@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
@@ -20,6 +22,46 @@ def nearest_rank(column: str, p: float) -> Column:
     return F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY {column})")
 
 
+def exact_percentiles(rows: DataFrame, column: str, shares: Sequence[float], accuracy: int = 1000) -> DataFrame:
+    """(p, value): percentiles by nearest rank of any numbers, in memory that hangs on no number of values.
+
+    Selection by ranges: a sketch gives two bounds around a rank, one pass counts what lies below, on and
+    between them, and the next looks only between them; each pass leaves about a ``accuracy``-th of the
+    values. Nulls do not count, NaN is above all numbers; without values there is NULL. The result has a row
+    per share; the driver sees counts and bounds alone.
+    """
+    value = F.col(column).cast("double")
+    values = rows.select(value.alias("v")).filter("v is not null")
+    total = values.count()
+    found = [(float(p), _select(values, max(1, math.ceil(round(p * total, 9))), total, accuracy) if total else None) for p in shares]
+    return rows.sparkSession.createDataFrame(found, "p double, value double")
+
+
+def _select(values: DataFrame, rank: int, total: int, accuracy: int) -> float:
+    """The ``rank``-th least of the values, from 1."""
+    while total > accuracy:
+        # The sketch may be off by a share of 1 / (10 accuracy), so bounds this far apart enclose the rank.
+        low, high = max(0.0, (rank - 1) / total - 1 / accuracy), min(1.0, rank / total + 1 / accuracy)
+        a, b = values.agg(F.percentile_approx("v", [low, high], 10 * accuracy)).first()[0]
+        v = F.col("v")
+        below, at_a, between, at_b = values.agg(
+            F.count_if(v < a), F.count_if(v == a), F.count_if((v > a) & (v < b)), F.count_if((v == b) & (v > a))
+        ).first()
+        if rank <= below:
+            values, total = values.filter(v < a), below
+        elif rank <= below + at_a:
+            return a
+        elif rank <= below + at_a + between:
+            values, rank, total = values.filter((v > a) & (v < b)), rank - below - at_a, between
+        elif rank <= below + at_a + between + at_b:
+            return b
+        else:
+            rank -= below + at_a + between + at_b
+            values, total = values.filter(v > b), total - below - at_a - between - at_b
+    # At most ``accuracy`` values are left.
+    return sorted((r[0] for r in values.collect()), key=lambda x: (math.isnan(x), x))[rank - 1]
+
+
 def average(value: Column | str) -> Column:
     """Mean rounded to an integer, halves up, NULL without values."""
     return round_half_up(F.avg(value)).cast("bigint")

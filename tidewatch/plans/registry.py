@@ -48,4 +48,4 @@ def half_up(value: str, digits: int = 0) -> str:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from . import queries_parse, queries_pool, queries_state, queries_tables, queries_text  # noqa: F401
+    from . import queries_lists, queries_parse, queries_pool, queries_state, queries_tables, queries_text  # noqa: F401
