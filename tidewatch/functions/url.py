@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .address import inspect_address, ipv6_words, is_ipv4, is_metadata_host
+from .idna import ascii_host
 from .text import BLANK, let, squeeze_ends
 
 MAX_URL_LENGTH = 2048
@@ -76,6 +77,13 @@ def canonical_host(url: Column) -> Column:
 
 
 def _canonical(host: Column) -> Column:
+    # Hosts may be written in percent codes and in any script; plain ones, the usual case, go through.
+    odd = host.rlike(r"[^\x00-\x7F]|%[0-9a-fA-F]{2}") & ~host.startswith("[")
+    decoded = F.coalesce(F.try_url_decode(F.replace(host, F.lit("+"), F.lit("%2B"))), host)
+    return let(F.when(odd, let(decoded, ascii_host)).otherwise(host), _numbered)
+
+
+def _numbered(host: Column) -> Column:
     def quad(value: Column) -> Column:
         return F.concat_ws(
             ".", *[(F.shiftright(value, shift) % 256).cast("string") for shift in (24, 16, 8, 0)]
@@ -148,7 +156,7 @@ def url_policy(
         bad_host = (
             canonical.isNull()
             | (canonical == "")
-            | (~canonical.startswith("[") & canonical.rlike(r"[<>\[\]^|%]"))
+            | (~canonical.startswith("[") & canonical.rlike(r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]"))
             | (canonical.startswith("[") & ipv6_words(canonical).isNull())
         )
         # A failing cast builds an error text per row, so only digits get there.

@@ -143,3 +143,31 @@ def jobs_delivered_twice(spark, sf_dir):
     run_jobs(stream, handle, f"{folder}/out", sent_at="created_at").awaitTermination()
     fates = [spark.read.parquet(f"{folder}/out/{name}").select("id", F.lit(name).alias("fate")) for name in ("done", "retry", "dropped", "rejected")]
     return fates[0].unionByName(fates[1]).unionByName(fates[2]).unionByName(fates[3])
+
+
+# Names and what a browser makes of them.
+NAMES = [
+    ("Bücher", "xn--bcher-kva"),
+    ("例え。テスト", "xn--r8jz45g.xn--zckzah"),
+    ("faß", "xn--fa-hia"),
+    ("ＧＯ", "go"),
+    ("испытание", "xn--80akhbyknj4f"),
+    ("\u2615", "xn--53h"),
+    ("Plain-1", "plain-1"),
+    ("M%C3%BCnchen", "xn--mnchen-3ya"),
+]
+FOREIGN = f"""SELECT page_id, concat('https://', CASE page_id % 9 {" ".join(f"WHEN {i} THEN '{name}'" for i, (name, _) in enumerate(NAMES))} ELSE '１２７.０.０.１' END,
+  CASE WHEN page_id % 9 = 8 THEN '' ELSE concat('.', host) END, '/p') AS url FROM fx_urls"""
+
+
+@query(
+    f"""SELECT page_id, page_id % 9 <> 8 AS ok, CASE WHEN page_id % 9 = 8 THEN 'loopback address (127.0.0.1) is not allowed' END AS reason,
+  concat('https://', CASE page_id % 9 {" ".join(f"WHEN {i} THEN '{name}.'" for i, (_, name) in enumerate(NAMES))} ELSE '127.0.0.1' END,
+    CASE WHEN page_id % 9 = 8 THEN '' ELSE host END) AS origin FROM fx_urls""",
+    ("fx_urls",),
+)
+def international_hosts(spark, sf_dir):
+    """Policy and origin of URLs with host names in other scripts, wide forms and percent codes."""
+    url = F.col("url")
+    found = fx.sql(spark, sf_dir, FOREIGN).select("page_id", U.url_policy(url).alias("v"), U.origin_of(url).alias("origin"))
+    return found.select("page_id", "v.ok", "v.reason", "origin")
