@@ -12,7 +12,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 import data  # noqa: E402
 
-from tidewatch.llm import bpe, divergence, repair  # noqa: E402
+from tidewatch.llm import bpe, divergence, repair, spans  # noqa: E402
 
 ODD = [" ", "  ", "\n", "\t", "'s", "'re", "'ll", "'", "x", "the", "ab", "é", "中文", "\U0001f600", "İ", "١", "½", "!", "...",
        "<|endoftext|>", "\x00", "\x1c", "\u3000", "\r\n", "\u200b", "\u0301"]
@@ -154,9 +154,9 @@ def test_divergence_of_nothing(spark):
 def test_spans_of_one_hash(monkeypatch):
     """Texts that share a hash are still told apart."""
     block = divergence.Block([b"a b a c b", b"c"], divergence.LETTERS)
-    plain = divergence.distinct_spans(block.data, block.starts, block.ends)[1]
-    monkeypatch.setattr(divergence, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
-    clash = divergence.distinct_spans(block.data, block.starts, block.ends)[1]
+    plain = spans.distinct_spans(block.data, block.starts, block.ends)[1]
+    monkeypatch.setattr(spans, "span_hashes", lambda data, starts, ends: np.zeros(len(starts), np.uint64))
+    clash = spans.distinct_spans(block.data, block.starts, block.ends)[1]
     assert len(set(zip(plain.tolist(), clash.tolist()))) == 3
 
 

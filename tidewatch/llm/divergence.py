@@ -22,7 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
-from .texts import Block, blocks, bounded_batches, byte_set, ranges, span_hashes
+from .spans import as_strings, distinct_spans
+from .texts import Block, blocks, bounded_batches, byte_set
 
 LEAST_DOCUMENTS, TOP_TERMS = 30, 50
 #: Sources and (about) terms of a block of the cube.
@@ -37,34 +38,6 @@ PARTIAL = "lang string, source string, item string, apart long, partial long"
 SCHEMA = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.string()), ("n", pa.int64()), ("documents", pa.int64())])
 
 
-def distinct_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first span of each distinct text, and the number of its text for every span.
-
-    Spans meet by a 64-bit hash and are then compared byte by byte; should two texts share a hash,
-    texts themselves are the keys.
-    """
-    _, first, number = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-    sizes, like = ends - starts, first[number]
-    if np.array_equal(sizes, sizes[like]) and np.array_equal(data[ranges(starts, sizes)], data[ranges(starts[like], sizes)]):
-        return first, number
-    known: dict[bytes, int] = {}
-    places = []
-    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist())):
-        text = data[a:b].tobytes()
-        if text not in known:
-            known[text] = len(known)
-            places.append(i)
-        number[i] = known[text]
-    return np.array(places, np.int64), number
-
-
-def as_strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """The spans as an Arrow column."""
-    sizes = ends - starts
-    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-    return pa.StringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(data[ranges(starts, sizes)]))
-
-
 def count_texts(texts: list[bytes], group: np.ndarray, groups: int) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
     """(term, group, occurrences, texts that have it) of texts that belong to numbered groups."""
     block = Block(texts, LETTERS, lower=True)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -23,12 +24,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import written
+from .spans import distinct_spans
 from .texts import Block, blocks, byte_set, ranges
 
 CAPACITY = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
-#: Words a task keeps the ids of, before it starts anew.
-KEPT_WORDS = 400_000
+#: Words a worker keeps the ids of, words that are encoded at once, and bytes of texts of a block.
+KEPT_WORDS, TOGETHER, BLOCK_BYTES = 600_000, 256, 2 << 20
 
 _LETTER = byte_set([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 #: ASCII digits and marks, without those of contractions and of special tokens.
@@ -46,57 +48,57 @@ class WordIds:
 
     The tokenizer cuts at white space, lowers the case and cuts between letters and marks, so a text's
     ids are those of its parts in order. Special tokens hold neither white space nor such a cut; in a
-    block that may hold one, A-Z stays as it is.
+    block that may hold one, A-Z stays as it is. The words of a block meet by a hash and are compared byte by
+    byte, so only distinct ones are looked up. Beyond ``KEPT_WORDS`` the older half is forgotten.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
-
-    def clear(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = 0
-        self.first = np.zeros(1 << 16, np.int64)
-        self.counts = np.zeros(1 << 16, np.int64)
+        self.ids = np.zeros(0, np.uint32)
+        self.first = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keep the words learned last."""
+        half = len(self.known) // 2
+        self.known = {word: n - half for word, n in self.known.items() if n >= half}
+        start = self.first[half]
+        self.ids, self.first, self.counts = self.ids[start:].copy(), self.first[half:] - start, self.counts[half:].copy()
 
     def _learn(self, words: list[bytes]) -> None:
-        for at in range(0, len(words), 64):
-            part = words[at : at + 64]
-            texts = [w.decode("utf-8") for w in part]
-            joined = self.tokenizer.encode(" ".join(texts), add_special_tokens=False)
-            starts = np.cumsum([0] + [len(t) + 1 for t in texts])
-            offsets = np.fromiter((o[0] for o in joined.offsets), np.int64, len(joined))
-            counts = np.bincount(np.searchsorted(starts, offsets, side="right") - 1, minlength=len(part))
-            ids = joined.ids
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(ids)] = ids
-            number = len(self.known)
-            while number + len(part) > len(self.first):
-                self.first = np.concatenate([self.first, np.zeros_like(self.first)])
-                self.counts = np.concatenate([self.counts, np.zeros_like(self.counts)])
-            self.first[number : number + len(part)] = self.used + np.cumsum(counts) - counts
-            self.counts[number : number + len(part)] = counts
-            self.used += len(ids)
-            for i, word in enumerate(part):
-                self.known[word] = number + i
+        found, sizes = [], []
+        for at in range(0, len(words), TOGETHER):
+            part = [w.decode("utf-8") for w in words[at : at + TOGETHER]]
+            joined = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            starts = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
+            offsets = np.array(joined.offsets, np.int64).reshape(-1, 2)[:, 0]
+            sizes.append(np.bincount(np.searchsorted(starts, offsets, side="right"), minlength=len(part)))
+            found.append(np.array(joined.ids, np.uint32))
+        counts = np.concatenate(sizes)
+        self.first = np.concatenate([self.first, len(self.ids) + np.cumsum(counts) - counts])
+        self.counts = np.concatenate([self.counts, counts])
+        self.ids = np.concatenate([self.ids, *found])
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, an id 0 behind each, and where each text begins, with the end."""
         special = any(b"<|" in text for text in texts)
         block = Block(texts, lower=not special, cuts=_between)
-        packed, _, _ = block.pack()
-        words = packed.tobytes().split(b" ")[:-1]
-        if len(self.known) > KEPT_WORDS:
-            self.clear()
-        known = self.known
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            self._learn(new)
-        which = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        packed, starts, ends = block.pack()
+        which = np.zeros(0, np.int64)
+        if len(starts):
+            if len(self.known) > KEPT_WORDS:
+                self._forget()
+            first, number = distinct_spans(packed, starts, ends)
+            raw = packed.tobytes()
+            words = [raw[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist())]
+            new = [w for w in words if w not in self.known]
+            if new:
+                self._learn(new)
+            which = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))[number]
         counts = self.counts[which]
         behind = np.concatenate([[0], np.cumsum(counts)])
         ids = self.ids[ranges(self.first[which], counts)]
@@ -104,6 +106,12 @@ class WordIds:
         return np.insert(ids, ends, 0), np.concatenate([[0], ends + np.arange(1, len(texts) + 1)])
 
 
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    """One per worker, as its words outlive a task."""
+    return WordIds(path)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, its task and its rank in there within its length.
 
@@ -113,9 +121,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER
     extra = ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, task = WordIds(tokenizer), TaskContext.get().partitionId()
+        encoder, task = word_ids(tokenizer), TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
-        for rows, texts in blocks(batches):
+        for rows, texts in blocks(batches, BLOCK_BYTES):
             ids, bounds = encoder.encode(texts)
             ids = ids.astype("<u4")
             sizes = np.diff(bounds)
