@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..config import QueueConfig, ServiceConfig
 from ..functions.text import at, round_half_up
-from .running import global_rank, ranked_table
+from .running import global_rank, rank_within, ranked_table
 
 
 @dataclass(frozen=True)
@@ -119,11 +119,20 @@ def _ranked(df: DataFrame, order: list[Column], limit: int | None) -> DataFrame:
 def validation_queue(endpoints: DataFrame, now: datetime | str, cfg: QueueConfig = QueueConfig()) -> DataFrame:
     """Work of one cycle: new rows, then quarantined ones, then pool members due a recheck.
 
-    Adds ``branch`` and ``pos``; their order is the queue order.
+    Adds ``branch`` and ``pos``; their order is the queue order. Without limits ids and order columns of all
+    branches are sorted at once, and the rows take their places by a join.
     """
     oldest = [F.col("last_checked_at").asc_nulls_first(), F.col("id").asc()]
     stale = F.col("last_checked_at").isNull() | (F.col("last_checked_at") < at(now, cfg.recheck_after_minutes))
     status = F.col("status")
+    if cfg.new_limit is cfg.quarantine_limit is cfg.recheck_limit is None:
+        branch = F.when(status == "new", 0).when(status == "quarantined", 1).when((status == "active") & stale, 2)
+        # New rows go by their id alone.
+        since = F.when(status != "new", F.col("last_checked_at"))
+        narrow = endpoints.select("id", branch.alias("branch"), since.alias("_since")).filter("branch is not null")
+        places = rank_within(narrow, "branch", [F.col("_since").asc_nulls_first(), F.col("id").asc()]).drop("_since")
+        queue = endpoints.join(places, "id").select(*endpoints.columns, "branch", "pos")
+        return queue if cfg.max_per_cycle is None else queue.orderBy("branch", "pos").limit(cfg.max_per_cycle)
     branches = [
         (status == "new", [F.col("id").asc()], cfg.new_limit),
         (status == "quarantined", oldest, cfg.quarantine_limit),
@@ -153,6 +162,8 @@ def cycle_service_selection(
     Just validated rows (``validated`` holds their ids) that passed but lack a service pass
     come first; stale pool members fill what is left of the budget.
     """
+    if cfg.budget_per_cycle is None:
+        return _all_service_checks(endpoints, validated, now, cfg)
     fresh = _ranked(
         endpoints.join(validated.select("id").distinct(), "id", "left_semi").filter(
             (F.col("validation_status") == "passed")
@@ -174,11 +185,38 @@ def cycle_service_selection(
     return fresh.unionByName(stale)
 
 
+def _all_service_checks(endpoints: DataFrame, validated: DataFrame, now: datetime | str, cfg: ServiceConfig) -> DataFrame:
+    """The same without a budget: both branches ranked by one sort of ids and order columns."""
+    listed = validated.select(F.col("id").alias("_id")).distinct()
+    fresh = (
+        F.col("_id").isNotNull()
+        & (F.col("validation_status") == "passed")
+        & (F.col("score") >= cfg.min_score)
+        & (F.col("service_status") != "passed")
+    )
+    due = F.col("service_checked_at").isNull() | (F.col("service_checked_at") < at(now, cfg.recheck_after_minutes))
+    stale = (F.col("status") == "active") & (F.col("score") >= cfg.min_score) & due
+    told = lambda test: F.coalesce(test, F.lit(False))
+    branches = F.filter(F.array(F.when(told(fresh), 0), F.when(told(stale), 1)), lambda b: b.isNotNull())
+    narrow = endpoints.join(listed, F.col("id") == F.col("_id"), "left").select(
+        "id", F.col("score").alias("_score"), F.col("latency_ms").alias("_latency"), told(fresh).alias("_fresh"), F.explode(branches).alias("branch")
+    )
+    # Latency does not order fresh rows.
+    order = [F.col("_score").desc(), F.when(F.col("branch") == 1, F.col("_latency")).asc_nulls_first(), F.col("id").asc()]
+    # A stale row that is fresh as well keeps its place there and is left out here.
+    places = rank_within(narrow, "branch", order).filter("branch = 0 or not _fresh").select("id", "branch", "pos")
+    return endpoints.join(places, "id").select(*endpoints.columns, "pos", "branch")
+
+
+#: Up to this cap the row at the cap is found by a top-k, beyond it by sorted ranges.
+TOP_K = 100_000
+
+
 def over_capacity(endpoints: DataFrame, max_active: int | None) -> Column:
     """Whether an active row of ``endpoints`` is past the cap, worst first to go.
 
-    The row at the cap is found from sorted ranges and their sizes; all rows behind it go by a plain
-    comparison, so the table is neither joined nor sorted in one task.
+    The row at the cap is the last of a top-k, or is found from sorted ranges and their sizes where the cap
+    is large; all rows behind it go by a plain comparison, so the table is neither joined nor sorted in one task.
     """
     active = F.col("status") == "active"
     if max_active is None:
@@ -188,8 +226,12 @@ def over_capacity(endpoints: DataFrame, max_active: int | None) -> Column:
     score = F.coalesce(F.col("score"), F.lit(float("-inf")))
     latency = F.coalesce(F.col("latency_ms").cast("double"), F.lit(float("inf")))
     keys = endpoints.filter(active).select(score.alias("score"), latency.alias("latency"), "id")
-    ranked = global_rank(keys, [F.col("score").desc(), F.col("latency").asc(), F.col("id").desc()])
-    last = ranked.filter(F.col("pos") == max_active).select(F.struct("score", "latency", "id")).scalar()
+    order = [F.col("score").desc(), F.col("latency").asc(), F.col("id").desc()]
+    if max_active <= TOP_K:
+        last = keys.orderBy(*order).offset(max_active - 1).limit(1).select(F.struct("score", "latency", "id")).scalar()
+    else:
+        ranked = global_rank(keys, order)
+        last = ranked.filter(F.col("pos") == max_active).select(F.struct("score", "latency", "id")).scalar()
     behind = (score < last["score"]) | (
         (score == last["score"])
         & ((latency > last["latency"]) | ((latency == last["latency"]) & (F.col("id") < last["id"])))

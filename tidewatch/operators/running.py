@@ -108,6 +108,21 @@ def global_rank(df: DataFrame, order: Sequence[Column], name: str = "pos") -> Da
     return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
 
 
+def rank_within(df: DataFrame, branch: str, order: Sequence[Column], name: str = "pos") -> DataFrame:
+    """Add the place of every row in ``order`` within its ``branch``, from 1.
+
+    All branches are sorted at once, by ranges; a branch begun in earlier ranges goes on from their sizes.
+    """
+    table = ranked_table(df, [F.col(branch), *order])
+    counts = table.groupBy("_range", branch).agg(F.count(F.lit(1)).alias("_n"))
+    # One row per range and branch in it.
+    before = Window.partitionBy(branch).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", branch, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = F.row_number().over(Window.partitionBy("_range", branch).orderBy(*order))
+    numbered = table.withColumn("_inside", inside).join(starts, ["_range", branch])
+    return numbered.withColumn(name, F.col("_start") + F.col("_inside")).drop("_range", "_inside", "_start")
+
+
 BLOCK = "_rows"
 
 

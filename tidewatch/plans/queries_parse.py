@@ -341,7 +341,8 @@ SELECT source, host, port + 1, CASE id % 4 WHEN 0 THEN 'socks5' ELSE 'socks4' EN
 def json_items(spark, sf_dir):
     """JSON feeds to entries with their metadata."""
     bodies = fx.sql(spark, sf_dir, FEED_BODY)
-    mapped = feeds.map_json_fields(feeds.read_json_items(bodies, "data.proxies"))
+    # Read for its lines and for its metadata.
+    mapped = cut_lineage(feeds.map_json_fields(feeds.read_json_items(bodies, "data.proxies")))
     entries = parse.first_entries(parse.parse_lines(feeds.feed_lines(mapped)))
     joined = feeds.attach_metadata(entries, mapped)
     return joined.select("source", "host", "port", "protocol", "country", "anonymity", "username", "password")
