@@ -237,7 +237,8 @@ def test_network_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
-def test_network_gradients():
+@pytest.mark.parametrize("masked", [False, True])
+def test_network_gradients(masked):
     rng = np.random.default_rng(1)
     shapes, steps, streams = 5, 6, 4
     net = gru.Network.fresh(shapes, np.zeros(gru.WORD_CLASSES + shapes), np.zeros((gru.WORD_CLASSES, gru.PER_CLASS)))
@@ -249,7 +250,8 @@ def test_network_gradients():
     kept = {}
     trainer = gru.Trainer(net)
     trainer.update = lambda slopes, rate: kept.update(slopes=[s.copy() for s in slopes])
-    trainer.window(start, inputs, begins, classes, words, 0.0)
+    counted = (rng.random((steps, streams)) > 0.4).astype(float) if masked else None
+    trainer.window(start, inputs, begins, classes, words, counted, 0.0)
 
     def loss():
         h, states = start, []
@@ -257,7 +259,8 @@ def test_network_gradients():
             h = h * begins[t][:, None]
             states.append(h)
             h = net.step(h, inputs[t])
-        return -net.outputs(np.concatenate(states), classes.ravel(), words.ravel()).mean()
+        total = net.outputs(np.concatenate(states), classes.ravel(), words.ravel())
+        return -total.mean() if counted is None else -(total * counted.ravel()).sum() / counted.sum()
 
     for part, slope in zip(net.parts(), kept["slopes"]):
         flat = part.reshape(-1)
@@ -271,6 +274,53 @@ def test_network_gradients():
             assert (up - down) / (2 * step) == pytest.approx(slope.ravel()[i], rel=1e-4)
 
 
+@pytest.mark.parametrize("size", [1, 7, 1151, 1152, 5000, 40_001])
+def test_every_token_is_trained_on_once(size):
+    rng = np.random.default_rng(3)
+    shapes = 4
+    trainer = gru.Trainer(gru.Network.fresh(shapes, np.zeros(gru.WORD_CLASSES + shapes), np.zeros((gru.WORD_CLASSES, gru.PER_CLASS))))
+    inputs = rng.integers(0, gru.WORDS + shapes, size)
+    seen = []
+
+    def window(h, inputs, begins, classes, words, counted, rate):
+        seen.append(inputs.ravel() if counted is None else inputs[counted > 0])
+        return h, 0.0
+
+    trainer.window = window
+    trainer.train(np.array([0, size // 3, size]), inputs, *language_model._targets(inputs))
+    assert sorted(np.concatenate(seen).tolist()) == sorted(inputs.tolist())
+
+
+def test_score_is_the_network_token_by_token(spark, monkeypatch):
+    """The score of every document is what the trained network says of its tokens, one after the other."""
+    rng = random.Random(6)
+    rows = [(n, " ".join(rng.choice(["the", "cat", "Sat", "on.", "x9", f"rare{n}", "é"]) for _ in range(rng.randrange(40)))) for n in range(60)]
+    rows += [(60, None), (61, "the " * 3000)]
+    kept = {}
+    plain = language_model.train
+    monkeypatch.setattr(language_model, "train", lambda docs, vocabulary: kept.update(v=vocabulary, net=plain(docs, vocabulary)) or kept["net"])
+    monkeypatch.setattr(language_model, "LEAST_SHARE", 40)
+    got = {r["doc_id"]: r["score"] for r in language_model.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    vocabulary, net = kept["v"], kept["net"]
+    words = [w.decode() for w in vocabulary.words.to_pylist()]
+    counts = brute.Counter()
+    for i, text in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            counts.update((text or "").translate(brute.LOWER).split())
+    for i, text in rows:
+        h, total = np.zeros((1, gru.WIDTH), np.float32), 0.0
+        for token in [*(text or "").translate(brute.LOWER).split(), ""]:
+            place = words.index(token) if token in words[: gru.WORDS] else -1
+            raw = np.frombuffer(token.encode() or b" ", np.uint8)
+            shape = int(language_model._shapes(raw, np.array([0]), np.array([len(raw)]))[0])
+            given = np.array([place if place >= 0 else gru.WORDS + shape])
+            total += float(net.outputs(h, *language_model._targets(given))[0]) / np.log(10)
+            if place < 0:
+                total += np.log10(counts[token] + 1) - np.log10(vocabulary.shape_tokens[shape] + vocabulary.shape_words[shape] + 1.0)
+            h = net.step(h, given)
+        assert got[i] == pytest.approx(total, rel=1e-3, abs=1e-2)
+
+
 def test_state_is_carried_through_whole_documents():
     rng = np.random.default_rng(2)
     shapes = 4

@@ -89,10 +89,13 @@ class Network:
             kept.append((h, r, z, n, g[:, 2 * WIDTH :]))
         return out
 
-    def outputs(self, states: np.ndarray, classes: np.ndarray, words: np.ndarray, slopes: bool = False):
+    def outputs(
+        self, states: np.ndarray, classes: np.ndarray, words: np.ndarray, slopes: bool = False, counted: np.ndarray | None = None
+    ):
         """Natural log probabilities of the targets, and with ``slopes`` the gradients of their mean loss.
 
-        ``words`` is the place of a frequent word in its class, -1 elsewhere.
+        ``words`` is the place of a frequent word in its class, -1 elsewhere. ``counted`` is 0 for rows that
+        are no tokens and 1 for others.
         """
         rows = np.arange(len(states))
         x = states @ self.c
@@ -100,7 +103,10 @@ class Network:
         e, sums = _exponentials(x)
         total = x[rows, classes] - np.log(sums)
         if slopes:
-            share = np.float32(1.0 / len(states))
+            if counted is None:
+                share = np.full(len(states), 1.0 / len(states), np.float32)
+            else:
+                share = (counted / max(1.0, counted.sum())).astype(np.float32)
             d = e
             d *= (share / sums)[:, None]
             d[rows, classes] -= share
@@ -121,8 +127,8 @@ class Network:
                 total[at] += x[place, words[at]] - np.log(sums)
                 if slopes:
                     d = e
-                    d *= (share / sums)[:, None]
-                    d[place, words[at]] -= share
+                    d *= (share[at] / sums)[:, None]
+                    d[place, words[at]] -= share[at]
                     back[at] += d @ self.w[k].T
                     w[k], w0[k] = state.T @ d, d.sum(axis=0)
         return (total, back, [c, c0, w, w0]) if slopes else total
@@ -180,7 +186,16 @@ class Trainer:
             v += 0.01 * (g - v)
             p -= (rate * grow) * m / (np.sqrt(v) + 1e-6)
 
-    def window(self, h: np.ndarray, inputs: np.ndarray, begins: np.ndarray, classes: np.ndarray, words: np.ndarray, rate: float) -> tuple[np.ndarray, float]:
+    def window(
+        self,
+        h: np.ndarray,
+        inputs: np.ndarray,
+        begins: np.ndarray,
+        classes: np.ndarray,
+        words: np.ndarray,
+        counted: np.ndarray | None,
+        rate: float,
+    ) -> tuple[np.ndarray, float]:
         """One update from a window (steps x streams); the state goes on, the gradient does not."""
         net, kept, states = self.net, [], []
         steps, streams = inputs.shape
@@ -190,7 +205,9 @@ class Trainer:
             states.append(h)
             h = net.step(h, inputs[t], kept)
         flat = np.concatenate(states)
-        total, back, (c, c0, w, w0) = net.outputs(flat, classes.ravel(), words.ravel(), slopes=True)
+        total, back, (c, c0, w, w0) = net.outputs(
+            flat, classes.ravel(), words.ravel(), True, None if counted is None else counted.ravel()
+        )
         back = back.reshape(steps, streams, WIDTH)
         u = np.zeros_like(net.u)
         gates = np.empty((steps, streams, 3 * WIDTH), np.float32)
@@ -218,27 +235,35 @@ class Trainer:
         x = np.zeros_like(net.x)
         x[ids] = np.add.reduceat(gates.reshape(-1, 3 * WIDTH)[order], first, axis=0)
         self.update([x, u, c, c0, w, w0], rate)
-        return h, float(-total.mean())
+        if counted is None:
+            return h, float(-total.mean())
+        return h, float(-(total * counted.ravel()).sum() / max(1.0, counted.sum()))
 
     def train(self, bounds: np.ndarray, inputs: np.ndarray, classes: np.ndarray, words: np.ndarray, rate: float = RATE) -> float:
-        """Go once over a chunk of documents, cut into streams of equal length; the mean loss."""
+        """Go once over a chunk of documents, cut into streams of equal length; the mean loss.
+
+        The last places of the last streams may be no tokens: they do not count.
+        """
         size = int(bounds[-1])
         if not size:
             return 0.0
         streams = int(np.clip(size // (WINDOW * 48), 1, STREAMS))
-        length = size // streams
+        length = -(-size // streams)
         begins = np.ones(size, np.float32)
         begins[bounds[:-1][bounds[:-1] < size]] = 0
 
-        def laid(a: np.ndarray) -> np.ndarray:
-            return np.ascontiguousarray(a[: length * streams].reshape(streams, length).T)
+        def laid(a: np.ndarray, filler: float = 0) -> np.ndarray:
+            whole = np.concatenate([a, np.full(length * streams - size, filler, a.dtype)])
+            return np.ascontiguousarray(whole.reshape(streams, length).T)
 
-        grids = [laid(a) for a in (inputs, begins, classes, words)]
+        grids = [laid(inputs), laid(begins), laid(classes), laid(words, -1)]
+        counted = laid(np.ones(size, np.float32))
         # A stream that begins inside a document starts from nothing too.
         h = np.zeros((streams, WIDTH), np.float32)
         losses = []
         for t in range(0, length, WINDOW):
             part = [g[t : t + WINDOW] for g in grids]
-            h, loss = self.window(h, *part, rate)
+            here = counted[t : t + WINDOW]
+            h, loss = self.window(h, *part, None if here.all() else here, rate)
             losses.append(loss)
         return float(np.mean(losses))

@@ -1,14 +1,15 @@
 """Scoring documents with a gated recurrent language model.
 
 Counts first: every training token of the corpus is counted by word in Spark. The words with at least a
-200 000th of all tokens, and so 200 000 at most, go to the tasks with their counts; all rarer words are
-looked up by a join. The network (``gru``) knows the 511 most frequent words and the end of a text as
+4 000 000th of all tokens go to the tasks with their counts, the most frequent ones up to ``WORD_BYTES`` in
+all; rarer words are looked up by a join. Every text is looked up once: what the network takes of it is
+written, and both training and scoring read that. The network (``gru``) knows the 511 most frequent words and the end of a text as
 words of their own, in classes of like frequency; all other words belong to the class of their shape,
 and within it a word has the share of its count, with one place for words never seen.
 
-Training goes over every training document once, in three rounds: each task trains from the same
-weights on its own documents (truncated back-propagation), and the weights are averaged by tokens, in
-Spark. Scoring runs whole documents side by side and carries the state from window to window.
+Training goes over every token of every training document once, in three rounds, at every size of the
+corpus: each task trains from the same weights on its own documents (truncated back-propagation), and the
+weights are averaged by tokens, in Spark. Scoring runs whole documents side by side and carries the state from window to window.
 """
 
 from __future__ import annotations
@@ -26,17 +27,15 @@ from pyspark.sql import functions as F
 from ..session import written
 from . import gru
 from .sample import remainder
-from .texts import Block, blocks, byte_set
+from .texts import Block, blocks, byte_set, give_back
 
 FOLDS, HELD_OUT = 7, 2
-#: Words that go to the tasks have this share of all tokens at least, and so many bytes at most.
-LEAST_SHARE, LONGEST = 200_000, 64
+#: Words that go to the tasks have this share of all tokens at least, and so many bytes at most, each and in all.
+LEAST_SHARE, LONGEST, WORD_BYTES = 4_000_000, 64, 24 << 20
 #: Bytes of text whose words are looked up at once; tokens that are trained on or scored at once.
 TEXTS, CHUNK = 4 << 20, 2_000_000
 #: Shares of the training documents in eighths, and the learning rates, of the rounds of training.
 ROUNDS = ((1, 0.01), (3, 0.007), (4, 0.003))
-#: A task with fewer training tokens in a round goes over them more than once, eight times at most.
-LEAST_TOKENS = 400_000
 SHAPES = 36
 
 _WORDLIKE = byte_set([*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
@@ -119,6 +118,15 @@ class Vocabulary:
     def of(cls, counts: DataFrame) -> Vocabulary:
         total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
         least = max(1, -(-total["n"] // LEAST_SHARE))
+        power = F.floor(F.log2(F.greatest("c", F.lit(1)).cast("double"))).cast("int")
+        # A row per power of two; a word has its bytes, an offset and a count.
+        sizes = counts.filter(F.octet_length("word") <= LONGEST).groupBy(power.alias("power")).agg(F.sum(F.octet_length("word") + 16).alias("bytes"))
+        room = WORD_BYTES
+        for row in sorted(sizes.collect(), key=lambda r: -r["power"]):
+            room -= row["bytes"]
+            if room < 0:
+                least = max(least, 2 << row["power"])
+                break
         often = counts.filter((F.col("c") >= least) & (F.octet_length("word") <= LONGEST)).select("word", "c").toArrow()
         often = often.sort_by([("c", "descending"), ("word", "ascending")]).combine_chunks()
         words = often.column("word").combine_chunks().cast(pa.large_binary())
@@ -208,35 +216,42 @@ def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return np.concatenate([i for i, _ in parts]), bounds
 
 
-def train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Network:
-    """The network after all rounds over the texts of ``docs`` (columns part, 0 to 7, and text)."""
-    context = docs.sparkSession.sparkContext
+def _read(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]]:
+    """Looked-up documents with their inputs and bounds."""
+    for batch in batches:
+        raw = batch.column("inputs").to_pylist()
+        bounds = np.concatenate([[0], np.cumsum([len(r) // 2 for r in raw])])
+        yield batch, (np.frombuffer(b"".join(raw), "<i2"), bounds)
+
+
+def train(looked: DataFrame, vocabulary: Vocabulary) -> gru.Network:
+    """The network after all rounds over looked-up documents (columns part, 0 to 7, and inputs)."""
+    context = looked.sparkSession.sparkContext
     net = vocabulary.network()
-    words = context.broadcast(vocabulary)
+    # The untrained network alone, without the words.
+    fresh = context.broadcast(net)
     size = net.flat().size
     low = 0
     for eighths, rate in ROUNDS:
         weights = context.broadcast(net.flat())
 
         def run(batches: Iterable[pa.RecordBatch], weights=weights, rate=rate) -> Iterator[pa.RecordBatch]:
-            trainer = gru.Trainer(words.value.network().filled(weights.value))
+            trainer = gru.Trainer(fresh.value.filled(weights.value))
             parts, held, total = [], 0, 0
 
-            def learn(times: int = 1) -> None:
+            def learn() -> None:
                 inputs, bounds = _joined(parts)
-                for _ in range(times):
-                    trainer.train(bounds, inputs, *_targets(inputs), rate)
-
-            for _, texts in blocks(batches, TEXTS):
-                looked = words.value.lookup(texts)
-                parts.append((looked.inputs, looked.bounds))
-                held += len(looked.inputs)
-                total += len(looked.inputs)
+                trainer.train(bounds, inputs, *_targets(inputs), rate)
+
+            for _, part in _read(batches):
+                parts.append(part)
+                held += len(part[0])
+                total += len(part[0])
                 if held >= CHUNK:
                     learn()
                     parts, held = [], 0
             if held:
-                learn(1 if total > held else min(8, -(-LEAST_TOKENS // held)))
+                learn()
             if total:
                 flat = trainer.net.flat().astype("<f8") * total
                 yield pa.RecordBatch.from_arrays(
@@ -247,6 +262,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Network:
                     ],
                     names=["slot", "tokens", "weights"],
                 )
+            give_back()
 
         def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total, tokens = np.zeros(size), 0
@@ -259,7 +275,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Network:
                     [pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["tokens", "weights"]
                 )
 
-        part = docs.filter((F.col("part") >= low) & (F.col("part") < low + eighths)).select("text")
+        part = looked.filter((F.col("part") >= low) & (F.col("part") < low + eighths)).select("inputs")
         low += eighths
         trained = part.mapInArrow(run, "slot int, tokens long, weights binary")
         sums = trained.repartition(64, "slot").mapInArrow(add, "tokens long, weights binary").collect()  # 64 rows at most
@@ -269,50 +285,24 @@ def train(docs: DataFrame, vocabulary: Vocabulary) -> gru.Network:
     return net
 
 
-SCORED = (
-    "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, own double, word binary, n long"
+LOOKED = (
+    "rid long, doc_id long, held_out boolean, part int, n_known long, logs double, own double, inputs binary, word binary, n long"
 )
+LOOKED_SCHEMA = pa.schema(
+    [("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("part", pa.int32()), ("n_known", pa.int64()),
+     ("logs", pa.float64()), ("own", pa.float64()), ("inputs", pa.binary()), ("word", pa.binary()), ("n", pa.int64())]
+)
 
 
-def _scored(rows: DataFrame, vocabulary: Vocabulary, net: gru.Network) -> DataFrame:
-    """A row per document with what its task knows of it, and a row per rarer word of it (word, n)."""
-    context = rows.sparkSession.sparkContext
-    words, weights = context.broadcast(vocabulary), context.broadcast(net.flat())
-    schema = pa.schema(
-        [("rid", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
-         ("n_known", pa.int64()), ("logs", pa.float64()), ("own", pa.float64()), ("word", pa.binary()), ("n", pa.int64())]
-    )
+def look_up(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """A row per document with its inputs and what its task knows of it, and a row per rarer word of it (word, n)."""
+    words = rows.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_words = words.value
-        own_net = own_words.network().filled(weights.value)
         logs = np.log10(own_words.counts + 1.0)
         inside = np.log10(own_words.shape_tokens + own_words.shape_words + 1.0)
         rid = TaskContext.get().partitionId() << 40
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        waiting: list[tuple] = []
-
-        def summaries() -> pa.RecordBatch:
-            inputs, bounds = _joined(parts)
-            nn = gru.score_documents(own_net, bounds, inputs, *_targets(inputs)) / np.log(10)
-            rids, ids, held, known, total, tail = (np.concatenate([w[i] for w in waiting]) for i in (0, 3, 4, 5, 6, 7))
-            named = np.concatenate([w[2] for w in waiting])
-            nulls = len(rids)
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(rids),
-                    pa.array(ids, pa.int64(), mask=~named),
-                    pa.array(held),
-                    pa.array(np.diff(bounds)),
-                    pa.array(known),
-                    pa.array(total),
-                    pa.array(nn + tail),
-                    pa.nulls(nulls, pa.binary()),
-                    pa.nulls(nulls, pa.int64()),
-                ],
-                schema=schema,
-            )
-
         for batch, texts in blocks(batches, TEXTS):
             looked = own_words.lookup(texts)
             place, bounds = looked.place, looked.bounds
@@ -326,20 +316,23 @@ def _scored(rows: DataFrame, vocabulary: Vocabulary, net: gru.Network) -> DataFr
             cost[rare] = inside[looked.inputs[rare].astype(np.int64) - gru.WORDS]
             rids = rid + np.arange(number)
             rid += number
-            ids = batch.column("doc_id")
-            waiting.append(
-                (
-                    rids,
-                    None,
-                    ids.is_valid().to_numpy(zero_copy_only=False),
-                    ids.fill_null(0).to_numpy(zero_copy_only=False),
-                    batch.column("held_out").to_numpy(zero_copy_only=False),
-                    np.bincount(doc, weights=found & (own_words.counts[place] > 0), minlength=number).astype(np.int64),
-                    np.bincount(doc, weights=value, minlength=number),
-                    np.bincount(doc, weights=np.where(beyond, value, 0.0) - cost, minlength=number),
-                )
+            raw = looked.inputs.astype("<i2").tobytes()
+            ends = (2 * bounds).tolist()
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(rids),
+                    batch.column("doc_id"),
+                    batch.column("held_out"),
+                    batch.column("part"),
+                    pa.array(np.bincount(doc, weights=found & (own_words.counts[place] > 0), minlength=number).astype(np.int64)),
+                    pa.array(np.bincount(doc, weights=value, minlength=number)),
+                    pa.array(np.bincount(doc, weights=np.where(beyond, value, 0.0) - cost, minlength=number)),
+                    pa.array([raw[a:b] for a, b in zip(ends, ends[1:])], pa.binary()),
+                    pa.nulls(number, pa.binary()),
+                    pa.nulls(number, pa.int64()),
+                ],
+                schema=LOOKED_SCHEMA,
             )
-            parts.append((looked.inputs, bounds))
             # The other words, each once per document.
             at = np.flatnonzero(place[np.delete(np.arange(len(place)), bounds[1:] - 1)] < 0)
             if len(at):
@@ -349,28 +342,50 @@ def _scored(rows: DataFrame, vocabulary: Vocabulary, net: gru.Network) -> DataFr
                     owner * len(names.dictionary) + names.indices.to_numpy(), return_counts=True
                 )
                 which = names.dictionary.take(pa.array(pairs % len(names.dictionary))).cast(pa.binary())
-                rows_ = len(pairs)
+                nothing = [pa.nulls(len(pairs), f.type) for f in list(LOOKED_SCHEMA)[1:8]]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(rids[pairs // len(names.dictionary)]),
-                        pa.nulls(rows_, pa.int64()),
-                        pa.nulls(rows_, pa.bool_()),
-                        pa.nulls(rows_, pa.int64()),
-                        pa.nulls(rows_, pa.int64()),
-                        pa.nulls(rows_, pa.float64()),
-                        pa.nulls(rows_, pa.float64()),
-                        which,
-                        pa.array(times.astype(np.int64)),
-                    ],
-                    schema=schema,
+                    [pa.array(rids[pairs // len(names.dictionary)]), *nothing, which, pa.array(times.astype(np.int64))],
+                    schema=LOOKED_SCHEMA,
                 )
+
+    return rows.mapInArrow(run, LOOKED)
+
+
+SCORED = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, logs double, own double"
+
+
+def _scored(looked: DataFrame, net: gru.Network) -> DataFrame:
+    """What a task knows of its documents, with the network's part."""
+    context = looked.sparkSession.sparkContext
+    trained = context.broadcast(net)
+    kept = ("rid", "doc_id", "held_out", "n_known", "logs", "own")
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        waiting: list[pa.RecordBatch] = []
+
+        def scores() -> Iterator[pa.RecordBatch]:
+            inputs, bounds = _joined(parts)
+            nn = gru.score_documents(trained.value, bounds, inputs, *_targets(inputs)) / np.log(10)
+            rows = pa.Table.from_batches(waiting).combine_chunks()
+            columns = {name: rows.column(name) for name in kept}
+            columns["own"] = pa.array(rows.column("own").to_numpy() + nn)
+            columns["n_tokens"] = pa.array(np.diff(bounds))
+            names = [f.split(" ")[0] for f in SCORED.split(", ")]
+            yield from pa.table({name: columns[name] for name in names}).to_batches()
+
+        for batch, part in _read(batches):
+            parts.append(part)
+            waiting.append(batch.select(list(kept)))
             if sum(len(i) for i, _ in parts) >= CHUNK:
-                yield summaries()
-                parts, waiting = [], []
+                yield from scores()
+                parts.clear()
+                waiting.clear()
         if parts:
-            yield summaries()
+            yield from scores()
+        give_back()
 
-    return rows.mapInArrow(run, SCORED)
+    return looked.select(*kept, "inputs").mapInArrow(run, SCORED)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -385,16 +400,17 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(remainder(FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
-        F.pmod(F.xxhash64("doc_id"), F.lit(8)).alias("part"),
+        F.pmod(F.xxhash64("doc_id"), F.lit(8)).cast("int").alias("part"),
         F.col("text").cast("string").alias("text"),
     )
-    training = rows.filter("not held_out")
-    counts = written(word_counts(training))
+    counts = written(word_counts(rows.filter("not held_out")))
     vocabulary = Vocabulary.of(counts)
-    net = train(training, vocabulary)
-    scored = written(_scored(rows.select("doc_id", "held_out", "text"), vocabulary, net))
+    looked = written(look_up(rows, vocabulary))
+    texts = looked.filter("inputs is not null")
+    net = train(texts.filter("not held_out"), vocabulary)
+    scored = written(_scored(texts, net))
     rare = (
-        scored.filter("word is not null")
+        looked.filter("word is not null")
         .select("rid", "word", "n")
         .join(counts, "word", "left")
         .groupBy("rid")
@@ -405,17 +421,12 @@ def score_documents(docs: DataFrame) -> DataFrame:
     )
     floor = float(np.log10(vocabulary.tokens + vocabulary.types + 1.0))
     log = F.coalesce("log", F.lit(0.0))
-    return (
-        scored.filter("word is null")
-        .drop("word", "n")
-        .join(rare, "rid", "left")
-        .select(
-            "doc_id",
-            "held_out",
-            "n_tokens",
-            (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
-            F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
-            (F.col("logs") + log - F.col("n_tokens") * floor).alias("base_score"),
-            (F.col("own") + log).alias("score"),
-        )
+    return scored.join(rare, "rid", "left").select(
+        "doc_id",
+        "held_out",
+        "n_tokens",
+        (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
+        F.lit(vocabulary.tokens).cast("long").alias("train_tokens"),
+        (F.col("logs") + log - F.col("n_tokens") * floor).alias("base_score"),
+        (F.col("own") + log).alias("score"),
     )
