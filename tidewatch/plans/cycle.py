@@ -55,21 +55,24 @@ def discover(
     items_path: str = "",
     mapped: DataFrame | None = None,
     hint: Column | None = None,
+    keep: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Parsed lines and distinct entries per source, of line lists and of JSON feeds together.
 
     The items of a feed are lines like any other; what an item says besides its line (country,
     anonymity, account, protocol) is put back on its entry. ``mapped`` are items that were mapped before.
+    With ``keep`` parsed lines are written, for callers that read both results.
     """
+    held = cut_lineage if keep else lambda df: df
     lines = lines.select("source", "line_no", "line")
     if bodies is not None:
         # Bodies are parsed as JSON once.
         own = cut_lineage(feeds.map_json_fields(feeds.read_json_items(bodies, items_path)))
         mapped = own if mapped is None else mapped.unionByName(own)
     if mapped is None:
-        parsed = parse.parse_lines(lines, hint)
+        parsed = held(parse.parse_lines(lines, hint))
         return parsed, parse.first_entries(parsed)
-    parsed = parse.parse_lines(lines.unionByName(feeds.feed_lines(mapped)), hint)
+    parsed = held(parse.parse_lines(lines.unionByName(feeds.feed_lines(mapped)), hint))
     return parsed, feeds.attach_metadata(parse.first_entries(parsed), mapped)
 
 
@@ -119,7 +122,7 @@ def run_cycle(
     """
     old = conform(endpoints, ENDPOINTS)
     # Discovery.
-    parsed, entries = discover(inputs.lines, inputs.feeds, inputs.items_path, inputs.mapped, inputs.hint)
+    parsed, entries = discover(inputs.lines, inputs.feeds, inputs.items_path, inputs.mapped, inputs.hint, keep=True)
     per_source = cut_lineage(parse.source_report(parsed))
     candidates = cut_lineage(
         merge.with_policy(

@@ -14,7 +14,7 @@ from ..schemas import ENDPOINTS, conform
 from ..sources import jobs as job_source
 from ..streaming.jobs import retry_failed
 from .cycle import CycleInputs, run_cycle
-from .queries_parse import source_catalogue
+from .queries_parse import FEED, source_catalogue
 from .registry import TS, half_up, iso, query
 
 
@@ -453,7 +453,84 @@ def cycle_inputs(spark, sf_dir):
     return CycleInputs(lines, source_catalogue(lines), outcomes, probes.withColumnRenamed("status", "verdict"))
 
 
-@query()
+# A cycle in SQL over the endpoints as the merge left them (`seen`, with now_status and trust): who is queued, what their checks say, who is tried at the service, what the sweeps do.
+STALE_CHECK = f"coalesce(last_checked_at < {TS} - INTERVAL '15' MINUTE, true)"
+CYCLE_SQL = f"""
+, queue AS (SELECT * FROM seen WHERE now_status IN ('new', 'quarantined') OR (now_status = 'active' AND {STALE_CHECK})),
+checked AS (
+  SELECT q.id, o.reachable AS ok, CASE WHEN o.reachable THEN o.latency_ms END AS new_latency, q.now_status AS before,
+    CASE WHEN o.reachable THEN 0 ELSE q.consecutive_failures + 1 END AS fails, q.check_count + 1 AS checks,
+    q.pass_count + CAST(o.reachable AS INT) AS passes, q.last_passed_at, q.service_status, q.anonymity, q.trust,
+    CASE WHEN o.reachable THEN 0.0 ELSE date_diff('millisecond', q.last_passed_at, {TS}) / 60000.0 END AS idle
+  FROM {LATEST.format("fx_checks")} o JOIN queue q ON q.id = o.proxy_id WHERE o.nth = 1),
+scored AS (SELECT *, {score_sql(dict(
+    passed="ok", latency="new_latency", checks="checks", passes="passes", fails="fails", minutes="idle",
+    service="service_status", trust="least(CAST(trust AS DOUBLE), 1.0)", anonymity="anonymity"))["score"]} AS new_score FROM checked),
+planned AS (SELECT *, CASE WHEN ok AND new_score >= 25 THEN 'active' WHEN ok THEN 'quarantined'
+    WHEN fails >= 9 AND last_passed_at IS NULL THEN 'dead' WHEN fails >= 3 THEN 'quarantined'
+    WHEN before IN ('active', 'quarantined') THEN before ELSE 'new' END AS new_status FROM scored),
+validated AS (
+  SELECT s.id, coalesce(p.new_status, CASE WHEN q.id IS NOT NULL THEN 'pending' ELSE s.now_status END) AS status,
+    CASE WHEN p.id IS NULL THEN s.validation_status WHEN p.ok THEN 'passed' ELSE 'failed' END AS validation_status,
+    CASE WHEN p.id IS NULL THEN s.score ELSE p.new_score END AS score, coalesce(p.fails, s.consecutive_failures) AS consecutive_failures,
+    CASE WHEN coalesce(p.ok, false) THEN {TS} ELSE s.last_passed_at END AS last_passed_at, s.service_status, s.service_checked_at,
+    q.id IS NOT NULL AS queued
+  FROM seen s LEFT JOIN queue q ON q.id = s.id LEFT JOIN planned p ON p.id = s.id),
+wanted AS (
+  SELECT * FROM validated WHERE queued AND validation_status = 'passed' AND score >= 10 AND service_status <> 'passed'
+  UNION
+  SELECT * FROM validated WHERE status = 'active' AND score >= 10 AND coalesce(service_checked_at < {TS} - INTERVAL '360' MINUTE, true)),
+probed AS (
+  SELECT w.id, o.status AS verdict FROM wanted w JOIN {LATEST.format("fx_service")} o ON o.proxy_id = w.id AND o.nth = 1),
+served AS (
+  SELECT v.*, CASE WHEN p.verdict = 'passed' THEN 'active' ELSE v.status END AS last_status
+  FROM validated v LEFT JOIN probed p ON p.id = v.id),
+swept AS (
+  SELECT *, CASE WHEN last_status = 'active' AND coalesce(last_passed_at < {TS} - INTERVAL '90' MINUTE, true) THEN 'expired'
+    WHEN last_status = 'active' AND consecutive_failures >= 3 THEN 'quarantined' END AS sweep FROM served)
+"""
+
+
+# Ranges of addresses that are not public.
+CLOSED = [
+    ("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 24),
+    ("192.0.2.0", 24), ("192.88.99.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24), ("203.0.113.0", 24), ("224.0.0.0", 3),
+]
+NUMBER = "list_reduce(list_transform(string_split({}, '.'), lambda x: CAST(x AS BIGINT)), lambda a, b: a * 256 + b)"
+# The endpoints behind the merge of all accepted candidates.
+SEEN = f"""
+, closed AS (SELECT {NUMBER.format("base")} AS low, {NUMBER.format("base")} + CAST(pow(2, 32 - bits) AS BIGINT) AS high
+  FROM (VALUES {", ".join(map(str, CLOSED))}) AS t(base, bits)),
+accepted AS (
+  SELECT *, entry_key AS key FROM merged m WHERE NOT EXISTS (SELECT 1 FROM closed WHERE {NUMBER.format("m.host")} >= low AND {NUMBER.format("m.host")} < high)),
+old AS (SELECT *, concat(protocol, '|', host, '|', port, '|', coalesce(username, '')) AS key FROM fx_endpoints),
+inserted AS (SELECT * FROM accepted WHERE key NOT IN (SELECT key FROM old)),
+seen AS (
+  SELECT o.id, o.status, o.validation_status, o.service_status, o.score, o.latency_ms, o.consecutive_failures, o.check_count, o.pass_count,
+    o.last_checked_at, o.last_passed_at, o.service_checked_at, o.anonymity,
+    CASE WHEN o.status = 'dead' AND a.key IS NOT NULL THEN 'new' ELSE o.status END AS now_status, coalesce(a.trust, 0.5) AS trust
+  FROM old o LEFT JOIN accepted a ON a.key = o.key
+  UNION ALL
+  SELECT (SELECT max(id) FROM old) + row_number() OVER (ORDER BY source_ord, line_no), 'new', 'unchecked', 'untested', 0.0, NULL, 0, 0, 0,
+    NULL, NULL, NULL, 'unknown', 'new', coalesce(trust, 0.5) FROM inserted)
+"""
+
+
+@query(
+    FEED
+    + ", "
+    + ",\n".join(f"{name} AS ({fx.VIEWS[name]})" for name in ("fx_endpoints", "fx_checks", "fx_service"))
+    + SEEN
+    + CYCLE_SQL
+    + """
+SELECT 'cyc_now' AS cycle_id, (SELECT count(*) FROM feed) AS discovered, (SELECT count(*) FROM merged) AS accepted,
+  (SELECT count(*) FROM entries WHERE outcome = 'rejected') AS rejected,
+  (SELECT count(*) FROM entries WHERE outcome = 'accepted') - (SELECT count(*) FROM merged) AS duplicates,
+  (SELECT count(*) FROM sources) AS sources_ok, 0 AS sources_failed,
+  (SELECT count(*) FROM merged) - (SELECT count(*) FROM accepted) AS blocked_by_policy, (SELECT count(*) FROM inserted) AS inserted,
+  (SELECT count(*) FROM queue) AS queued, (SELECT count(*) FROM planned WHERE ok AND new_status = 'active' AND before <> 'active') AS added,
+  (SELECT count(*) FROM swept WHERE last_status = 'active' AND sweep IS NULL) AS pool_size"""
+)
 def cycle_report(spark, sf_dir):
     """One refresh cycle over all inputs, as its report."""
     endpoints = fx.endpoints(spark, sf_dir)
@@ -463,7 +540,7 @@ def cycle_report(spark, sf_dir):
         cycle_inputs(spark, sf_dir),
         "cyc_now",
         fx.NOW,
-        CycleConfig(ScoreConfig(), QueueConfig(), ServiceConfig(), max_active=400),
+        CycleConfig(ScoreConfig(), QueueConfig(), ServiceConfig()),
     )
     return result.report.select("cycle_id", "discovery.*", "policy.*", "upsert.inserted", "queue.*", F.col("validation.added"), "pool.pool_size")
 

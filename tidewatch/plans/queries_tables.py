@@ -20,7 +20,7 @@ from . import refresh
 from .cycle import CycleInputs, discover
 from .queries_parse import FEED, KNOWN, _known_and_candidates
 from .queries_pool import DEAD_SINCE
-from .queries_state import LATEST, score_sql
+from .queries_state import CYCLE_SQL
 from .registry import TS, iso, query
 
 
@@ -190,47 +190,9 @@ UNION ALL SELECT 'fresh' AS source, s_suppkey AS line_no,
   concat('http://45.33.', CAST(CAST(floor(s_suppkey / 250) AS BIGINT) AS STRING), '.', CAST(s_suppkey % 250 AS STRING), ':65000') AS line
 FROM supplier"""
 
-# The cycle in SQL: who is queued, what their checks say, who is tried at the service, what the sweeps do.
-STALE_CHECK = f"coalesce(last_checked_at < {TS} - INTERVAL '15' MINUTE, true)"
-CYCLE_SQL = f"""
-, seen AS (SELECT *, CASE WHEN status = 'dead' THEN 'new' ELSE status END AS now_status FROM fx_endpoints),
-queue AS (SELECT * FROM seen WHERE now_status IN ('new', 'quarantined') OR (now_status = 'active' AND {STALE_CHECK})),
-checked AS (
-  SELECT q.id, o.reachable AS ok, CASE WHEN o.reachable THEN o.latency_ms END AS new_latency, q.now_status AS before,
-    CASE WHEN o.reachable THEN 0 ELSE q.consecutive_failures + 1 END AS fails, q.check_count + 1 AS checks,
-    q.pass_count + CAST(o.reachable AS INT) AS passes, q.last_passed_at, q.service_status, q.anonymity,
-    CASE WHEN o.reachable THEN 0.0 ELSE date_diff('millisecond', q.last_passed_at, {TS}) / 60000.0 END AS idle
-  FROM {LATEST.format("fx_checks")} o JOIN queue q ON q.id = o.proxy_id WHERE o.nth = 1),
-scored AS (SELECT *, {score_sql(dict(
-    passed="ok", latency="new_latency", checks="checks", passes="passes", fails="fails", minutes="idle",
-    service="service_status", trust="0.5", anonymity="anonymity"))["score"]} AS new_score FROM checked),
-planned AS (SELECT *, CASE WHEN ok AND new_score >= 25 THEN 'active' WHEN ok THEN 'quarantined'
-    WHEN fails >= 9 AND last_passed_at IS NULL THEN 'dead' WHEN fails >= 3 THEN 'quarantined'
-    WHEN before IN ('active', 'quarantined') THEN before ELSE 'new' END AS new_status FROM scored),
-validated AS (
-  SELECT s.id, coalesce(p.new_status, CASE WHEN q.id IS NOT NULL THEN 'pending' ELSE s.now_status END) AS status,
-    CASE WHEN p.id IS NULL THEN s.validation_status WHEN p.ok THEN 'passed' ELSE 'failed' END AS validation_status,
-    CASE WHEN p.id IS NULL THEN s.score ELSE p.new_score END AS score, coalesce(p.fails, s.consecutive_failures) AS consecutive_failures,
-    CASE WHEN coalesce(p.ok, false) THEN {TS} ELSE s.last_passed_at END AS last_passed_at, s.service_status, s.service_checked_at,
-    q.id IS NOT NULL AS queued
-  FROM seen s LEFT JOIN queue q ON q.id = s.id LEFT JOIN planned p ON p.id = s.id),
-wanted AS (
-  SELECT * FROM validated WHERE queued AND validation_status = 'passed' AND score >= 10 AND service_status <> 'passed'
-  UNION
-  SELECT * FROM validated WHERE status = 'active' AND score >= 10 AND coalesce(service_checked_at < {TS} - INTERVAL '360' MINUTE, true)),
-probed AS (
-  SELECT w.id, o.status AS verdict FROM wanted w JOIN {LATEST.format("fx_service")} o ON o.proxy_id = w.id AND o.nth = 1),
-served AS (
-  SELECT v.*, CASE WHEN p.verdict = 'passed' THEN 'active' ELSE v.status END AS last_status
-  FROM validated v LEFT JOIN probed p ON p.id = v.id),
-swept AS (
-  SELECT *, CASE WHEN last_status = 'active' AND coalesce(last_passed_at < {TS} - INTERVAL '90' MINUTE, true) THEN 'expired'
-    WHEN last_status = 'active' AND consecutive_failures >= 3 THEN 'quarantined' END AS sweep FROM served)
-"""
-
-
 @query(
-    CYCLE_SQL
+    ", seen AS (SELECT *, CASE WHEN status = 'dead' THEN 'new' ELSE status END AS now_status, 0.5 AS trust FROM fx_endpoints)"
+    + CYCLE_SQL
     + f"""
 SELECT cycle_id, CASE WHEN status = 'failed' THEN 'failed' ELSE 'completed' END AS status, {iso("started_at")} AS started_at,
   {iso("finished_at")} AS finished_at, 0 AS duration_ms, NULL AS error, 0 AS candidates_discovered, 0 AS candidates_new,
