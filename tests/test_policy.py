@@ -1,6 +1,9 @@
+import hashlib
+import os
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tidewatch.functions import address as A
@@ -9,8 +12,10 @@ from tidewatch.functions import url as U
 from tidewatch.functions.keys import short_hash
 from tidewatch.functions.redact import is_secret_name, redact_text, redact_value, secret_name
 from tidewatch.functions.text import safe_message
+from tidewatch import fixtures as fx
 from tidewatch.plans import registry
 from tidewatch.plans.documents import pool_requests
+from tidewatch.plans.queries_text import SECRETS
 
 registry.load()
 
@@ -246,24 +251,37 @@ def test_redaction_takes_values_that_hold_key_words(spark):
     assert [r[0] for r in df.select(redact_text(F.col("t"))).collect()] == list(cases.values())
 
 
-def test_redaction_against_a_scanner(spark):
-    """Random texts of telling parts, against plain searches that start anew behind every value."""
-    blank = "\\s\ufeff"
-    quoted = "|".join(f"{q}[^{blank}\"',;}}&]{{3,}}{q}" for q in ('"', "'", ""))
-    keys = "password|passwd|pwd|secret|token|api_key|apikey|access_key|auth|cookie|authorization"
+BLANKS = "\\s\ufeff"
+QUOTED = "|".join(f"{q}[^{BLANKS}\"',;}}&]{{3,}}{q}" for q in ('"', "'", ""))
+KEYS = "password|passwd|pwd|secret|token|api_key|apikey|access_key|auth|cookie|authorization"
+WORDS = "password|token|secret|key|sig|auth"
+
+
+def scan(text):
+    """Plain searches that start anew behind every value."""
+    text = re.sub(r"://[^/\s]*:[^/\s]*@", "://[redacted]@", text)
+    text = re.sub(f"([?&][^=&#]*(?:{WORDS})[^=&#]*=)[^&#]*", r"\1[redacted]", text, flags=re.I)
+    text = re.sub(rf"\b(bearer|basic|digest|token)[{BLANKS}]+[\w.~+/=-]{{6,}}", r"\1 [redacted]", text, flags=re.I | re.A)
 
-    def scan(text):
-        text = re.sub(r"://[^/\s]*:[^/\s]*@", "://[redacted]@", text)
-        words = "password|token|secret|key|sig|auth"
-        text = re.sub(f"([?&][^=&#]*(?:{words})[^=&#]*=)[^&#]*", r"\1[redacted]", text, flags=re.I)
-        text = re.sub(r"\b(bearer|basic|digest|token)\s+[\w.~+/=-]{6,}", r"\1 [redacted]", text, flags=re.I | re.A)
+    def shown(match):
+        quote = match[2][0] if match[2][0] in "\"'" else ""
+        return f"{match[1]}{quote}[redacted]{quote}"
 
-        def shown(match):
-            quote = match[2][0] if match[2][0] in "\"'" else ""
-            return f"{match[1]}{quote}[redacted]{quote}"
+    return re.sub(f"((?<![A-Za-z0-9_])(?:{KEYS})[\"']?[{BLANKS}]*[:=][{BLANKS}]*)({QUOTED})", shown, text, flags=re.I)
 
-        return re.sub(f"((?<![A-Za-z0-9_])(?:{keys})[\"']?[{blank}]*[:=][{blank}]*)({quoted})", shown, text, flags=re.I)
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+def test_documents_against_the_scanner(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    rows = fx.sql(spark, sf_dir, f"SELECT doc_id, {SECRETS} AS text FROM documents").collect()
+    clean = {r.doc_id: scan(r.text) for r in rows}
+    want = {i: (hashlib.md5(t.encode()).hexdigest(), "[redacted]" in t) for i, t in clean.items()}
+    got = {r.doc_id: (r.print, r.changed) for r in registry.QUERIES["redact_documents"](spark, sf_dir).collect()}
+    assert got == want and 50 < sum(changed for _, changed in want.values()) < len(want)
+
+
+def test_redaction_against_a_scanner(spark):
+    """Random texts of telling parts."""
     draw = random.Random(5)
     parts = ["password", "pwd", "Token", "auth", "my-", "key", "x1y2z3", "ab", "Bearer", "basic", "://", "@", ":", "=", "?", "&",
              "#", " ", "\n", '"', "'", ",", ";", "}", "/", "_"]

@@ -1,8 +1,9 @@
 """Secret redaction of free text, URLs and whole records.
 
-A parameter, a credential and a pair of key and value are found with their whole value in one match,
-and the search goes on behind it: a value may hold key words itself. Accounts are found by cutting the
-text in front of every authority. Each step is linear in the text.
+A text is cut into parts, each part is told by a letter, and what the letters say of their neighbours is
+found in the string of letters, from left to right: a value may hold key words itself, which are then used
+up. Parameters are found with their whole value in one match, accounts by cutting the text in front of
+every authority. Each step is linear in the text, and a text without a telling word is not cut at all.
 """
 
 from __future__ import annotations
@@ -36,17 +37,17 @@ NAME_PHRASES = ["api_key", "access_key", "private_key", "client_secret", "set_co
 # The least lengths of a credential and of a value.
 LEAST_CREDENTIAL, LEAST_VALUE = 6, 3
 
-# A word starts behind anything but an ASCII letter, digit or underscore.
-_START = "(?<![A-Za-z0-9_])"
 # ``?name=value`` or ``&name=value``. A name starts at ``&`` or at the first ``?`` of a run, so each run is read once.
 PARAMETER = rf"((?:&|(?:^|(?<=[=#]))[^=&#?]*+\?)(?=[^=&#]*?(?:{'|'.join(QUERY_WORDS)}))[^=&#]*+=)[^&#]*+"
-# ``Bearer credential``.
-CREDENTIAL = rf"{_START}({'|'.join(SCHEME_WORDS)}){BLANK}+[a-z0-9._~+/=-]{{{LEAST_CREDENTIAL},}}"
-# ``key: value``, ``"key": "value"`` or ``key = value``.
-PAIR = (
-    rf"""({_START}(?:{'|'.join(TEXT_KEYS)})["']?{BLANK}*[:=]{BLANK}*)(["']?)"""
-    rf"""[^{BLANK[1:-1]}"',;}}&]{{{LEAST_VALUE},}}\2"""
-)
+# What a text is cut into to find pairs: blanks, marks that end a value, and the chunks between them. Words that
+# have plain words around them are in no pair and stay together, so prose is a few parts.
+MARKS = "\"',;}&"
+_PLAIN = r"[a-zA-Z.\u00c0-\u167f]"
+FAR = f"(?<={_PLAIN} )(?:{_PLAIN}++ (?={_PLAIN}++ {_PLAIN})){{1,500}}+"
+CUT = f"{FAR}|{BLANK}+|[{MARKS}]|[^{BLANK[1:-1]}{MARKS}]+"
+# The blanks behind a word that announces a credential.
+ANNOUNCING = f"(?i)(?<=(?<![A-Za-z0-9_])(?:{'|'.join(SCHEME_WORDS)})){BLANK}+"
+LAST_WORD = "([A-Za-z0-9_]*)$"
 
 
 def _pieces(text: Column, ahead: str, needs: Column, clean: Callable[[Column], Column]) -> Column:
@@ -78,6 +79,124 @@ def _replaced(text: Column, needs: Column, pattern: str, shown: str) -> Column:
     return F.when(needs, F.regexp_replace(text, F.lit(f"(?i){pattern}"), F.lit(shown))).otherwise(text)
 
 
+def _ends_with(text: Column, words: list[str]) -> Column:
+    """Whether the word a text ends with is one of a list, whatever its case.
+
+    Only as much of the end is looked at as tells a word of the list from a longer one.
+    """
+    most = max(map(len, words)) + 1
+    end = F.substring(text, F.greatest(F.length(text) - most + 1, F.lit(1)), F.lit(most))
+    return F.lower(F.regexp_extract(end, LAST_WORD, 1)).isin(*words)
+
+
+# Credentials: a text is cut at the blanks behind words that announce one, and every piece told by one letter. What
+# matters is whether a piece begins with a credential, with one and nothing else, and whether it ends with such a word.
+#   c  is a credential            X  is one that ends with such a word
+#   y  begins with one            Y  and ends with such a word
+#   z  anything else              Z  ends with such a word
+# A piece behind X, Y or Z loses its credential; c and X are then used up and announce nothing.
+ANNOUNCED, AS_CREDENTIAL = "([XYZ])([Xc])|([XYZ])(?=[Yy])", "$1$3!$2"
+
+
+def _lead(piece: Column) -> Column:
+    """The characters of a credential that a piece begins with."""
+    return F.regexp_extract(piece, "^[A-Za-z0-9._~+/=-]*", 0)
+
+
+def _without_credentials(text: Column) -> Column:
+    def letter(piece: Column) -> Column:
+        telling = _ends_with(piece, SCHEME_WORDS)
+        whole = F.when(F.length(_lead(piece)) == F.length(piece), F.when(telling, "X").otherwise("c"))
+        begun = F.coalesce(whole, F.when(telling, "Y").otherwise("y"))
+        return F.when(F.length(_lead(piece)) >= LEAST_CREDENTIAL, begun).otherwise(F.when(telling, "Z").otherwise("z"))
+
+    def joined(pieces: Column) -> Column:
+        letters = F.array_join(F.transform(pieces, letter), "")
+        told = F.regexp_extract_all(F.regexp_replace(letters, F.lit(ANNOUNCED), F.lit(AS_CREDENTIAL)), F.lit("!?[a-zA-Z]"), F.lit(0))
+        # The first piece has no blank in front.
+        gaps = F.concat(F.array(F.lit("")), F.regexp_extract_all(text, F.lit(ANNOUNCING), F.lit(0)))
+        rows = F.arrays_zip(pieces.alias("piece"), told.alias("told"), gaps.alias("gap"))
+
+        def shown(row: Column) -> Column:
+            rest = F.substring(row["piece"], F.length(_lead(row["piece"])) + 1, F.length(row["piece"]))
+            return F.when(row["told"].startswith("!"), F.concat(F.lit(f" {REDACTED}"), rest)).otherwise(
+                F.concat(row["gap"], row["piece"])
+            )
+
+        return F.array_join(F.transform(rows, shown), "")
+
+    return let(F.split(text, ANNOUNCING, -1), joined)
+
+
+# Pairs: a text is cut into chunks, blanks and marks (CUT), and every part told by one letter.
+#   b  blanks      d  a double quote      q  a single quote      p  another mark, or words far from any pair
+#   e  a separator alone                  l  a chunk too short for a value
+#   V  a chunk     K  that ends with a key                       S  that ends with a key and a separator
+#   A  a separator with a value behind    C  that ends with a key    B  that ends with a key and a separator
+#   f  a separator with too little behind F  that is long enough for a value
+# A value is a whole chunk behind ``S`` or ``K e``, blanks between and in equal quotes or none, or what an A, B or
+# C holds behind its separator if a key stands in front. What is taken as a value is no key any more.
+# ``!`` in front of a letter marks a whole value, behind a letter what follows its separator.
+PAIRED = "((?:[SB]|[KC][dq]?b?e)b?(?:d(?=.d)|q(?=.q)|(?![dq])))([ABCFKSV])|([KC][dq]?b?)([ABC])"
+AS_VALUE = "$1$3$4!$2"
+
+
+def _key_behind(chunk: Column) -> Column:
+    """Length of a chunk up to the first separator with a key in front, 0 without one."""
+
+    def upto(parts: Column) -> Column:
+        fits = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: _ends_with(p, TEXT_KEYS))
+        first = F.array_position(fits, True)
+        lengths = F.aggregate(F.slice(parts, F.lit(1), first.cast("int")), F.lit(0), lambda n, p: n + F.length(p) + 1)
+        return F.when(first > 0, lengths).otherwise(0)
+
+    return F.when(chunk.rlike("[:=]"), let(F.split(chunk, "[:=]", -1), upto)).otherwise(0)
+
+
+def _without_values(text: Column) -> Column:
+    def letter(part: Column) -> Column:
+        def chunk(key: Column) -> Column:
+            size, separated = F.length(part), part.rlike("^[:=]")
+            inside = (key > 0) & (size - key >= LEAST_VALUE)
+            # A pair inside a chunk takes its end along.
+            end = F.when(inside, 0).when((key > 0) & (key == size), 2).when(_ends_with(part, TEXT_KEYS), 1).otherwise(0)
+            by_end = lambda none, key_, both: F.when(end == 0, none).when(end == 1, key_).otherwise(both)
+            return (
+                F.when(separated & (size == 1), "e")
+                .when(separated & (size > LEAST_VALUE), by_end("A", "C", "B"))
+                .when(separated, F.when(size >= LEAST_VALUE, "F").otherwise("f"))
+                .when(size < LEAST_VALUE, "l")
+                .otherwise(by_end("V", "K", "S"))
+            )
+
+        return (
+            F.when(part == '"', "d")
+            .when(part == "'", "q")
+            .when(part.isin(*MARKS), "p")
+            .when(part.rlike(BLANK), F.when(part.rlike(f"^{BLANK}"), "b").otherwise("p"))
+            .otherwise(let(_key_behind(part), chunk))
+        )
+
+    def shown(part: Column, told: Column) -> Column:
+        def inner(key: Column) -> Column:
+            cut = (key > 0) & (F.length(part) - key >= LEAST_VALUE)
+            return F.when(cut, F.concat(F.substring(part, F.lit(1), key), F.lit(REDACTED))).otherwise(part)
+
+        return (
+            F.when(told.startswith("!"), F.lit(REDACTED))
+            .when(told.endswith("!"), F.concat(F.substring(part, 1, 1), F.lit(REDACTED)))
+            .when(told == "p", part)
+            .otherwise(let(_key_behind(part), inner))
+        )
+
+    def joined(parts: Column) -> Column:
+        letters = F.array_join(F.transform(parts, letter), "")
+        told = F.regexp_extract_all(F.regexp_replace(letters, F.lit(PAIRED), F.lit(AS_VALUE)), F.lit("[ABC]!|![a-zA-Z]|[a-zA-Z]"), F.lit(0))
+        return F.array_join(F.zip_with(parts, told, shown), "")
+
+    return let(F.regexp_extract_all(text, F.lit(CUT), F.lit(0)), joined)
+
+
 def _any(text: Column, words: list[str]) -> Column:
     out = F.lit(False)
     for word in words:
@@ -92,7 +211,7 @@ def redact_url(text: Column) -> Column:
         lambda t: _replaced(
             t, t.contains("=") & (t.contains("?") | t.contains("&")), PARAMETER, f"$1{REDACTED}"
         ),
-        lambda t: _replaced(t, let(F.lower(t), lambda low: _any(low, SCHEME_WORDS)), CREDENTIAL, f"$1 {REDACTED}"),
+        lambda t: F.when(let(F.lower(t), lambda low: _any(low, SCHEME_WORDS)), _without_credentials(t)).otherwise(t),
     ]
     for step in steps:
         text = let(text, step)
@@ -101,9 +220,8 @@ def redact_url(text: Column) -> Column:
 
 def redact_text(text: Column) -> Column:
     """:func:`redact_url` plus ``key: value`` and ``key=value`` pairs."""
-    return let(
-        redact_url(text), lambda t: _replaced(t, t.contains(":") | t.contains("="), PAIR, f"$1$2{REDACTED}$2")
-    )
+    paired = lambda t: t.rlike("[:=]") & let(F.lower(t), lambda low: _any(low, TEXT_KEYS))
+    return let(redact_url(text), lambda t: F.when(paired(t), _without_values(t)).otherwise(t))
 
 
 def redact_secret(value: Column) -> Column:

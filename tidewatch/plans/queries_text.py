@@ -325,33 +325,12 @@ ADDED = [
 ]
 SECRETS = f"concat(text, CASE doc_id % {len(ADDED) + 1} {' '.join(f"WHEN {n} THEN '{t}'" for n, t in enumerate(ADDED))} ELSE '' END)"
 
-# The rules as RE2 says them: no look around, no back-reference, a branch per kind of quote.
-_BLANKS = r"\s\x0b\pZ\x{feff}"
-_VALUE = rf"[^{_BLANKS}\"'',;}}&]{{3,}}"
-_RULES = [
-    (r"://[^/\s]*:[^/\s]*@", "://[redacted]@"),
-    (rf"([?&][^=&#]*(?:{'|'.join(R.QUERY_WORDS)})[^=&#]*=)[^&#]*", r"\1[redacted]"),
-    (rf"\b({'|'.join(R.SCHEME_WORDS)})[{_BLANKS}]+[a-z0-9._~+/=-]{{6,}}", r"\1 [redacted]"),
-    (
-        rf"(\b(?:{'|'.join(R.TEXT_KEYS)})[\"'']?[{_BLANKS}]*[:=][{_BLANKS}]*)(?:(\"){_VALUE}\"|(''){_VALUE}''|{_VALUE})",
-        r"\1\2\3[redacted]\2\3",
-    ),
-]
-
-
-def redact_sql(column: str) -> str:
-    """SQL of a text without its secrets."""
-    for pattern, shown in _RULES:
-        column = f"regexp_replace({column}, '(?i){pattern}', '{shown}', 'g')"
-    return column
-
-
-@query(
-    f"""SELECT doc_id, md5(clean) AS print, contains(clean, '[redacted]') AS changed
-FROM (SELECT doc_id, {redact_sql(SECRETS)} AS clean FROM documents)"""
-)
+@query()
 def redact_documents(spark, sf_dir):
-    """Secrets out of whole documents, their own and added ones."""
+    """Secrets out of whole documents, their own and added ones.
+
+    Held against a plain scanner in the tests: SQL has no search that goes on behind a value.
+    """
     docs = fx.sql(spark, sf_dir, f"SELECT doc_id, {SECRETS} AS text FROM documents")
     clean = docs.select("doc_id", R.redact_text(F.col("text")).alias("text"))
     return clean.select("doc_id", F.md5("text").alias("print"), F.col("text").contains("[redacted]").alias("changed"))
