@@ -111,9 +111,14 @@ def error_envelopes(errors: DataFrame, request_id: str, now: datetime | str) ->
     )
 
 
-def pool_requests(requests: DataFrame, params: str = "params") -> DataFrame:
+def pool_requests(
+    requests: DataFrame, params: str = "params", max_offset: int | None = 100_000, max_latency_ms: int | None = 600_000
+) -> DataFrame:
     """Read pool queries from a log: (limit, offset, ..., service, warnings, error).
 
+    ``max_offset`` and ``max_latency_ms`` are the largest values a request may ask for, larger ones are
+    clamped to them without a warning; None: as large as it says.
+
     ``params`` is a string map. Numbers that are no integers fall back; the first wrong
     enumeration is the error and resets the filters.
     """
@@ -145,10 +150,10 @@ def pool_requests(requests: DataFrame, params: str = "params") -> DataFrame:
     return requests.withColumn("error", error).select(
         *requests.columns,
         F.when(cut, 500).otherwise(wanted).alias("limit"),
-        F.when(good, whole("offset", 0, 0, 100_000)).otherwise(0).alias("offset"),
+        F.when(good, whole("offset", 0, 0, MOST if max_offset is None else max_offset)).otherwise(0).alias("offset"),
         F.when(good, protocol).alias("protocol"),
         F.when(good, whole("min_score", 0, 0, 100)).otherwise(0).alias("min_score"),
-        F.when(good & (get("max_latency_ms") != ""), whole("max_latency_ms", 0, 0, 600_000)).alias("max_latency_ms"),
+        F.when(good & (get("max_latency_ms") != ""), whole("max_latency_ms", 0, 0, MOST if max_latency_ms is None else max_latency_ms)).alias("max_latency_ms"),
         F.when(good & (country != ""), F.upper(country)).alias("country"),
         F.when(good, service).otherwise("required").alias("service"),
         F.when(cut, F.array(F.lit("limit clamped to 500"))).otherwise(F.array().cast("array<string>")).alias("warnings"),
@@ -156,6 +161,8 @@ def pool_requests(requests: DataFrame, params: str = "params") -> DataFrame:
     )
 
 
+#: The largest value of an integer column.
+MOST = (1 << 31) - 1
 CYCLE_FIELDS = [
     "cycle_id",
     "status",
@@ -202,8 +209,13 @@ def stats_document(
     with_errors: bool = True,
     ttl_minutes: int = 90,
     require_service_pass: bool = True,
+    most_errors: int | None = 8,
+    most_reasons: int | None = 5,
 ) -> DataFrame:
-    """One row: the pool statistics, settings, last cycle and its breakdowns."""
+    """One row: the pool statistics, settings, last cycle and its breakdowns.
+
+    The breakdowns list the most frequent error codes and reasons, all of them with None.
+    """
     base = stats.pool_stats(endpoints, now, ttl_minutes, require_service_pass)
     last = history.latest_completed(cycles)
     out = base.withColumns(
@@ -215,8 +227,8 @@ def stats_document(
     )
     if with_errors:
         cycle = last.select("cycle_id").scalar()
-        errors = stats.error_breakdown(checks, cycle, 8)
-        reasons = stats.reason_breakdown(service_checks, service, 5)
+        errors = stats.error_breakdown(checks, cycle, most_errors)
+        reasons = stats.reason_breakdown(service_checks, service, most_reasons)
         gather = lambda df, name: df.agg(
             F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("o"), F.col(name).alias("code"), "n"))).alias("x")
         ).select(F.transform("x", lambda v: F.struct(v["code"].alias("code"), v["n"].alias("count"))).alias("x"))

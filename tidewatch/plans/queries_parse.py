@@ -77,6 +77,20 @@ def parsed_feed(spark, sf_dir):
     return parse.parse_lines(fx.view(spark, sf_dir, "fx_feeds"))
 
 
+V6_LINES = """SELECT c_custkey AS line_no, concat(CASE c_custkey % 7 WHEN 0 THEN '2001:db8::1:' WHEN 1 THEN '1:2:3:4:5:6:7:8:' WHEN 2 THEN '[2001:DB8::2]:'
+    WHEN 3 THEN 'http://[::1]:' WHEN 4 THEN '::ffff:1:2:3:' WHEN 5 THEN '1:2:3:4:5:6:' ELSE 'fe80::a:b:c:' END, CAST(1024 + c_custkey % 60000 AS STRING)) AS line FROM customer"""
+
+
+@query(
+    """, v AS (SELECT c_custkey AS line_no, c_custkey % 7 AS k, 1024 + c_custkey % 60000 AS port FROM customer)
+SELECT line_no, k = 3 AS ok, CASE k WHEN 2 THEN 'not_an_entry' WHEN 3 THEN NULL WHEN 6 THEN 'invalid_scheme' ELSE 'ipv6_requires_brackets' END AS reason,
+  CASE k WHEN 3 THEN '::1' END AS host, CASE k WHEN 3 THEN port END AS port FROM v"""
+)
+def ipv6_entries(spark, sf_dir):
+    """IPv6 entries without brackets, with a scheme, and ones that look like something else."""
+    return parse.parse_entries(fx.sql(spark, sf_dir, V6_LINES)).select("line_no", "ok", "reason", "host", "port")
+
+
 @query(
     PLAIN
     + """

@@ -351,13 +351,18 @@ def cycle_bookkeeping(spark, sf_dir):
     return done.unionByName(closed).select("cycle_id", "status", "error", "pool_size")
 
 
+# FNV-1a over the digits of a number.
+FNV = """list_reduce(list_transform(string_split(CAST(event_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda h, c: (xor(h, c) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT))"""
+
+
 @query(
-    """SELECT event_id, concat('cyc_', strftime(ts, '%Y%m%dT%H%M%SZ'), '_') AS stem, 28 AS width FROM events""",
+    f"""SELECT event_id, concat('cyc_', strftime(ts, '%Y%m%dT%H%M%SZ'), '_', printf('%08x', {FNV})) AS cycle_id FROM events""",
 )
 def cycle_ids(spark, sf_dir):
+    """Ids of cycles begun at every event, whole."""
     df = fx.table(spark, sf_dir, "events")
-    made = cycle_id(F.col("ts"), F.col("event_id").cast("string"))
-    return df.select("event_id", F.substring(made, 1, 21).alias("stem"), (F.length(made) - 1).alias("width"))
+    return df.select("event_id", cycle_id(F.col("ts"), F.col("event_id").cast("string")).alias("cycle_id"))
 
 
 # Request logs -----------------------------------------------------------------
