@@ -297,3 +297,19 @@ def test_commits_are_put_once(spark, tmp_path):
     [t.start() for t in many]
     [t.join() for t in many]
     assert {f"k{n}" for n in range(6)} <= set(Ledger(spark, str(tmp_path)).latest().values)
+
+
+def test_scratch_goes_with_its_block(spark):
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    from tidewatch.session import scratch, shared_folder, written
+
+    root = Path(urlparse(shared_folder(spark)).path)
+    with scratch(spark) as outer:
+        kept = written(spark.range(3))
+        with scratch(spark) as inner:
+            assert inner.startswith(outer) and written(kept).count() == 3
+        assert kept.count() == 3 and not list(root.rglob(Path(inner).name))
+    assert not list(root.rglob(Path(outer).name))
+    assert written(spark.range(2)).count() == 2

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..config import CycleConfig, RetentionConfig
 from ..functions.text import at, instant
 from ..operators import history, merge, stats, transitions
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch
 from ..sources.ledger import Lost, Manifest
 from ..sources.tables import FACTS, Tables
 from .cycle import CycleInputs, run_cycle
@@ -84,6 +84,19 @@ def refresh(
     row. ``finished`` tells the instant of the end, ``now`` without it. Of two cycles that run at once one
     commits, the other raises :class:`Lost`.
     """
+    # What the cycle writes on its way goes when it has committed.
+    with scratch(tables.spark):
+        return _refresh(tables, inputs, cycle_id, now, cfg, finished)
+
+
+def _refresh(
+    tables: Tables,
+    inputs: CycleInputs | Callable[[], CycleInputs],
+    cycle_id: str,
+    now: datetime | str,
+    cfg: CycleConfig,
+    finished: Callable[[], datetime | str] | None,
+) -> Outcome:
     begun = start(tables, cycle_id, now)
     if begun is None:
         return Outcome("known", tables.ledger.latest().number)
@@ -172,23 +185,26 @@ def top_id(tables: Tables, base: Manifest) -> int:
 
 def merge_candidates(tables: Tables, candidates: DataFrame, cycle_id: str, now: datetime | str) -> Manifest:
     """Upsert candidates (unique by ``dedupe_key``) into the buckets they hit."""
-    fresh = cut_lineage(candidates)
-    change = lambda rows, base: merge.upsert_candidates(rows, fresh, cycle_id, now, top=top_id(tables, base))
-    return change_hit(tables, fresh, change, cycle_id, now)
+    with scratch(tables.spark):
+        fresh = cut_lineage(candidates)
+        change = lambda rows, base: merge.upsert_candidates(rows, fresh, cycle_id, now, top=top_id(tables, base))
+        return change_hit(tables, fresh, change, cycle_id, now)
 
 
 def apply_validation_plan(tables: Tables, plan: DataFrame, keys: DataFrame, run: str, now: datetime | str) -> Manifest:
     """Apply a validation plan to the buckets of its endpoints. ``keys``: id, dedupe_key."""
-    own = cut_lineage(plan)
-    change = lambda rows, base: transitions.apply_validation(rows, own, now)
-    return change_hit(tables, keys.join(own, "id", "left_semi"), change, run, now)
+    with scratch(tables.spark):
+        own = cut_lineage(plan)
+        change = lambda rows, base: transitions.apply_validation(rows, own, now)
+        return change_hit(tables, keys.join(own, "id", "left_semi"), change, run, now)
 
 
 def apply_service_plan(tables: Tables, plan: DataFrame, keys: DataFrame, run: str, now: datetime | str) -> Manifest:
     """Apply a service plan to the buckets of its endpoints. ``keys``: id, dedupe_key."""
-    own = cut_lineage(plan)
-    change = lambda rows, base: transitions.apply_service(rows, own, now)
-    return change_hit(tables, keys.join(own, "id", "left_semi"), change, run, now)
+    with scratch(tables.spark):
+        own = cut_lineage(plan)
+        change = lambda rows, base: transitions.apply_service(rows, own, now)
+        return change_hit(tables, keys.join(own, "id", "left_semi"), change, run, now)
 
 
 # Retention ------------------------------------------------------------------------
@@ -201,6 +217,11 @@ def prune(tables: Tables, now: datetime | str, cfg: RetentionConfig = RetentionC
     Facts of dropped endpoints in days that stay are left out by a list that goes with those days.
     Of the endpoints only the buckets that lose rows are written again.
     """
+    with scratch(tables.spark):
+        return _prune(tables, now, cfg)
+
+
+def _prune(tables: Tables, now: datetime | str, cfg: RetentionConfig) -> dict[str, int]:
     base = tables.ledger.latest()
     number, limit = base.number + 1, instant(now) - timedelta(days=cfg.results_days)
     edge, today = limit.date().isoformat(), instant(now).date().isoformat()

@@ -9,6 +9,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +56,25 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder for the tables that :func:`written` leaves inside the block; it goes when the block ends.
+
+    For callers that have their answer, collected or written elsewhere, when they leave.
+    """
+    folder = f"{_SCRATCH.get() or shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+    token = _SCRATCH.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCRATCH.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, sort_by: tuple[str, ...] = ()) -> DataFrame:
     """The frame as a table of the shared folder, written once and read again.
 
@@ -60,7 +82,7 @@ def written(df: DataFrame, sort_by: tuple[str, ...] = ()) -> DataFrame:
     computed once and keep column pruning and sizes for the joins behind.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{_SCRATCH.get() or shared_folder(spark)}/table-{uuid.uuid4().hex}"
     rows = df.sortWithinPartitions(*sort_by) if sort_by else df
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

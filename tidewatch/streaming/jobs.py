@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..config import CycleConfig
 from ..plans.cycle import CycleInputs
 from ..plans.refresh import refresh
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch
 from ..sources.jobs import parse_jobs, split_jobs
 from ..sources.tables import Tables
 from .state import EndpointStates
@@ -57,6 +57,10 @@ def run_jobs(
     """
 
     def work(batch: DataFrame, number: int) -> None:
+        with scratch(batch.sparkSession):
+            sort_out(batch, number)
+
+    def sort_out(batch: DataFrame, number: int) -> None:
         # Handled and written once, read for each outcome.
         jobs, rejected = split_jobs(batch)
         done = cut_lineage(handle(jobs))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.admission import endpoint_totals, place_of
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch
 from ..sources.ledger import Ledger, Manifest
 
 
@@ -136,6 +136,10 @@ class EndpointStates:
 
     def fold(self, batch: DataFrame, number: int) -> None:
         """Fold micro-batch ``number``."""
+        with scratch(self.spark):
+            self._fold(batch, number)
+
+    def _fold(self, batch: DataFrame, number: int) -> None:
         base = self.ledger.latest()
         if int(base.value("batch") or -1) >= number:
             return
