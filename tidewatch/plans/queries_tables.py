@@ -94,6 +94,25 @@ def retention_by_day(spark, sf_dir):
     )
 
 
+# Key/value rows -------------------------------------------------------------------
+
+
+@query(
+    f"""SELECT concat('events.', event_type) AS key, CAST(count(*) AS VARCHAR) AS value, {iso(TS)} AS updated_at
+FROM events WHERE event_type <> 'error' GROUP BY event_type"""
+)
+def meta_written(spark, sf_dir):
+    """Key/value rows that are set, set again and removed, read back from the newest commit."""
+    tables = tables_of(spark)
+    # As many rows as there are kinds of events.
+    for row in fx.table(spark, sf_dir, "events").groupBy("event_type").count().collect():
+        key = f"events.{row['event_type']}"
+        tables.put_meta(key, "0", "2024-01-30T00:00:00Z")
+        tables.put_meta(key, str(row["count"]), fx.NOW)
+    tables.put_meta("events.error", None, fx.NOW)
+    return tables.meta().select("key", "value", iso_text(F.col("updated_at")).alias("updated_at"))
+
+
 # Sources from a catalogue ------------------------------------------------------------
 
 ITEMS = """SELECT id, concat('"', host, ':', CAST(port AS STRING), '",', CASE id % 4
