@@ -29,7 +29,7 @@ LEAST_DOCUMENTS, TOP_TERMS = 30, 50
 #: Sources and (about) terms of a block of the cube.
 GROUPS, TERMS = 32, 4096
 #: Bytes of texts counted at once, and rows of counts a task holds before it sends them.
-COUNT_BYTES, HELD = 4 << 20, 400_000
+COUNT_BYTES, HELD = 2 << 20, 250_000
 #: ASCII letters, and every byte of a character beyond ASCII.
 LETTERS = byte_set([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
 
