@@ -45,6 +45,8 @@ FINE, SHORTENED, FAULTY = 0, 1, 2
 
 #: Rows and characters of a block, and blocks a task sends at once.
 BLOCK_ROWS, BLOCK_CHARS, SENT = 512, 1 << 20, 64
+#: Rows of a range, and how many it may have where that would make more ranges than the session shuffles into.
+RANGE_ROWS, MOST_ROWS = 8192, 1_000_000
 
 BLOCKS = (
     "conv_id long, part int, block int, roles array<string>, texts array<string>, kinds array<int>, copies array<long>, "
@@ -322,10 +324,10 @@ def damage(conversations: DataFrame) -> DataFrame:
     )
 
 
-def gathered(rows: DataFrame) -> DataFrame:
+def gathered(rows: DataFrame) -> tuple[DataFrame, int]:
     """Rows alike as one with the sum of their copies, and whether an earlier turn has the same role and text.
 
-    A conversation whose rows are all dropped keeps one row of 0 copies.
+    A conversation whose rows are all dropped keeps one row of 0 copies. Also how many rows there are.
     """
     there = F.col("copies") > 0
     bare = rows.select(
@@ -343,18 +345,21 @@ def gathered(rows: DataFrame) -> DataFrame:
     spread = found.filter("n > 1").select(F.col("conv_id").alias("own"), F.col("key").alias("said"), "none", "first")
     joined = alike.join(spread, F.col("conv_id").eqNullSafe(F.col("own")) & (F.col("key") == F.col("said")), "left")
     again = F.col("said").isNotNull() & F.col("there") & F.col("turn").isNotNull() & (F.col("none") | (F.col("turn") > F.col("first")))
-    return joined.select("conv_id", "turn", "role", "text", "copies", again.alias("again"))
+    return joined.select("conv_id", "turn", "role", "text", "copies", again.alias("again")), alike.count()
 
 
-def cut_blocks(rows: DataFrame, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def cut_blocks(rows: DataFrame, number: int, block_rows: int = BLOCK_ROWS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per block of consecutive rows, as a written table.
 
     Rows go by conversation, turn (nulls first), role and text. Ranges are dealt by prefixes of bounded
-    size that keep this order.
+    size that keep this order, about ``RANGE_ROWS`` of the ``number`` of rows each: the rows of one long
+    conversation are far more work than their bytes tell, so ranges are not joined by size.
     """
+    width = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(-(-number // RANGE_ROWS), max(width, -(-number // MOST_ROWS))))
     long_role = F.char_length("role") > 32
     near = [F.substring("role", 1, 32), long_role, F.when(long_role, F.lit("")).otherwise(F.substring("text", 1, 128))]
-    ordered = rows.repartitionByRange("conv_id", "turn", *near).sortWithinPartitions("conv_id", "turn", "role", "text")
+    ordered = rows.repartitionByRange(parts, "conv_id", "turn", *near).sortWithinPartitions("conv_id", "turn", "role", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -538,7 +543,7 @@ def repair_rows(rows: DataFrame, block_rows: int = BLOCK_ROWS, block_chars: int
     conversation: conv_id, gaps, blank, duplicate, truncated, illegal, cost, audit, n_turns, repaired_sha256.
     """
     bounded_batches(rows.sparkSession)
-    blocks = cut_blocks(gathered(rows), block_rows, block_chars)
+    blocks = cut_blocks(*gathered(rows), block_rows, block_chars)
     choices = written(choose(blocks))
     parts = written(write_parts(blocks, choices))
     figures = choices.filter("gaps is not null").select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", F.col("cost").alias("chained"))
