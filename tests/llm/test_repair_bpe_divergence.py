@@ -135,7 +135,7 @@ def sources(seed=6):
         words = [rng.choice(stock[lang]) for _ in range(rng.randrange(12))]
         source = rng.choice(["a", "b", "Ä", None, ""] + [f"s{i}" for i in range(9)])
         rows.append((" ".join(words) if n % 7 else None, lang, source))
-    rows += [("the " * 5000 + "cat", "en", "long"), ("alone", "xx", "one"), ("", "yy", "p"), (None, "yy", "q")]
+    rows += [("the " * 5000 + "cat", "en", "long"), ("The,cat-sat\n" * 3000, "en", "long"), ("alone", "xx", "one"), ("", "yy", "p"), (None, "yy", "q")]
     return rows + rows[:20]
 
 

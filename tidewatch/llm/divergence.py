@@ -13,6 +13,7 @@ All values are whole numbers: a share is 1 + floor(10^9 (count + 5) / (all + 5 V
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ GROUPS, TERMS = 32, 4096
 COUNT_BYTES, HELD = 2 << 20, 250_000
 #: ASCII letters, and every byte of a character beyond ASCII.
 LETTERS = byte_set([*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)])
+BETWEEN = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]")
 
 COUNTS = "lang string, source string, term string, n long, documents long"
 PARTIAL = "lang string, source string, item string, apart long, partial long"
@@ -51,14 +53,14 @@ def count_texts(texts: list[bytes], group: np.ndarray, groups: int) -> tuple[pa.
 
 
 def slices(text: bytes, limit: int) -> Iterator[bytes]:
-    """A long text cut in front of white space."""
+    """A long text cut in front of bytes that no term has."""
     at = 0
     while len(text) - at > limit:
-        cut = text.find(b" ", at + limit)
-        if cut < 0:
+        cut = BETWEEN.search(text, at + limit)
+        if cut is None:
             break
-        yield text[at:cut]
-        at = cut
+        yield text[at : cut.start()]
+        at = cut.start()
     yield text[at:]
 
 
