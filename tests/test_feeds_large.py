@@ -92,9 +92,15 @@ CONFIG = "id string, kind string, url string, path string, protocol string, trus
 
 def test_catalogue_to_cycle(spark, tmp_path):
     (tmp_path / "own").mkdir()
-    (tmp_path / "list-a").write_text("203.0.112.1:80\n203.0.112.2:80\n")
+    # A body may be a folder of files.
+    (tmp_path / "list-a").mkdir()
+    (tmp_path / "list-a" / "p1").write_text("203.0.112.1:80\n")
+    (tmp_path / "list-a" / "p2").write_text("203.0.112.2:80\n")
     (tmp_path / "own" / "b.txt").write_text("203.0.112.3:1080\nhttp://203.0.112.4:80\n")
-    (tmp_path / "json-a").write_text(json.dumps({"rows": [{"where": "203.0.112.5", "port": 80, "country": "fr"}]}))
+    text = json.dumps({"rows": [{"where": "203.0.112.5", "port": 80, "country": "fr"}, {"where": "203.0.112.8", "port": 81}]})
+    (tmp_path / "json-a").mkdir()
+    (tmp_path / "json-a" / "p2").write_text(text[text.index(", {") + 2 :])
+    (tmp_path / "json-a" / "p1").write_text(text[: text.index(", {")])
     (tmp_path / "json-b").write_text('["203.0.112.6:80"')
     feeds.register_source_mapping("by-where", {"host": ["where"]})
     rows = [
@@ -108,6 +114,9 @@ def test_catalogue_to_cycle(spark, tmp_path):
     ]
     found = catalogue.read_catalogue(spark, spark.createDataFrame(rows, CONFIG), str(tmp_path), str(tmp_path))
     assert {tuple(r) for r in found.faults.collect()} == {("json-b", "not json"), ("list-c", "could not be read")}
+    assert [(r.line_no, r.line) for r in found.lines.filter("source = 'list-a'").orderBy("line_no").collect()] == [
+        (0, "203.0.112.1:80"), (1, "203.0.112.2:80"),
+    ]
     outcomes = spark.createDataFrame([(1, True, 90, None)], "proxy_id bigint, reachable boolean, latency_ms bigint, error_code string")
     probes = spark.createDataFrame([], "proxy_id bigint, verdict string, latency_ms bigint, reason string")
     result = run_cycle(spark.createDataFrame([], ENDPOINTS), CycleInputs.from_catalogue(found, outcomes, probes), "c", "2026-01-01T12:00:00Z")
@@ -118,6 +127,7 @@ def test_catalogue_to_cycle(spark, tmp_path):
         "203.0.112.3": ("list-b", "socks5", None),
         "203.0.112.4": ("list-b", "http", None),
         "203.0.112.5": ("json-a", "http", "FR"),
+        "203.0.112.8": ("json-a", "http", None),
     }
     report = result.report.first().discovery
     assert (report.sources_ok, report.sources_failed) == (3, 2)

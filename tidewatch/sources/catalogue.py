@@ -84,8 +84,8 @@ def read_catalogue(spark: SparkSession, configs: DataFrame, folder: str, root: s
             said = row.asDict()
             groups.setdefault((said.get("items_path") or "", said.get("mapping")), []).append(paths[row["id"]])
     for (items_path, mapping), own in groups.items():
-        pieces = json_scan.pieces_of_files(spark, own, F.col("_metadata.file_path"))
-        pieces = pieces.withColumn("file", F.col("source")).withColumn("source", source_of(named)).drop("file")
+        pieces = json_scan.pieces_of_files(spark, own).withColumn("file", F.col("split.file"))
+        pieces = pieces.withColumn("source", source_of(named)).drop("file")
         items, bad = json_scan.scan_items(pieces, items_path)
         part = cut_lineage(feeds.map_json_fields(items, feeds.source_mapping(mapping)))
         mapped = part if mapped is None else mapped.unionByName(part)

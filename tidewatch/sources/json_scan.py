@@ -23,14 +23,17 @@ PIECES = ["source", "split", "place", "text"]
 
 
 def pieces_of_files(spark: SparkSession, paths: str | Sequence[str], source: Column | None = None) -> DataFrame:
-    """(source, split, place, text): the pieces between commas, as a written table. ``source`` is the file name."""
+    """(source, split, place, text): the pieces between commas, as a written table. ``source`` is the file name.
+
+    Files of one source follow each other in the order of their paths, as if a comma stood between them.
+    """
     raw = spark.read.option("lineSep", ",").text(paths)
     name = F.col("_metadata.file_name") if source is None else source
     # Ids and splits of one scan: another scan might cut the files elsewhere.
     return written(
         raw.select(
             name.alias("source"),
-            F.col("_metadata.file_block_start").alias("split"),
+            F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at")).alias("split"),
             F.monotonically_increasing_id().alias("place"),
             F.col("value").alias("text"),
         )

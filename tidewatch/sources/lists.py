@@ -28,9 +28,9 @@ def read_lists(spark: SparkSession, paths: str | Sequence[str], source: Column |
     """Lines of text files with their exact line number.
 
     Files are split like any text input: a line's number is its place in the split plus the
-    lines of the splits before, so a file of any size is read in parallel. ``source``
-    defaults to the file name. A final line break does not add a row (see
-    :func:`line_totals`).
+    lines of the splits before, so a file of any size is read in parallel. ``source``, over the columns
+    ``file`` and ``name``, defaults to the file name; the files of one source are numbered on, in the order
+    of their paths. A final line break does not add a row (see :func:`line_totals`).
     """
     raw = (
         spark.read.option("lineSep", "\n")
@@ -45,15 +45,15 @@ def read_lists(spark: SparkSession, paths: str | Sequence[str], source: Column |
         )
     )
     # Ids and splits of one scan: another scan might cut the files elsewhere.
-    raw = written(raw)
+    raw = written(raw.withColumn("source", source if source is not None else F.col("name")))
     # Inside one split the ids rise by one, so their distance to the lowest is the place.
-    sizes = raw.groupBy("file", "split").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
-    earlier = Window.partitionBy("file").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = raw.groupBy("source", "file", "split").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    earlier = Window.partitionBy("source").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "file", "split", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")
     )
     return raw.join(offsets, ["file", "split"]).select(
-        (source if source is not None else F.col("name")).alias("source"),
+        "source",
         (F.col("before") + F.col("place") - F.col("first")).alias("line_no"),
         F.regexp_replace("value", "\r$", "").alias("line"),
         "file_size",

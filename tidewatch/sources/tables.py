@@ -9,7 +9,6 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import at, instant
 from ..schemas import CHECKS, CYCLES, ENDPOINTS, META, SERVICE_CHECKS, conform
 from .ledger import Ledger, Manifest
 
