@@ -39,12 +39,12 @@ LEAST_CREDENTIAL, LEAST_VALUE = 6, 3
 
 # ``?name=value`` or ``&name=value``. A name starts at ``&`` or at the first ``?`` of a run, so each run is read once.
 PARAMETER = rf"((?:&|(?:^|(?<=[=#]))[^=&#?]*+\?)(?=[^=&#]*?(?:{'|'.join(QUERY_WORDS)}))[^=&#]*+=)[^&#]*+"
-# What a text is cut into to find pairs: blanks, marks that end a value, and the chunks between them. Words that
-# have plain words around them are in no pair and stay together, so prose is a few parts.
+# What a text is cut into to find pairs: blanks, marks that end a value, and the chunks between them. From a blank
+# behind a chunk on up to the last word in front of a separator no text is in a pair, so that is one part.
 MARKS = "\"',;}&"
-_PLAIN = r"[a-zA-Z.\u00c0-\u167f]"
-FAR = f"(?<={_PLAIN} )(?:{_PLAIN}++ (?={_PLAIN}++ {_PLAIN})){{1,500}}+"
-CUT = f"{FAR}|{BLANK}+|[{MARKS}]|[^{BLANK[1:-1]}{MARKS}]+"
+_BLANKS = BLANK[1:-1]
+FAR = f"(?<=[^:=\"'{_BLANKS}]){BLANK}[^:=]*(?={BLANK}+[^:={_BLANKS}])"
+CUT = f"{FAR}|{BLANK}+|[{MARKS}]|[^{_BLANKS}{MARKS}]+"
 # The blanks behind a word that announces a credential.
 ANNOUNCING = f"(?i)(?<=(?<![A-Za-z0-9_])(?:{'|'.join(SCHEME_WORDS)})){BLANK}+"
 LAST_WORD = "([A-Za-z0-9_]*)$"
@@ -129,7 +129,7 @@ def _without_credentials(text: Column) -> Column:
 
 
 # Pairs: a text is cut into chunks, blanks and marks (CUT), and every part told by one letter.
-#   b  blanks      d  a double quote      q  a single quote      p  another mark, or words far from any pair
+#   b  blanks      d  a double quote      q  a single quote      p  another mark, or text far from any pair
 #   e  a separator alone                  l  a chunk too short for a value
 #   V  a chunk     K  that ends with a key                       S  that ends with a key and a separator
 #   A  a separator with a value behind    C  that ends with a key    B  that ends with a key and a separator
@@ -173,7 +173,7 @@ def _without_values(text: Column) -> Column:
             F.when(part == '"', "d")
             .when(part == "'", "q")
             .when(part.isin(*MARKS), "p")
-            .when(part.rlike(BLANK), F.when(part.rlike(f"^{BLANK}"), "b").otherwise("p"))
+            .when(part.rlike(f"^{BLANK}"), F.when(part.rlike(f"[^{_BLANKS}]"), "p").otherwise("b"))
             .otherwise(let(_key_behind(part), chunk))
         )
 
