@@ -206,6 +206,15 @@ def test_sample_is_bounded_and_whole(spark):
     assert sum(len(t) for t, y in zip(small.texts, small.labels) if y) <= 2000
 
 
+def test_sample_of_repeated_rows(spark):
+    """Rows that repeat add nothing to a sample, and of several texts of one doc_id the largest holds."""
+    docs, table, labels = _labelled(spark, "toxic", _toxic)
+    once = labelled_sample(table, labels, "toxic", 50, 4000)
+    shorter = table.withColumn("text", F.substring("text", 1, 3))
+    again = labelled_sample(table.unionByName(table).unionByName(shorter), labels, "toxic", 50, 4000)
+    assert (once.texts, once.labels.tolist(), once.totals) == (again.texts, again.labels.tolist(), again.totals)
+
+
 def test_language_model(spark):
     rng = random.Random(4)
     rows, docs = data.documents(spark)

@@ -31,7 +31,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     """Whole texts of about ``rows`` documents per label at most, and of ``size`` bytes in all per label.
 
     Only rows outside the held-out fold count, null labels and ids do not, and of several labels of
-    one doc_id the largest holds. Rows are taken by the hash of their doc_id, so the sample does not
+    one doc_id the largest holds, as of several texts. Rows are taken by the hash of their doc_id, so the sample does not
     hang on their order, and it needs no sort: the share to take follows from the count. A text that
     alone goes beyond what is left of ``size`` is passed over.
     """
@@ -49,10 +49,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     taken = own.filter(place < F.when(F.col("label") == 0, limits[0]).otherwise(limits[1]))
     sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("size"))
     chosen, used = set(), [0, 0]
-    listed = taken.join(sized, "doc_id").select("doc_id", "label", "size", place.alias("place")).collect()
+    # One row per doc_id, however many rows of ``docs`` have it.
+    met = taken.join(sized, "doc_id").groupBy("doc_id", "label").agg(F.max("size").alias("size"))
+    listed = met.select("doc_id", "label", "size", place.alias("place")).collect()
     for r in sorted(listed, key=lambda r: (r["place"], r["doc_id"])):
-        if r["doc_id"] in chosen:
-            continue
         if used[r["label"]] + (r["size"] or 0) <= size:
             used[r["label"]] += r["size"] or 0
             chosen.add(r["doc_id"])
@@ -61,10 +61,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, rows: int,
     ids = spark.createDataFrame([(i,) for i in sorted(chosen)], "doc_id long")
     # The ids are bounded by ``rows``.
     got = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    table = got.join(F.broadcast(ids), "doc_id").toArrow().sort_by("doc_id").combine_chunks()
+    one = got.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"))
+    table = one.toArrow().combine_chunks()
     texts: dict[int, bytes] = {}
     if table.num_rows:
-        for doc, text in zip(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks())):
-            texts[doc] = max(texts.get(doc, b""), text)
+        texts = dict(zip(table.column("doc_id").to_pylist(), as_bytes(table.column("text").combine_chunks())))
     order = sorted(texts)
     return Sample([texts[i] for i in order], np.array([label_of[i] for i in order], np.int64), totals)
