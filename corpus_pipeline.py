@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.llm import decontaminate, lines, packing, simhash, toxicity
 from tidewatch.llm.texts import bounded_batches
-from tidewatch.session import shared_folder
+from tidewatch.session import scratch, shared_folder
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 TYPES = ("long", "string", "string", "string", "long")
@@ -69,13 +69,22 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written and read again."""
+    """All stages over ``documents``, each written and read again; a stage's rows go when the next ones are written.
+
+    So do the tables that a stage writes on its way.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
+    files = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    system, before = files.getFileSystem(spark._jsc.hadoopConfiguration()), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.option("compression", "zstd").parquet(f"{folder}/{name}")
+        with scratch(spark):
+            out = stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(f"{folder}/{name}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{name}")
+        if before is not None:
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{before}"), True)
+        before = name
     return docs
 
 
