@@ -30,7 +30,7 @@ from .texts import Block, blocks, byte_set, ranges
 CAPACITY = 2048
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 #: Words a worker keeps the ids of, words that are encoded at once, and bytes of texts of a block.
-KEPT_WORDS, TOGETHER, BLOCK_BYTES = 600_000, 256, 2 << 20
+KEPT_WORDS, TOGETHER, BLOCK_BYTES = 450_000, 256, 2 << 20
 
 _LETTER = byte_set([*range(0x41, 0x5B), *range(0x61, 0x7B)])
 #: ASCII digits and marks, without those of contractions and of special tokens.
