@@ -292,6 +292,14 @@ def test_redaction_against_a_scanner(spark):
     assert sum(g != t for t, g in zip(texts, got)) > 400
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
+@pytest.mark.parametrize("name", ["redact_records"])
+def test_heavy_rows_are_spread_and_worked_once(spark, name):
+    found = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= 8
+    assert "Generate inline(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_documents_lose_their_own_secrets(spark, tmp_path):
     texts = ["see http://bob:pw12@h/x", "Password: hunter22", "a bearer abcdef123456", "/q?my_sig=abc", "plain text"]
     rows = spark.createDataFrame([(13 * n + 12, t) for n, t in enumerate(texts)], "doc_id long, text string")

@@ -45,6 +45,8 @@ MARKS = "\"',;}&"
 _BLANKS = BLANK[1:-1]
 FAR = f"(?<=[^:=\"'{_BLANKS}]){BLANK}[^:=]*(?={BLANK}+[^:={_BLANKS}])"
 CUT = f"{FAR}|{BLANK}+|[{MARKS}]|[^{_BLANKS}{MARKS}]+"
+# What a text of one chunk, without parameters and accounts, has not; other than plain characters count as blanks here.
+SEVERAL = r"[\x00-\x20\x7F-\x{10FFFF}" + MARKS + "?]|://"
 # The blanks behind a word that announces a credential.
 ANNOUNCING = f"(?i)(?<=(?<![A-Za-z0-9_])(?:{'|'.join(SCHEME_WORDS)})){BLANK}+"
 LAST_WORD = "([A-Za-z0-9_]*)$"
@@ -141,16 +143,13 @@ PAIRED = "((?:[SB]|[KC][dq]?b?e)b?(?:d(?=.d)|q(?=.q)|(?![dq])))([ABCFKSV])|([KC]
 AS_VALUE = "$1$3$4!$2"
 
 
-def _key_behind(chunk: Column) -> Column:
-    """Length of a chunk up to the first separator with a key in front, 0 without one."""
+# Up to the first separator with a key in front; the look back is only taken at separators.
+KEY_BEHIND = f"(?is)^.*?[:=](?<=(?<![A-Za-z0-9_])(?:{'|'.join(TEXT_KEYS)})[:=])"
 
-    def upto(parts: Column) -> Column:
-        fits = F.transform(F.slice(parts, F.lit(1), F.size(parts) - 1), lambda p: _ends_with(p, TEXT_KEYS))
-        first = F.array_position(fits, True)
-        lengths = F.aggregate(F.slice(parts, F.lit(1), first.cast("int")), F.lit(0), lambda n, p: n + F.length(p) + 1)
-        return F.when(first > 0, lengths).otherwise(0)
 
-    return F.when(chunk.rlike("[:=]"), let(F.split(chunk, "[:=]", -1), upto)).otherwise(0)
+def _key_behind(chunk: Column) -> Column:
+    """Length of a chunk up to the first separator with a key in front, 0 without one."""
+    return F.length(F.regexp_extract(chunk, KEY_BEHIND, 0))
 
 
 def _without_values(text: Column) -> Column:
@@ -221,7 +220,10 @@ def redact_url(text: Column) -> Column:
 def redact_text(text: Column) -> Column:
     """:func:`redact_url` plus ``key: value`` and ``key=value`` pairs."""
     paired = lambda t: t.rlike("[:=]") & let(F.lower(t), lambda low: _any(low, TEXT_KEYS))
-    return let(redact_url(text), lambda t: F.when(paired(t), _without_values(t)).otherwise(t))
+    whole = let(redact_url(text), lambda t: F.when(paired(t), _without_values(t)).otherwise(t))
+    # A chunk alone has no neighbours to be told of, and only a pair in it to lose.
+    alone = F.regexp_replace(text, F.lit(f"({KEY_BEHIND}).{{{LEAST_VALUE},}}$"), F.lit(f"$1{REDACTED}"))
+    return F.when(text.rlike(SEVERAL), whole).otherwise(alone)
 
 
 def redact_secret(value: Column) -> Column:

@@ -11,6 +11,8 @@ from ..functions import redact as R
 from ..functions import url as U
 from ..functions.text import safe_message
 from ..operators import merge, robots
+from ..operators.running import evaluate_once
+from ..session import spread
 from .documents import ERROR_STATUS, error_envelopes
 from .registry import query
 
@@ -377,7 +379,7 @@ PRINTS = " ".join(f"WHEN '{t}' THEN '{_fnv32(t)}'" for t in ("view", "click", "p
 )
 def redact_records(spark, sf_dir):
     """Log rows cleaned by field name, with all items of a long list."""
-    rows = fx.table(spark, sf_dir, "events").select(
+    rows = spread(fx.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")).select(
         "event_id",
         "user_id",
         F.col("user_id").alias("session_id"),
@@ -385,7 +387,8 @@ def redact_records(spark, sf_dir):
         F.col("event_type").alias("api_key"),
         F.array_repeat(F.concat(F.lit("pwd="), "event_type"), 70).alias("items"),
     )
-    clean = rows.select(*[R.redact_value(F.col(f.name), f.dataType, f.name).alias(f.name) for f in rows.schema])
+    # The list is read twice behind, and cleaned once.
+    clean = rows.select(*evaluate_once([], [R.redact_value(F.col(f.name), f.dataType, f.name).alias(f.name) for f in rows.schema]))
     last = F.regexp_replace(F.element_at("items", -1), "^pwd=", "")
     return clean.select("event_id", "user_id", "session_id", "url", "api_key", F.size("items").alias("items"), last.alias("last_item"))
 
