@@ -293,7 +293,7 @@ def test_redaction_against_a_scanner(spark):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables are not here")
-@pytest.mark.parametrize("name", ["redact_records"])
+@pytest.mark.parametrize("name", ["redact_records", "egress_locality"])
 def test_heavy_rows_are_spread_and_worked_once(spark, name):
     found = registry.QUERIES[name](spark, "/root/testdata/sf0.001")
     assert found.rdd.getNumPartitions() >= 8

@@ -305,10 +305,8 @@ e AS (SELECT id, CASE WHEN id % 10 NOT IN (3, 9) AND quad THEN host WHEN id % 10
 SELECT id, address, CASE WHEN address IS NULL THEN 'unknown' WHEN NOT quad OR {CLASS_CASE} = 'public' THEN 'public' ELSE 'local' END AS egress FROM e"""
 )
 def egress_locality(spark, sf_dir):
-    echoes = fx.sql(spark, sf_dir, ECHO)
-    return echoes.select(
-        "id", P.egress_address(F.col("body")).alias("address"), P.egress_kind(F.col("body")).alias("egress")
-    )
+    echoes = spread(fx.sql(spark, sf_dir, ECHO))
+    return echoes.select("id", P.egress(F.col("body")).alias("v")).select(*evaluate_once(["id"], [F.col("v.address"), F.col("v.egress")]))
 
 
 RETRY = """SELECT event_id AS id, ts, CASE event_id % 9 WHEN 0 THEN CAST(event_id % 300 AS STRING) WHEN 1 THEN '1.5' WHEN 2 THEN 'Thu, 01 Feb 2024 00:00:30 GMT'
