@@ -134,6 +134,18 @@ def test_catalogue_to_cycle(spark, tmp_path):
     assert {tuple(r) for r in result.faults.collect()} == {("json-b", "not json"), ("list-c", "could not be read")}
 
 
+def test_many_sources_are_joined(spark, tmp_path):
+    """No expression over the lines holds an entry per source: a line would be searched for among all of them."""
+    rows = [(f"s{n:03d}", "http-list", "https://x", None, "socks5" if n % 2 else "http", 0.5, True, n, None, None) for n in range(60)]
+    for name in [r[0] for r in rows[:-1]] + ["not-asked"]:
+        (tmp_path / name).write_text(f"{name}\n")
+    found = catalogue.read_catalogue(spark, spark.createDataFrame(rows, CONFIG), str(tmp_path))
+    got = found.lines.withColumn("hint", found.hint)
+    assert "map(" not in got._jdf.queryExecution().analyzed().toString().lower()
+    assert {(r.source, r.line, r.hint) for r in got.collect()} == {(r[0], r[0], r[4]) for r in rows[:-1]}
+    assert {tuple(r) for r in found.faults.collect()} == {("s059", "could not be read")}
+
+
 def test_faults_of_feeds_reach_the_report(spark):
     lines = spark.createDataFrame([("a", 0, "203.0.112.1:80")], "source string, line_no bigint, line string")
     bodies = spark.createDataFrame([("f", "{no json"), ("g", '["203.0.112.9:80"]')], "source string, body string")

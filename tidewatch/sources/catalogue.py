@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
+from py4j.java_gateway import JavaObject
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import lookup
 from ..session import cut_lineage
 from . import feeds, json_scan, lists
 from .ledger import Ledger
@@ -36,10 +36,32 @@ class Discovered:
     hint: Column
 
 
-def source_of(files: dict[str, str]) -> Column:
-    """The source a file belongs to, by its own path or that of its folder."""
-    path = F.regexp_replace("file", "^file:/+", "/")
-    return F.coalesce(lookup(files, path), lookup(files, F.regexp_replace(path, "/[^/]*$", "")))
+class Present:
+    """Which paths are there, by one listing per folder instead of a question per path."""
+
+    def __init__(self, spark: SparkSession, system: JavaObject) -> None:
+        self.jvm, self.system = spark._jvm, system
+        self.folders: dict[str, tuple[str, set[str]]] = {}
+
+    def _folder(self, folder: str) -> tuple[str, set[str]]:
+        if folder not in self.folders:
+            path = self.jvm.org.apache.hadoop.fs.Path(folder)
+            names: set[str] = set()
+            if self.system.exists(path):
+                found = self.jvm.org.apache.hadoop.fs.FileUtil.stat2Paths(self.system.listStatus(path))
+                names = {one.getName() for one in found}
+            self.folders[folder] = self.system.makeQualified(path).toUri().toString().rstrip("/"), names
+        return self.folders[folder]
+
+    def uri(self, target: str) -> str | None:
+        """The whole path as Spark names it, None if nothing is there."""
+        folder, _, name = target.rpartition("/")
+        if folder and re.fullmatch("[A-Za-z0-9_=-][A-Za-z0-9._=-]*", name):
+            above, names = self._folder(folder)
+            return f"{above}/{name}" if name in names else None
+        # Names that a path would write in another way.
+        path = self.jvm.org.apache.hadoop.fs.Path(target)
+        return self.system.makeQualified(path).toUri().toString() if self.system.exists(path) else None
 
 
 def read_catalogue(spark: SparkSession, configs: DataFrame, folder: str, root: str | None = None) -> Discovered:
@@ -63,19 +85,24 @@ def read_catalogue(spark: SparkSession, configs: DataFrame, folder: str, root: s
             return None
 
     paths, lost = {}, []
-    system = files.files()
+    present = Present(spark, files.files())
     for row in rows:
         target = place(row)
-        path = None if target is None else spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path is None or not system.exists(path):
+        path = None if target is None else present.uri(target)
+        if path is None:
             lost.append((row["id"], UNREADABLE))
         else:
-            paths[row["id"]] = system.makeQualified(path).toUri().toString()
-    # Local paths are written with one slash or three behind their scheme.
-    named = {re.sub("^file:/+", "/", path): source for source, path in paths.items()}
+            paths[row["id"]] = path
+
+    def places(own: list[str]) -> DataFrame:
+        """(path, source): a table to join, as a constant would be searched for every line."""
+        # Local paths are written with one slash or three behind their scheme.
+        named = {re.sub("^file:/+", "/", path): source for source, path in paths.items()}
+        wanted = {re.sub("^file:/+", "/", path) for path in own}
+        return spark.createDataFrame([(path, source) for path, source in named.items() if path in wanted], "path string, source string")
 
     plain = [paths[r["id"]] for r in rows if r["id"] in paths and r["kind"] != "json-endpoint"]
-    lines = lists.read_lists(spark, plain, source_of(named)).select("source", "line_no", "line") if plain else None
+    lines = lists.read_lists(spark, plain, places(plain)).select("source", "line_no", "line") if plain else None
     faults = spark.createDataFrame(lost, FAULTS)
     mapped = None
     groups: dict[tuple[str, str | None], list[str]] = {}
@@ -84,17 +111,19 @@ def read_catalogue(spark: SparkSession, configs: DataFrame, folder: str, root: s
             said = row.asDict()
             groups.setdefault((said.get("items_path") or "", said.get("mapping")), []).append(paths[row["id"]])
     for (items_path, mapping), own in groups.items():
-        pieces = json_scan.pieces_of_files(spark, own).withColumn("file", F.col("split.file"))
-        pieces = pieces.withColumn("source", source_of(named)).drop("file")
+        pieces = lists.with_source(json_scan.pieces_of_files(spark, own).drop("source"), places(own), F.col("split.file"))
         items, bad = json_scan.scan_items(pieces, items_path)
         part = cut_lineage(feeds.map_json_fields(items, feeds.source_mapping(mapping)))
         mapped = part if mapped is None else mapped.unionByName(part)
         faults = faults.unionByName(bad)
-    protocols = {r["id"]: r["protocol"] for r in rows if r["protocol"] is not None}
+    # A set of ids per protocol is hashed; a map would be searched from its start for every line.
+    hint = F.lit(None).cast("string")
+    for protocol in sorted({r["protocol"] for r in rows if r["protocol"] is not None}):
+        hint = F.when(F.col("source").isin([r["id"] for r in rows if r["protocol"] == protocol]), protocol).otherwise(hint)
     return Discovered(
         lines if lines is not None else spark.createDataFrame([], LINES),
         mapped,
         faults,
         lists.enabled_sources(configs),
-        lookup(protocols, F.col("source")) if protocols else F.lit(None).cast("string"),
+        hint,
     )

@@ -24,12 +24,21 @@ def confined(path: str, root: str) -> str:
     return str(target)
 
 
-def read_lists(spark: SparkSession, paths: str | Sequence[str], source: Column | None = None) -> DataFrame:
+def with_source(rows: DataFrame, places: DataFrame, file: Column) -> DataFrame:
+    """Add ``source``, the one of ``places`` (path, source) a file belongs to by its own path or that of its folder."""
+    path = F.regexp_replace(file, "^file:/+", "/")
+    by = {name: places.select(F.col("path").alias(f"_{name}"), F.col("source").alias(f"_by_{name}")) for name in ("path", "folder")}
+    told = rows.withColumns({"_path": path, "_folder": F.regexp_replace(path, "/[^/]*$", "")})
+    told = told.join(by["path"], "_path", "left").join(by["folder"], "_folder", "left")
+    return told.withColumn("source", F.coalesce("_by_path", "_by_folder")).drop("_path", "_folder", "_by_path", "_by_folder")
+
+
+def read_lists(spark: SparkSession, paths: str | Sequence[str], source: Column | DataFrame | None = None) -> DataFrame:
     """Lines of text files with their exact line number.
 
     Files are split like any text input: a line's number is its place in the split plus the
     lines of the splits before, so a file of any size is read in parallel. ``source``, over the columns
-    ``file`` and ``name``, defaults to the file name; the files of one source are numbered on, in the order
+    ``file`` and ``name``, defaults to the file name, or is a table of places (:func:`with_source`); the files of one source are numbered on, in the order
     of their paths. A final line break does not add a row (see :func:`line_totals`).
     """
     raw = (
@@ -45,12 +54,17 @@ def read_lists(spark: SparkSession, paths: str | Sequence[str], source: Column |
         )
     )
     # Ids and splits of one scan: another scan might cut the files elsewhere.
-    raw = written(raw.withColumn("source", source if source is not None else F.col("name")))
+    raw = written(raw)
     # Inside one split the ids rise by one, so their distance to the lowest is the place.
-    sizes = raw.groupBy("source", "file", "split").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    sizes = raw.groupBy("file", "name", "split").agg(F.min("place").alias("first"), F.count("*").alias("lines"))
+    # A source is told once per split, not per line.
+    if isinstance(source, DataFrame):
+        sizes = with_source(sizes, source, F.col("file"))
+    else:
+        sizes = sizes.withColumn("source", source if source is not None else F.col("name"))
     earlier = Window.partitionBy("source").orderBy("file", "split").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
-        "file", "split", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")
+        "source", "file", "split", "first", F.coalesce(F.sum("lines").over(earlier), F.lit(0)).alias("before")
     )
     return raw.join(offsets, ["file", "split"]).select(
         "source",
