@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import entry as E
 from ..functions.keys import dedupe_key, redacted_url
 from ..functions.text import skip_chars, squeeze_ends, utf16_units
+from ..session import spread
 from .running import evaluate_once, running
 
 BLOCK_LINES = 200_000  # lines one task carries of one source
@@ -243,10 +244,11 @@ def section_hints(labelled: DataFrame, start_hint: Column | str | None = None, b
 def parse_lines(lines: DataFrame, start_hint: Column | str | None = None, block_lines: int = BLOCK_LINES) -> DataFrame:
     """Every line of ``(source, line_no, line)`` with its kind and parsed entry.
 
-    ``outcome`` is blank, skipped, rejected or accepted; repeats are still in.
+    ``outcome`` is blank, skipped, rejected or accepted; repeats are still in. Lines are dealt to all
+    cores for the labels, and once more for the grammar, as a source may be one block.
     """
-    hinted = section_hints(label_lines(lines), start_hint, block_lines)
-    parsed = parse_entries(hinted, "text", "hint")
+    hinted = section_hints(label_lines(spread(lines)), start_hint, block_lines)
+    parsed = parse_entries(spread(hinted), "text", "hint")
     kind, ok = F.col("kind"), F.col("ok")
     outcome = (
         F.when(kind == "blank", "blank")

@@ -11,6 +11,7 @@ from ..functions.keys import cycle_id, dedupe_hash
 from ..functions.text import epoch_ms, iso_text, minutes_since
 from ..operators import admission, history, merge, stats, transitions
 from ..schemas import ENDPOINTS, conform
+from ..session import cut_lineage, spread
 from ..sources import jobs as job_source
 from ..streaming.jobs import retry_failed
 from .cycle import CycleInputs, run_cycle
@@ -451,6 +452,11 @@ def job_retries(spark, sf_dir):
 # Whole cycle ------------------------------------------------------------------
 
 
+def keyed(endpoints):
+    """Endpoints with their stored key, whose hash is the heaviest work on a row."""
+    return spread(endpoints).withColumn("dedupe_key", dedupe_hash(*[F.col(name) for name in merge.IDENTITY]))
+
+
 def cycle_inputs(spark, sf_dir):
     lines = fx.view(spark, sf_dir, "fx_feeds")
     outcomes = history.latest_result(fx.view(spark, sf_dir, "fx_checks"), ["proxy_id"])
@@ -538,10 +544,9 @@ SELECT 'cyc_now' AS cycle_id, (SELECT count(*) FROM feed) AS discovered, (SELECT
 )
 def cycle_report(spark, sf_dir):
     """One refresh cycle over all inputs, as its report."""
-    endpoints = fx.endpoints(spark, sf_dir)
-    keyed = endpoints.withColumn("dedupe_key", dedupe_hash(*[F.col(c) for c in merge.IDENTITY]))
+    # A cycle reads its endpoints as they are stored, more than once.
     result = run_cycle(
-        conform(keyed, ENDPOINTS),
+        cut_lineage(conform(keyed(fx.endpoints(spark, sf_dir)), ENDPOINTS)),
         cycle_inputs(spark, sf_dir),
         "cyc_now",
         fx.NOW,
