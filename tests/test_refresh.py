@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewatch.config import CycleConfig, RetentionConfig
 from tidewatch.operators import merge, transitions
+from tidewatch.plans import queries_tables
 from tidewatch.plans import refresh as R
 from tidewatch.plans.cycle import CycleInputs, CycleResult
 from tidewatch.schemas import CHECKS, CYCLES, ENDPOINTS, SERVICE_CHECKS, conform
@@ -313,3 +314,9 @@ def test_scratch_goes_with_its_block(spark):
         assert kept.count() == 3 and not list(root.rglob(Path(inner).name))
     assert not list(root.rglob(Path(outer).name))
     assert written(spark.range(2)).count() == 2
+
+
+def test_endpoint_keys_are_hashed_by_all_cores(spark):
+    rows = queries_tables.keyed(endpoints(spark).coalesce(1))
+    assert rows.rdd.getNumPartitions() >= 8
+    assert rows.filter("length(dedupe_key) = 16").count() == 40

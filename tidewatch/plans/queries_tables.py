@@ -9,9 +9,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as fx
 from ..config import CycleConfig
-from ..functions.keys import dedupe_hash
 from ..functions.text import iso_text
-from ..operators import history, merge
+from ..operators import history
 from ..session import shared_folder
 from ..sources.catalogue import read_catalogue
 from ..sources.tables import Tables
@@ -20,7 +19,7 @@ from . import refresh
 from .cycle import CycleInputs, discover
 from .queries_parse import FEED, KNOWN, _known_and_candidates
 from .queries_pool import DEAD_SINCE
-from .queries_state import CYCLE_SQL
+from .queries_state import CYCLE_SQL, keyed
 from .registry import TS, iso, query
 
 
@@ -29,10 +28,6 @@ def tables_of(spark, buckets: int = 16) -> Tables:
     return Tables(spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}", buckets)
 
 
-def keyed(endpoints):
-    return endpoints.withColumn("dedupe_key", dedupe_hash(*[F.col(name) for name in merge.IDENTITY]))
-
-
 # One merge into buckets ---------------------------------------------------------
 
 
